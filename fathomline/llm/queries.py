@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import read_table
 from .packing import pack_documents
+from .secrets import scan_secrets, secret_digests
 from .simhash import near_duplicates
 from .token_files import encode_to_files
 from .warc import archive_pages
@@ -18,6 +19,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_digests(scan_secrets(read_table(spark, sf_dir, "documents")))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(read_table(spark, sf_dir, "pages"))
 
@@ -30,7 +35,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op3_warc, op5_token_files, op10_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_secrets, op3_warc, op5_token_files, op10_packing)}
 ORACLES: dict[str, str] = {
     "op3_warc": """
         WITH p AS (
