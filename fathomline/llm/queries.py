@@ -9,10 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import read_table
 from .packing import pack_documents
+from .pii import pseudonymise
 from .secrets import scan_secrets, secret_digests
 from .simhash import near_duplicates
 from .token_files import encode_to_files
 from .warc import archive_pages
+from .weighted_minhash import fingerprint_edits
+
+#: The key of the queries' pseudonyms; a deployment passes its own.
+PSEUDONYM_KEY = "fathomline public example key"
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,15 +32,23 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(read_table(spark, sf_dir, "pages"))
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_edits(read_table(spark, sf_dir, "documents"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_to_files(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymise(read_table(spark, sf_dir, "documents"), PSEUDONYM_KEY, count_col="n_pii")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_secrets, op3_warc, op5_token_files, op10_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_secrets, op3_warc, op4_fingerprints, op5_token_files, op9_pii, op10_packing)}
 ORACLES: dict[str, str] = {
     "op3_warc": """
         WITH p AS (
