@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .ann import nearest
 from .common import read_table
 from .packing import pack_documents
 from .pii import pseudonymise
@@ -40,6 +42,10 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_to_files(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymise(read_table(spark, sf_dir, "documents"), PSEUDONYM_KEY, count_col="n_pii")
 
@@ -48,7 +54,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_secrets, op3_warc, op4_fingerprints, op5_token_files, op9_pii, op10_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_secrets, op3_warc, op4_fingerprints, op5_token_files, op6_nearest, op9_pii, op10_packing)}
 ORACLES: dict[str, str] = {
     "op3_warc": """
         WITH p AS (
