@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from .ann import nearest
 from .common import read_table
+from .mixing import mix
 from .packing import pack_documents
 from .pii import pseudonymise
+from .quality import score_documents
 from .secrets import scan_secrets, secret_digests
 from .simhash import near_duplicates
 from .token_files import encode_to_files
@@ -21,6 +23,9 @@ from .weighted_minhash import fingerprint_edits
 #: The key of the queries' pseudonyms; a deployment passes its own.
 PSEUDONYM_KEY = "fathomline public example key"
 
+#: Shares of the mixture by domain of the labelled table.
+MIXTURE = {"clean": 0.9, "toxic": 0.02, "junk": 0.08}
+
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
@@ -46,6 +51,14 @@ def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), weights=MIXTURE)
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymise(read_table(spark, sf_dir, "documents"), PSEUDONYM_KEY, count_col="n_pii")
 
@@ -54,7 +67,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_secrets, op3_warc, op4_fingerprints, op5_token_files, op6_nearest, op9_pii, op10_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_secrets, op3_warc, op4_fingerprints, op5_token_files, op6_nearest, op7_mixing, op8_quality, op9_pii, op10_packing)}
 ORACLES: dict[str, str] = {
     "op3_warc": """
         WITH p AS (

@@ -7,6 +7,10 @@ least one lies in some block; with that block blanked at most two remain, and th
 flips meet between them.  That is 4 * (1 + 48) = 196 variants, where whole balls of radius 2 would
 be 2,081.  Variants keep 48 fixed bits, so unrelated fingerprints hardly ever meet, at any corpus size.
 
+``near_duplicates`` is that alone.  ``one_of_each`` looks for documents that five-word shingles would call
+0.8 alike: it meets on a fingerprint of single words without marks and case, which such documents nearly always share
+to 3 bits, and holds every candidate against a second fingerprint, of word pairs, which unrelated ones don't.
+
 Equal fingerprints are one before anything is emitted, so copies cost nothing.  Variants are
 shuffled with the fingerprint only, sorted, and verified bucket by bucket; a bucket tells the forest
 of its links, never its pairs.
@@ -14,18 +18,20 @@ of its links, never its pairs.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, slices, text_of, work_dir
+from .common import fan_out, materialise, slices, text_of, work_dir
 from .components import components
 
 RADIUS = 3
+_MARKS = re.compile(r"[^\w\s]+")
 #: Buckets up to this size are compared pair by pair in memory; larger ones are split again.
 PAIRWISE = 2048
 
@@ -56,24 +62,37 @@ def simhash(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, *, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and the fingerprint as a signed long, of whole texts (null: empty)."""
+def fingerprints(docs: DataFrame, *, words: int = 3, check_words: int | None = None, bare: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and the fingerprint as a signed long (fp), of whole texts (null: empty).
+
+    ``check_words`` adds a second fingerprint (check) of shingles of that many words; ``bare``
+    drops everything but letters, digits and white space first.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            prints = np.array([simhash(shingle_hashes(t, words)) for t in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
+            texts = batch.column(1).to_pylist()
+            if bare:
+                texts = [_MARKS.sub("", t).lower() for t in texts]
+            out = [np.array([simhash(shingle_hashes(t, w)) for t in texts], np.uint64).view(np.int64) for w in (words, check_words) if w]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, out)], ["doc_id", "fp", "check"][: 1 + len(out)])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    schema = "doc_id long, fp long" + (", check long" if check_words else "")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(run, schema)
 
 
-def variants(prints: np.ndarray, block_bits: int) -> Iterator[np.ndarray]:
-    """For each block: the fingerprints with it blanked and at most one other bit flipped, (1 + 64 - block_bits) of each in a row."""
-    for low in range(0, 64, block_bits):
-        blank = np.uint64(((1 << block_bits) - 1) << low)
+def blocks_of(n: int) -> list[tuple[int, int]]:
+    """The 64 bits in n blocks: lowest bit and width of each."""
+    return [(k * 64 // n, (k + 1) * 64 // n - k * 64 // n) for k in range(n)]
+
+
+def variants(prints: np.ndarray, blocks: int) -> Iterator[np.ndarray]:
+    """For each block: the fingerprints with it blanked and at most one other bit flipped, all of one in a row."""
+    for number, (low, width) in enumerate(blocks_of(blocks)):
+        blank = np.uint64(((1 << width) - 1) << low)
         flips = np.array([0, *(1 << i for i in range(64) if not int(blank) >> i & 1)], np.uint64)
         # the block's number stands in the blank, so that blocks don't meet each other
-        yield ((prints & ~blank) | np.uint64((low // block_bits & ((1 << block_bits) - 1)) << low))[:, None] ^ flips[None, :]
+        yield ((prints & ~blank) | np.uint64((number & ((1 << width) - 1)) << low))[:, None] ^ flips[None, :]
 
 
 def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -95,18 +114,35 @@ def _spread(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def local_roots(prints: np.ndarray, radius: int = RADIUS) -> np.ndarray:
-    """For sorted distinct fingerprints of one bucket, the position of the least one of each's component."""
+class Near:
+    """When two fingerprints link: in ``radius`` bits, and their checks, if there are any, in ``check_radius``."""
+
+    def __init__(self, radius: int = RADIUS, check_radius: int = 64):
+        self.radius, self.check_radius = radius, check_radius
+
+    def __call__(self, p: np.ndarray, q: np.ndarray, c: np.ndarray | None, d: np.ndarray | None) -> np.ndarray:
+        near = np.bitwise_count(p ^ q) <= self.radius
+        return near if c is None else near & (np.bitwise_count(c ^ d) <= self.check_radius)
+
+
+def local_roots(prints: np.ndarray, checks: np.ndarray | None, near: Near) -> np.ndarray:
+    """For distinct fingerprints of one bucket, the position of the first one of each's component."""
     n = len(prints)
     label = np.arange(n)
+    part = lambda x, at: None if x is None else x[at]
+
+    def pairwise(own: np.ndarray) -> None:
+        nonlocal label
+        for at in range(0, len(own), 512):
+            here = own[at : at + 512]
+            a, b = np.nonzero(near(prints[here][:, None], prints[own][None, :], None if checks is None else checks[here][:, None], part(checks, own)))
+            label = _spread(label, here[a], own[b])
+
     if n <= PAIRWISE:
-        for at in range(0, n, 512):
-            near = np.bitwise_count(prints[at : at + 512, None] ^ prints[None, :]) <= radius
-            a, b = np.nonzero(near)
-            label = _spread(label, a + at, b)
+        pairwise(np.arange(n))
         return label
     # a large bucket: the same meeting again with blocks of four bits, whose buckets hold 16 * 61 fingerprints at most
-    for keys in variants(prints, 4):
+    for keys in variants(prints, 16):
         owner = np.repeat(np.arange(n), keys.shape[1])
         flat = keys.ravel()
         order = np.argsort(flat, kind="stable")
@@ -115,82 +151,103 @@ def local_roots(prints: np.ndarray, radius: int = RADIUS) -> np.ndarray:
         for start, size in zip(starts[sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
             own = owner[start : start + size]
             if np.ptp(label[own]):
-                a, b = np.nonzero(np.bitwise_count(prints[own][:, None] ^ prints[own][None, :]) <= radius)
-                label = _spread(label, own[a], own[b])
+                pairwise(own)
     return label
 
 
-def bucket_links(keys: np.ndarray, prints: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Links (fingerprint, a smaller one of its component) of whole buckets, given sorted by key and fingerprint."""
+def _nodes(prints: np.ndarray, checks: np.ndarray | None) -> np.ndarray:
+    """Fingerprints with their checks as values that compare and sort."""
+    if checks is None:
+        return prints
+    out = np.empty(len(prints), [("fp", "<u8"), ("check", "<u8")])
+    out["fp"], out["check"] = prints, checks
+    return out
+
+
+def bucket_links(keys: np.ndarray, prints: np.ndarray, checks: np.ndarray | None = None, near: Near | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links (node, another one of its component) of whole buckets, given sorted by key."""
+    near = near or Near()
     starts, sizes = _groups(keys)
     some = np.repeat(sizes > 1, sizes)
-    keys, prints = keys[some], prints[some]
+    keys, nodes = keys[some], _nodes(prints, checks)[some]
+    out_a, out_b = [nodes[:0]], [nodes[:0]]
+    split = lambda x: (x, None) if checks is None else (x["fp"], x["check"])
     starts, sizes = _groups(keys)
-    out_a, out_b = [], []
     for start, size in zip(starts[sizes > 32].tolist(), sizes[sizes > 32].tolist(), strict=True):
-        own = np.unique(prints[start : start + size])
-        root = local_roots(own, radius)
+        own = np.unique(nodes[start : start + size])
+        root = local_roots(*split(own), near)
         child = np.flatnonzero(root != np.arange(len(own)))
         out_a.append(own[child])
         out_b.append(own[root[child]])
     small = np.repeat(sizes <= 32, sizes)
-    keys, prints = keys[small], prints[small]
+    keys, nodes = keys[small], nodes[small]
+    p, c = split(nodes)
     for shift in range(1, int(sizes[sizes <= 32].max(initial=1))):
-        near = np.flatnonzero((keys[shift:] == keys[:-shift]) & (np.bitwise_count(prints[shift:] ^ prints[:-shift]) <= radius))
-        out_a.append(prints[near + shift])
-        out_b.append(prints[near])
-    if not out_a:
-        return prints[:0], prints[:0]
+        same = np.flatnonzero(keys[shift:] == keys[:-shift])
+        linked = same[near(p[same + shift], p[same], None if c is None else c[same + shift], None if c is None else c[same])]
+        out_a.append(nodes[linked + shift])
+        out_b.append(nodes[linked])
     a, b = np.concatenate(out_a), np.concatenate(out_b)
     if not len(a):
         return a, b
-    # what whole batches link is told once: each fingerprint with the least of its component here
-    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    root = _spread(np.arange(len(nodes)), at[: len(a)], at[len(a) :])
-    child = np.flatnonzero(root != np.arange(len(nodes)))
-    return nodes[child], nodes[root[child]]
+    # what whole batches link is told once: each node with the first of its component here
+    every, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    root = _spread(np.arange(len(every)), at[: len(a)], at[len(a) :])
+    child = np.flatnonzero(root != np.arange(len(every)))
+    return every[child], every[root[child]]
+
 
+def links(prints: DataFrame, *, blocks: int = 4, check_radius: int = 64) -> DataFrame:
+    """From distinct rows (fp) or (fp, check): (a, b), which link exactly what lies within the radius, or in chains of it.
 
-def links(prints: DataFrame, *, radius: int = RADIUS) -> DataFrame:
-    """From distinct fingerprints (fp): (a, b), which link exactly what lies within the radius, or in chains of it."""
-    if radius != RADIUS:
-        raise ValueError("the blocks are laid out for a radius of 3")
+    Ends are fingerprints, or structs of fingerprint and check.  Three blocks or more serve a
+    radius of 3; fewer blocks emit less and meet more often by chance.
+    """
+    checked, near = "check" in prints.columns, Near(RADIUS, check_radius)
+    columns = ["fp", "check"] if checked else ["fp"]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 4096):
-            own = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            for keys in variants(own, 16):
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(own, keys.shape[1]).view(np.int64))], ["key", "fp"])
+            own = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            for keys in variants(own, blocks):
+                at = pa.array(np.repeat(np.arange(len(own)), keys.shape[1]))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), *(c.take(at) for c in batch.columns)], ["key", *columns])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_k, held_p = [], []
+        held: list[list[np.ndarray]] = []
+
+        def linked(rows: list[np.ndarray]) -> pa.RecordBatch:
+            return _links(*bucket_links(rows[0], rows[1], rows[2] if checked else None, near))
+
         for batch in batches:
-            k, p = (batch.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in (0, 1))
-            held_k.append(k)
-            held_p.append(p)
-            if len(held_k) < 64 or held_k[0][0] == k[-1]:
+            held.append([c.to_numpy(zero_copy_only=False).view(np.uint64) for c in batch.columns])
+            if len(held) < 64 or held[0][0][0] == held[-1][0][-1]:
                 continue
-            keys, own = np.concatenate(held_k), np.concatenate(held_p)
-            whole = int(np.searchsorted(-(keys != keys[-1]).astype(np.int8), 0))  # the last bucket may go on
-            held_k, held_p = [keys[whole:]], [own[whole:]]
-            yield _links(*bucket_links(keys[:whole], own[:whole], radius))
-        if held_k:
-            yield _links(*bucket_links(np.concatenate(held_k), np.concatenate(held_p), radius))
+            rows = [np.concatenate(x) for x in zip(*held, strict=True)]
+            whole = len(rows[0]) - int(np.argmax(rows[0][::-1] != rows[0][-1]))  # the last bucket may go on
+            held = [[x[whole:] for x in rows]]
+            yield linked([x[:whole] for x in rows])
+        if held:
+            yield linked([np.concatenate(x) for x in zip(*held, strict=True)])
 
-    emitted = prints.select("fp").mapInArrow(emit, "key long, fp long")
-    n = max(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    return emitted.repartition(n, "key").sortWithinPartitions("key", "fp").mapInArrow(meet, "a long, b long").distinct()
+    # few distinct fingerprints become many variants: deal them out first
+    n = fan_out(prints.sparkSession)
+    emitted = prints.select(*columns).repartition(n).mapInArrow(emit, ", ".join(f"{c} long" for c in ["key", *columns]))
+    end = "struct<fp: long, check: long>" if checked else "long"
+    return emitted.repartition(n, "key").sortWithinPartitions("key").mapInArrow(meet, f"a {end}, b {end}").distinct()
 
 
 def _links(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+    signed = lambda x: pa.array(np.ascontiguousarray(x).view(np.int64))
+    ends = [signed(x) if x.dtype.names is None else pa.StructArray.from_arrays([signed(x["fp"]), signed(x["check"])], ["fp", "check"]) for x in (a, b)]
+    return pa.RecordBatch.from_arrays(ends, ["a", "b"])
 
 
 def fingerprint_hex(column: str = "fp") -> Column:
     return F.lower(F.lpad(F.hex(column), 16, "0"))
 
 
-def near_duplicates(docs: DataFrame, *, words: int = 3, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, *, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: doc_id, fingerprint (16 hex digits), component_id.
 
     component_id is the smallest doc_id that chains of links (fingerprints that differ in at most
@@ -202,9 +259,35 @@ def near_duplicates(docs: DataFrame, *, words: int = 3, radius: int = RADIUS, id
     folder = work_dir(docs.sparkSession, "simhash")
     prints = materialise(fingerprints(docs, words=words, id_col=id_col, text_col=text_col), f"{folder}/prints")
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    roots = components(links(distinct, radius=radius), name="simhash-links").withColumnRenamed("node", "fp")
+    roots = components(links(distinct), name="simhash-links").withColumnRenamed("node", "fp")
     named = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = materialise(named, f"{folder}/named")
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     by_print = named.join(least, "root").select("fp", "component_id")
     return prints.join(by_print, "fp").select("doc_id", fingerprint_hex().alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, *, words: int = 1, check_words: int = 2, check_radius: int = 9, blocks: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one document, that of the smallest id, of each group of copies and near copies; all columns stay.
+
+    Documents link if their word fingerprints (letters and digits only, lower case) differ in at most
+    3 bits and those of their word pairs in at most ``check_radius``; groups are chains of links.
+    Null texts count as empty, and texts without words are copies of each other.  Of rows with one
+    id one stays.  Rows without an id can't be named as dropped and stay; an empty table stays empty.
+    """
+    folder = work_dir(docs.sparkSession, "one-of-each")
+    known = docs.filter(F.col(f"`{id_col}`").isNotNull())
+    prints = materialise(fingerprints(known, words=words, check_words=check_words, bare=True, id_col=id_col, text_col=text_col), f"{folder}/prints")
+    pair = F.struct("fp", "check")
+    distinct = prints.groupBy("fp", "check").agg(F.min("doc_id").alias("first_id"))
+    roots = components(links(distinct, blocks=blocks, check_radius=check_radius), name="copies").withColumnRenamed("node", "pair")
+    named = distinct.withColumn("pair", pair).join(roots, "pair", "left").select("pair", "first_id", F.coalesce("root", "pair").alias("root"))
+    named = materialise(named, f"{folder}/named")
+    least = named.groupBy("root").agg(F.min("first_id").alias("kept"))
+    kept = named.join(least, "root").select("pair", "kept")
+    dropped = prints.withColumn("pair", pair).join(kept, "pair").filter("doc_id <> kept").select("doc_id").distinct()
+    dropped = materialise(dropped, f"{folder}/dropped").withColumnRenamed("doc_id", "dropped id")
+    rest = known.join(dropped, F.col(f"`{id_col}`").cast("long") == F.col("`dropped id`"), "left_anti")
+    first = F.row_number().over(Window.partitionBy(f"`{id_col}`").orderBy(F.xxhash64(text_of(f"`{text_col}`")), text_of(f"`{text_col}`")))
+    rest = rest.withColumn("fathomline row", first).filter("`fathomline row` = 1").drop("fathomline row")
+    return rest.unionByName(docs.filter(F.col(f"`{id_col}`").isNull()))
