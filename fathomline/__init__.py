@@ -1,0 +1 @@
+"""Document retrieval and analytics on Spark DataFrames."""
