@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import fan_out, materialise, work_dir
 
 HOT_BUCKETS = 20_000
-CHUNK_ROWS = 8192
+CHUNK_ROWS = 1024
 SAMPLE_ROWS = 20_000
 SAMPLE_QUERIES = 200
 EXACT_BLOCK = 512
