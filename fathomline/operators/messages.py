@@ -90,6 +90,6 @@ def markup_blocks(marked: DataFrame, keys: list[str], order: str = "line_no") ->
     return marked.withColumn("starts", starts).withColumn("block", F.sum("starts").over(own).cast("long")).drop("starts")
 
 
-def any_streaming(messages: DataFrame) -> Column:
-    """Whether any message still streams; false for none."""
+def any_streaming() -> Column:
+    """Aggregate: whether any message still streams; false for none."""
     return F.coalesce(F.bool_or("streaming"), F.lit(False))

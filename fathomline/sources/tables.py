@@ -22,7 +22,7 @@ def chunk_rows(chunks: DataFrame, width: int) -> DataFrame:
     """Chunks in the stored schema; a vector of another width is an error, a null one is not."""
     columns = [chunk_id(F.col("document_id"), F.col("chunk_index")).alias("id"), "document_id", "chunk_index", "content", checked_width("embedding", width).alias("embedding")]
     ready = chunks.select(*columns)
-    return ready.select(*[F.col(f.name).cast(f.dataType) for f in CHUNKS])
+    return ready.select(*[F.col(f.name).cast(f.dataType.simpleString()) for f in CHUNKS])
 
 
 def write_chunks(chunks: DataFrame, path: str, *, width: int) -> None:
@@ -88,7 +88,7 @@ def create_tables(spark: SparkSession, folder: str) -> None:
     from ..schemas import DOCUMENTS, STATUS_LOG
 
     for name, schema in (("documents", DOCUMENTS), ("document_chunks", CHUNKS), ("status_log", STATUS_LOG)):
-        spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{folder}/{name}")
+        spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{folder}/{name}.parquet")
 
 
 def drop_tables(spark: SparkSession, folder: str) -> None:
@@ -96,4 +96,4 @@ def drop_tables(spark: SparkSession, folder: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
     for name in ("document_chunks", "status_log", "documents"):
-        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}"), True)
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.parquet"), True)
