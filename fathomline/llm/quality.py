@@ -64,16 +64,22 @@ class QualityModel:
             return flat, flat, flat
         odds = []
         for model, rows, line in ((self.text, [text_features(t) for t in texts], self.lines[0]), (self.meta, [meta_features(t, m) for t, m in zip(texts, metas, strict=True)], self.lines[1])):
-            z = model.logits(rows)
-            odds.append((z[:, 1] - z[:, 0]) * line[0] + line[1])
+            odds.append(_odds(model, rows) * line[0] + line[1])
         return _sigmoid(odds[0]), _sigmoid(odds[1]), _sigmoid(np.column_stack(odds) @ self.lines[2][:-1] + self.lines[2][-1])
 
 
-def co_train(text_rows: list[np.ndarray], meta_rows: list[np.ndarray], labels: np.ndarray, *, rounds: int = 4, sure: float = 0.95, share: float = 0.1) -> QualityModel:
+def _odds(model: Model, rows: list[np.ndarray]) -> np.ndarray:
+    """Log-odds of good quality, not calibrated."""
+    z = model.logits(rows)
+    return z[:, 1] - z[:, 0]
+
+
+def co_train(text_rows: list[np.ndarray], meta_rows: list[np.ndarray], labels: np.ndarray, *, rounds: int = 4, sure: float = 0.98, share: float = 0.1) -> QualityModel:
     """Fit from features of labelled rows (label 0 or 1) and pool rows (label -1).
 
     Every fifth labelled row is kept for calibration.  A round hands over up to ``share`` of the
-    pool, of each class in the proportion of the labels, if the view is at least ``sure``.
+    pool, of each class in the proportion of the labels: what the calibrated view is at least
+    ``sure`` of, unless the other view is as sure of the contrary.
     """
     known = np.flatnonzero(labels >= 0)
     good = int((labels[known] == 1).sum())
@@ -85,32 +91,38 @@ def co_train(text_rows: list[np.ndarray], meta_rows: list[np.ndarray], labels: n
     taught: list[dict[int, int]] = [{int(i): int(labels[i]) for i in fitted} for _ in views]
     pool = set(np.flatnonzero(labels < 0).tolist())
 
-    def fit(view: int) -> Model:
+    def fit(view: int) -> tuple[Model, np.ndarray]:
+        """The view's model, and its calibration on the rows that were held back."""
         rows, size = views[view]
         at = sorted(taught[view])
-        return train([rows[i] for i in at], one_hot(np.array([taught[view][i] for i in at]), 2), size)
+        model = train([rows[i] for i in at], one_hot(np.array([taught[view][i] for i in at]), 2), size)
+        return model, _calibrate(_odds(model, [rows[i] for i in held])[:, None], labels[held].astype(float))
 
     quota = max(1, int(share * len(pool)))
     for _ in range(rounds if pool else 0):
         waiting = np.array(sorted(pool))
-        moved: set[int] = set()
+        beliefs = []
         for view, (rows, _) in enumerate(views):
-            chance = fit(view).chances([rows[i] for i in waiting])[:, 1]
-            for label, belief, part in ((1, chance, prior), (0, 1 - chance, 1 - prior)):
-                order = np.argsort(-belief, kind="stable")[: max(1, round(quota * part))]
-                picked = waiting[order[belief[order] >= sure]].tolist()
+            model, line = fit(view)
+            beliefs.append(_sigmoid(_odds(model, [rows[i] for i in waiting]) * line[0] + line[1]))
+        moved: set[int] = set()
+        for view in range(2):
+            for label, part in ((1, prior), (0, 1 - prior)):
+                own, other = (b if label else 1 - b for b in (beliefs[view], beliefs[1 - view]))
+                order = np.argsort(-own, kind="stable")[: max(1, round(quota * part))]
+                picked = waiting[order[(own[order] >= sure) & (other[order] >= 1 - sure)]].tolist()
                 for i in picked:
                     taught[1 - view].setdefault(i, label)
                 moved.update(picked)
         pool -= moved
         if not moved or not pool:
             break
-    models = [fit(view) for view in range(2)]
+    models = [fit(view)[0] for view in range(2)]
     truth, lines, odds = labels[held].astype(float), [], []
     for model, (rows, _) in zip(models, views, strict=True):
-        z = model.logits([rows[i] for i in held])
-        lines.append(_calibrate((z[:, 1] - z[:, 0])[:, None], truth))
-        odds.append((z[:, 1] - z[:, 0]) * lines[-1][0] + lines[-1][1])
+        z = _odds(model, [rows[i] for i in held])
+        lines.append(_calibrate(z[:, None], truth))
+        odds.append(z * lines[-1][0] + lines[-1][1])
     return QualityModel(prior, *models, (*lines, _calibrate(np.column_stack(odds), truth)))
 
 
