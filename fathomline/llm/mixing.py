@@ -3,11 +3,12 @@
 A classifier fitted on the labelled table gives every document the chances p_dk that it belongs to
 domain k.  Each document gets a rate r_d between 0 and ``max_rate``, and the expected tokens of a
 domain are sum over d of r_d n_d p_dk.  Rates minimise the squared distance of these totals from the
-targets by projected gradient steps: r <- clip(r - A' G^-1 (A r - T)), where A holds n_d p_dk and
-G = A A' is the K by K Gram matrix, in whose metric a step of length 1 is right.
+targets by accelerated projected gradient steps: y = r + b (r - r_before), r <- clip(y - A' G^-1 (A y - T)),
+where A holds n_d p_dk and G = A A' is the K by K Gram matrix, in whose metric a step of length 1 is
+right.  Momentum b starts anew when a step turns against the last.
 
 Documents never move.  A step needs the K totals only, which tasks sum over their own documents; a
-document's rate follows from its own numbers and the (short) list of past residuals, so no state is
+document's rate follows from its own numbers and the (short) list of past steps, so no state is
 kept between steps and a lost task recomputes its part.
 """
 
@@ -78,15 +79,20 @@ def _amounts(batch: pa.RecordBatch) -> np.ndarray:
     return n[:, None] * batch.column("p").flatten().to_numpy(zero_copy_only=False).reshape(len(n), -1)
 
 
-def rates_after(amounts: np.ndarray, steps: list[np.ndarray], max_rate: float) -> np.ndarray:
-    """Rates after projected steps; a step is G^-1 (A r - T)."""
-    rate = np.minimum(np.ones(len(amounts)), max_rate)
-    for step in steps:
-        rate = np.clip(rate - amounts @ step, 0.0, max_rate)
+#: A step: G^-1 (A y - T), and the momentum that led to y.
+Step = tuple[np.ndarray, float]
+
+
+def rates_after(amounts: np.ndarray, steps: list[Step], max_rate: float) -> np.ndarray:
+    """Rates after projected steps."""
+    before = rate = np.full(len(amounts), min(1.0, max_rate))
+    for step, momentum in steps:
+        ahead = rate + momentum * (rate - before)
+        before, rate = rate, np.clip(ahead - amounts @ step, 0.0, max_rate)
     return rate
 
 
-def _totals(table: DataFrame, k: int, steps: list[np.ndarray], max_rate: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _totals(table: DataFrame, k: int, steps: list[Step], max_rate: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sums over all documents: r a, a, and a a'; each task tells its own sums once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,23 +115,27 @@ def target_totals(available: np.ndarray, weights: np.ndarray, anchor: int, max_r
     return np.minimum(weights * total, available * max_rate)
 
 
-def fit_rates(table: DataFrame, weights: list[float], *, anchor: int = 0, max_rate: float = 1.0, rounds: int = 24, close: float = 1e-6) -> list[np.ndarray]:
+def fit_rates(table: DataFrame, weights: list[float], *, anchor: int = 0, max_rate: float = 1.0, rounds: int = 30, close: float = 1e-6) -> list[Step]:
     """The steps that lead to the rates; stops when totals hardly change or are close to the targets."""
     k = len(weights)
-    steps: list[np.ndarray] = []
+    steps: list[Step] = []
     totals, available, gram = _totals(table, k, steps, max_rate)
     if not available.sum():
         return steps
     targets = target_totals(available, np.array(weights, float), anchor, max_rate)
     metric = np.linalg.inv(gram + np.eye(k) * 1e-9 * np.trace(gram))
+    before, t = totals, 1.0
     for _ in range(rounds):
-        residual = totals - targets
-        if np.abs(residual).max() <= close * available.sum():
+        if np.abs(totals - targets).max() <= close * available.sum():
             break
-        steps.append(metric @ residual)
-        before, (totals, _, _) = totals, _totals(table, k, steps, max_rate)
+        t, momentum = (1 + np.sqrt(1 + 4 * t * t)) / 2, (t - 1) * 2 / (1 + np.sqrt(1 + 4 * t * t))
+        step = metric @ (totals + momentum * (totals - before) - targets)
+        steps.append((step, momentum))
+        before, totals = totals, _totals(table, k, steps, max_rate)[0]
         if np.abs(totals - before).max() <= close * available.sum():
             break
+        if step @ (totals - before) > 0:
+            t = 1.0
     return steps
 
 
@@ -135,7 +145,7 @@ def copies_of(rates: np.ndarray, ids: list[int | None], tokens: list[int]) -> np
     return np.floor(rates + u).astype(np.int32)
 
 
-def _fit(docs: DataFrame, labels: DataFrame, weights: dict[str, float], anchor: str, max_rate: float, labelled: int, rounds: int, id_col: str, text_col: str) -> tuple[DataFrame, Model | None, list[np.ndarray]]:
+def _fit(docs: DataFrame, labels: DataFrame, weights: dict[str, float], anchor: str, max_rate: float, labelled: int, rounds: int, id_col: str, text_col: str) -> tuple[DataFrame, Model | None, list[Step]]:
     """The written table of chances, the classifier, and the steps."""
     domains = labels.select("doc_id", label_domain(F.col("quality"), F.col("toxic")).alias("domain"))
     model = fit_domains(docs, domains, "domain", len(DOMAINS), labelled=labelled, id_col=id_col, text_col=text_col)
@@ -144,7 +154,7 @@ def _fit(docs: DataFrame, labels: DataFrame, weights: dict[str, float], anchor:
     return table, model, steps
 
 
-def mix(docs: DataFrame, labels: DataFrame, *, weights: dict[str, float], anchor: str = "clean", max_rate: float = 1.0, labelled: int = 6000, rounds: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, *, weights: dict[str, float], anchor: str = "clean", max_rate: float = 1.0, labelled: int = 6000, rounds: int = 30, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: doc_id, n_tokens, a chance p_<domain> for each domain, rate, and copies.
 
     Domains come from the labelled table (``label_domain``); ``weights`` are their shares of the
@@ -166,7 +176,7 @@ def mix(docs: DataFrame, labels: DataFrame, *, weights: dict[str, float], anchor
     return rated.select("doc_id", "n_tokens", *[F.col("p")[k].alias(f"p_{d}") for k, d in enumerate(DOMAINS)], "rate", "copies")
 
 
-def take_mixture(docs: DataFrame, labels: DataFrame, *, weights: dict[str, float], anchor: str = "clean", max_rate: float = 1.0, labelled: int = 6000, rounds: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def take_mixture(docs: DataFrame, labels: DataFrame, *, weights: dict[str, float], anchor: str = "clean", max_rate: float = 1.0, labelled: int = 6000, rounds: int = 30, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The mixture itself: the documents with all their columns, each as often as ``mix`` gives it copies.
 
     A document's copies follow from its own text and id, so no join is needed: chances are computed
