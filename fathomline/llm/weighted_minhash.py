@@ -28,7 +28,6 @@ _U = np.uint64
 #: Odd multipliers of the slots, and those of the mixing steps (fixed values, public constants of a 64-bit finaliser).
 _SLOT = (np.array([xxhash.xxh64_intdigest(f"slot {k}", 1) for k in range(SLOTS)], np.uint64) | _U(1))[:, None]
 _MIX = _U(0xFF51AFD7ED558CCD), _U(0xC4CEB9FE1A85EC53)
-_LOW = _U((1 << 21) - 1)
 
 
 def terms(text: str, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -56,10 +55,13 @@ def _draws(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     x ^= x >> _U(29)
     y = x * _MIX[1]
     y ^= y >> _U(32)
-    unit = lambda bits: (bits.astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-21)
-    r = -np.log(unit(x >> _U(43)) * unit((x >> _U(21)) & _LOW))
-    c = np.log(-np.log(unit(y >> _U(43)) * unit((y >> _U(22)) & _LOW)))
-    return r, c, unit(y & _LOW)
+    # 24 bits of each half word make four numbers, and three left-over bytes the fifth
+    (x_low, x_high), (y_low, y_high) = (np.moveaxis(w.view(np.uint32).reshape(*w.shape, 2), 2, 0) for w in (x, y))
+    unit = lambda bits: (bits.view(np.int32).astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-24)
+    r = -np.log(unit(x_high >> 8) * unit(x_low >> 8))
+    c = np.log(-np.log(unit(y_high >> 8) * unit(y_low >> 8)))
+    spare = ((x_low & 255) << 16) | ((x_high & 255) << 8) | (y_low & 255)
+    return r, c, unit(spare)
 
 
 def _steps(weights: np.ndarray, r: np.ndarray, b: np.ndarray) -> np.ndarray:
