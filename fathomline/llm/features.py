@@ -7,6 +7,8 @@ models are trained.  A model is a few hundred kilobytes and travels with the tas
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property, lru_cache
+from itertools import chain
 from operator import eq
 
 import numpy as np
@@ -29,9 +31,7 @@ class WordSlots(dict):
         self.limit = limit
 
     def __missing__(self, word: str) -> tuple[int, int]:
-        shape = word[:64].translate(_KINDS)
-        short = "".join(c for i, c in enumerate(shape) if i == 0 or c != shape[i - 1])
-        slots = _slot("w" + word.lower(), TEXT_BITS), _slot("s" + short, TEXT_BITS)
+        slots = _slot("w" + word.lower(), TEXT_BITS), _shape_slot(word[:64].translate(_KINDS))
         if len(self) >= self.limit:
             self.clear()
         if len(word) <= 64:
@@ -39,18 +39,29 @@ class WordSlots(dict):
         return slots
 
 
+@lru_cache(maxsize=100_000)
+def _shape_slot(kinds: str) -> int:
+    """The slot of a word's shape: its kinds of characters, runs taken together."""
+    return _slot("s" + "".join(c for i, c in enumerate(kinds) if i == 0 or c != kinds[i - 1]), TEXT_BITS)
+
+
 _words = WordSlots()
 
 
 def text_features(text: str | None) -> np.ndarray:
-    """Slots of a text's words, word shapes, and steps of how much it repeats itself; ascending, the last is constant."""
+    """Slots of a text's words, word shapes, and steps of how much it repeats itself; the last is constant."""
     found = (text or "").split()
-    each = set(map(_words.__getitem__, found))
-    n = len(found)
-    again = sum(map(eq, found, found[1:]))
-    facts = {"follows itself": _share(again, n), "distinct": _share(len(set(found)), n), "followers": again.bit_length(), "letters a word": (len(text or "") // n).bit_length() if n else -1}
-    slots = {x for pair in each for x in pair} | {_slot(f"{k}={v}", TEXT_BITS) for k, v in facts.items()}
-    return np.append(np.sort(np.fromiter(slots, np.int64, len(slots))), 1 << TEXT_BITS)
+    distinct, n = set(found), len(found)
+    slots = set(chain.from_iterable(map(_words.__getitem__, distinct)))
+    again = sum(map(eq, found, found[1:])) if len(distinct) < n else 0
+    facts = (("follows itself", _share(again, n)), ("distinct", _share(len(distinct), n)), ("followers", again.bit_length()), ("letters a word", (len(text or "") // n).bit_length() if n else -1))
+    slots.update(map(_fact_slot, facts))
+    return np.fromiter(chain(slots, (1 << TEXT_BITS,)), np.int64, len(slots) + 1)
+
+
+@lru_cache(maxsize=4096)
+def _fact_slot(fact: tuple[str, int]) -> int:
+    return _slot(f"{fact[0]}={fact[1]}", TEXT_BITS)
 
 
 def _share(part: int, whole: int) -> int:
@@ -109,12 +120,25 @@ class Model:
     slots: np.ndarray
     weights: np.ndarray
 
+    @cached_property
+    def place(self) -> np.ndarray:
+        """Where each slot's weights are; the row behind them, of zeros, for slots without."""
+        place = np.full(int(self.slots[-1]) + 1, len(self.slots), np.int32)
+        place[self.slots] = np.arange(len(self.slots))
+        return place
+
+    @cached_property
+    def padded(self) -> np.ndarray:
+        return np.vstack([self.weights, np.zeros(self.weights.shape[1])])
+
+    def __getstate__(self) -> dict:
+        return {"slots": self.slots, "weights": self.weights}
+
     def logits(self, rows: list[np.ndarray]) -> np.ndarray:
         out = np.empty((len(rows), self.weights.shape[1]))
         for k, row in enumerate(rows):
-            at = np.searchsorted(self.slots, row)
-            at[at == len(self.slots)] = 0
-            out[k] = self.weights[at[self.slots[at] == row]].sum(axis=0)
+            at = self.place[row]
+            out[k] = self.padded[np.sort(at[at < len(self.slots)])].sum(axis=0)
         return out
 
     def chances(self, rows: list[np.ndarray]) -> np.ndarray:
