@@ -4,8 +4,8 @@ A classifier fitted on the labelled table gives every document the chances p_dk
 domain k.  Each document gets a rate r_d between 0 and ``max_rate``, and the expected tokens of a
 domain are sum over d of r_d n_d p_dk.  Rates minimise the squared distance of these totals from the
 targets by accelerated projected gradient steps: y = r + b (r - r_before), r <- clip(y - A' G^-1 (A y - T)),
-where A holds n_d p_dk and G = A A' is the K by K Gram matrix, in whose metric a step of length 1 is
-right.  Momentum b starts anew when a step turns against the last.
+where A holds n_d p_dk and G = A A' is the K by K Gram matrix (and a
+little of the identity), in whose metric a step of length 1 is right.  Momentum b starts anew when a step turns against the last.
 
 Documents never move.  A step needs the K totals only, which tasks sum over their own documents; a
 document's rate follows from its own numbers and the (short) list of past steps, so no state is
@@ -25,26 +25,24 @@ from pyspark.sql import functions as F
 from .common import materialise, slices, work_dir
 from .features import TEXT_BITS, Model, one_hot, text_features, train
 
-#: Domains of the labelled table: every mix of its two labels that is told apart.
-DOMAINS = ("clean", "toxic", "junk")
-
-
 def label_domain(quality: Column, toxic: Column) -> Column:
-    """junk where the quality label is 0, else toxic where that label is 1, else clean; as the place in DOMAINS."""
-    return F.when(quality == 0, 2).when(toxic == 1, 1).when(quality.isNotNull() | toxic.isNotNull(), 0)
+    """Domains of the labelled table: junk where the quality label is 0, else toxic where that label is 1, else clean."""
+    return F.when(quality == 0, "junk").when(toxic == 1, "toxic").when(quality.isNotNull() | toxic.isNotNull(), "clean")
 
 
-def fit_domains(docs: DataFrame, labels: DataFrame, domain: str, n_domains: int, *, labelled: int = 6000, id_col: str = "doc_id", text_col: str = "text") -> Model | None:
-    """Text classifier of the domain (column ``domain`` of ``labels``: 0 to n_domains - 1), on at most ``labelled`` rows chosen by hash.
+def fit_domains(docs: DataFrame, labels: DataFrame, domains: list[str], *, labelled: int = 6000, id_col: str = "doc_id", text_col: str = "text") -> Model | None:
+    """Text classifier of ``domains`` from ``labels`` (doc_id, domain), on at most ``labelled`` rows chosen by hash.
 
-    One row of ``labels`` a document is used, the least domain of several.  None without labelled documents.
+    Rows of other domains are left out; of several rows of a document the first domain in the list
+    counts.  None without labelled documents.
     """
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([text_features(t).astype(np.int32) for t in batch.column(2).to_pylist()], pa.list_(pa.int32()))], ["doc_id", "domain", "slots"])
 
-    known = labels.filter(F.col("doc_id").isNotNull() & F.col(domain).isNotNull()).groupBy("doc_id").agg(F.min(domain).cast("int").alias("domain"))
+    place = F.array_position(F.array(*map(F.lit, domains)), F.col("domain")).cast("int") - 1
+    known = labels.filter(F.col("doc_id").isNotNull()).select("doc_id", place.alias("domain")).filter("domain >= 0").groupBy("doc_id").agg(F.min("domain").alias("domain"))
     ids = docs.select(F.col(id_col).alias("doc_id"))
     chosen = F.broadcast(known.join(ids, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(chosen, "doc_id").select("doc_id", "domain", "text")
@@ -53,21 +51,21 @@ def fit_domains(docs: DataFrame, labels: DataFrame, domain: str, n_domains: int,
         return None
     order = np.argsort(got["doc_id"].to_numpy(), kind="stable")
     slots = [v.values.to_numpy().astype(np.int64) for v in got["slots"]]
-    return train([slots[i] for i in order], one_hot(got["domain"].to_numpy()[order], n_domains), (1 << TEXT_BITS) + 1, keep=1000, ridge=1e-4)
+    return train([slots[i] for i in order], one_hot(got["domain"].to_numpy()[order], len(domains)), (1 << TEXT_BITS) + 1, keep=1000, ridge=1e-4)
 
 
-def _chances(texts: list[str | None], model: Model | None) -> tuple[list[int], np.ndarray]:
+def _chances(texts: list[str | None], model: Model | None, n_domains: int) -> tuple[list[int], np.ndarray]:
     """Words between white space, and a chance for each domain; equal chances without a model."""
-    p = model.chances([text_features(t) for t in texts]) if model else np.full((len(texts), len(DOMAINS)), 1 / len(DOMAINS))
+    p = model.chances([text_features(t) for t in texts]) if model else np.full((len(texts), n_domains), 1 / n_domains)
     return [len(t.split()) if t else 0 for t in texts], p
 
 
-def posteriors(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def posteriors(docs: DataFrame, model: Model | None, n_domains: int, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens and p (a chance for each domain) of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            tokens, p = _chances(batch.column(1).to_pylist(), model)
+            tokens, p = _chances(batch.column(1).to_pylist(), model, n_domains)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens, pa.int64()), pa.array(list(p), pa.list_(pa.float64()))], ["doc_id", "n_tokens", "p"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, p array<double>")
@@ -123,7 +121,8 @@ def fit_rates(table: DataFrame, weights: list[float], *, anchor: int = 0, max_ra
     if not available.sum():
         return steps
     targets = target_totals(available, np.array(weights, float), anchor, max_rate)
-    metric = np.linalg.inv(gram + np.eye(k) * 1e-9 * np.trace(gram))
+    # domains with next to nothing must not weigh as much as the rest
+    metric = np.linalg.inv(gram + np.eye(k) * 1e-3 * np.trace(gram) / k)
     before, t = totals, 1.0
     for _ in range(rounds):
         if np.abs(totals - targets).max() <= close * available.sum():
@@ -147,18 +146,19 @@ def copies_of(rates: np.ndarray, ids: list[int | None], tokens: list[int]) -> np
 
 def _fit(docs: DataFrame, labels: DataFrame, weights: dict[str, float], anchor: str, max_rate: float, labelled: int, rounds: int, id_col: str, text_col: str) -> tuple[DataFrame, Model | None, list[Step]]:
     """The written table of chances, the classifier, and the steps."""
-    domains = labels.select("doc_id", label_domain(F.col("quality"), F.col("toxic")).alias("domain"))
-    model = fit_domains(docs, domains, "domain", len(DOMAINS), labelled=labelled, id_col=id_col, text_col=text_col)
-    table = materialise(posteriors(docs, model, id_col=id_col, text_col=text_col), work_dir(docs.sparkSession, "mixing"))
-    steps = fit_rates(table, [weights.get(d, 0.0) for d in DOMAINS], anchor=DOMAINS.index(anchor), max_rate=max_rate, rounds=rounds)
+    domains = list(weights)
+    known = labels.select("doc_id", label_domain(F.col("quality"), F.col("toxic")).alias("domain"))
+    model = fit_domains(docs, known, domains, labelled=labelled, id_col=id_col, text_col=text_col)
+    table = materialise(posteriors(docs, model, len(domains), id_col=id_col, text_col=text_col), work_dir(docs.sparkSession, "mixing"))
+    steps = fit_rates(table, list(weights.values()), anchor=domains.index(anchor), max_rate=max_rate, rounds=rounds)
     return table, model, steps
 
 
 def mix(docs: DataFrame, labels: DataFrame, *, weights: dict[str, float], anchor: str = "clean", max_rate: float = 1.0, labelled: int = 6000, rounds: int = 30, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: doc_id, n_tokens, a chance p_<domain> for each domain, rate, and copies.
 
-    Domains come from the labelled table (``label_domain``); ``weights`` are their shares of the
-    mixture.  The anchor domain is used whole, which sets the size of the mixture.  ``copies`` is
+    Domains are the keys of ``weights``, told apart by the labelled table (``label_domain``; rows of
+    other domains teach nothing); the values are their shares of the mixture.  The anchor domain is used whole, which sets the size of the mixture.  ``copies`` is
     the rate rounded by the hash of doc_id and tokens, so repeated rows fare alike.  Null text has
     no tokens and a rate like any other; without labels all domains are equally likely; an empty
     table gives no rows; other columns are ignored.
@@ -173,7 +173,7 @@ def mix(docs: DataFrame, labels: DataFrame, *, weights: dict[str, float], anchor
                 yield batch.append_column("rate", pa.array(rate)).append_column("copies", pa.array(copies))
 
     rated = table.mapInArrow(run, "doc_id long, n_tokens long, p array<double>, rate double, copies int")
-    return rated.select("doc_id", "n_tokens", *[F.col("p")[k].alias(f"p_{d}") for k, d in enumerate(DOMAINS)], "rate", "copies")
+    return rated.select("doc_id", "n_tokens", *[F.col("p")[k].alias(f"p_{d}") for k, d in enumerate(weights)], "rate", "copies")
 
 
 def take_mixture(docs: DataFrame, labels: DataFrame, *, weights: dict[str, float], anchor: str = "clean", max_rate: float = 1.0, labelled: int = 6000, rounds: int = 30, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -187,7 +187,7 @@ def take_mixture(docs: DataFrame, labels: DataFrame, *, weights: dict[str, float
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             texts = batch.column(text_col).to_pylist()
-            tokens, p = _chances(texts, model)
+            tokens, p = _chances(texts, model, len(weights))
             rate = rates_after(np.array(tokens, np.float64)[:, None] * p, steps, max_rate)
             ids = batch.column(id_col).to_pylist()
             yield batch.take(pa.array(np.repeat(np.arange(batch.num_rows), copies_of(rate, ids, tokens))))
