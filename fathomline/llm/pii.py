@@ -25,9 +25,9 @@ SHAPES = {
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])",
     "date": r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9]|[./-][0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])",
-    "ip": r"(?<![0-9.])[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?![0-9]|\.[0-9])",
-    "phone": r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])",
-    "card": r"(?<![0-9A-Za-z.])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])",
+    "ip": r"(?<![0-9]|[0-9]\.)[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?![0-9]|\.[0-9])",
+    "phone": r"(?<![0-9A-Za-z])(?:(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}|\+[0-9]{1,3}(?:[ .-]?\([0-9]{1,4}\))?(?:[ .-]?[0-9]{2,4}){2,5})(?![0-9])",
+    "card": r"(?<![0-9A-Za-z]|[0-9]\.)(?:[0-9]{13,19}|[0-9]{4} [0-9]{4} [0-9]{4} [0-9]{4}|[0-9]{4}-[0-9]{4}-[0-9]{4}-[0-9]{4}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9A-Za-z]|\.[0-9])",
 }
 PATTERN = "|".join(SHAPES.values())
 ROUNDS = 8
@@ -134,7 +134,7 @@ def kind_of(s: Column) -> Column:
         .when(whole("date"), F.when(day.between(0, DATE_HALVES[0] * DATE_HALVES[1] - 1), "date"))
         .when(whole("ssn"), F.when(area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0), "ssn"))
         .when(whole("ip"), F.when(F.forall(_octets(s), lambda o: o <= 255) & ~s.rlike(r"(^|\.)0[0-9]"), "ip"))
-        .when(whole("phone"), "phone")
+        .when(whole("phone"), F.when(n.between(7, 15), "phone"))
         .when(whole("card"), F.when(n.between(13, 19) & (_luhn_sum(_digits(s)) % 10 == 0) & (_digits(s) != F.repeat(F.lit("0"), n)), "card"))
     )
 
@@ -146,8 +146,9 @@ def pseudonym(s: Column, kind: Column, key: str) -> Column:
     # a card keeps its first digit and gets the check digit that fits
     inner = F.concat(F.substring(digits, 1, 1), permuted_digits(F.substring(digits, F.lit(2), n - 2), key, F.concat(F.lit("card"), F.substring(digits, 1, 1), n.cast("string"))))
     card = refill(s, F.concat(inner, F.pmod(10 - _luhn_sum(F.concat(inner, F.lit("0"))) % 10, F.lit(10)).cast("string")))
-    phone_code = F.substring(digits, F.lit(1), n - 10)
-    phone = refill(s, F.concat(phone_code, permuted_digits(F.substring(digits, n - 9, F.lit(10)), key, F.lit("phone"))))
+    # a phone number keeps what stands before its last ten digits
+    own = F.least(n, F.lit(10))
+    phone = refill(s, F.concat(F.substring(digits, F.lit(1), n - own), permuted_digits(F.substring(digits, n - own + 1, own), key, F.lit("phone"))))
     o = _octets(s)
     pair = feistel(o[0] * 256 + o[1], o[2] * 256 + o[3], (F.lit(65536), F.lit(65536)), key, F.lit("ip"))
     ip = F.aggregate(F.array(pair), F.lit(""), lambda _, p: F.concat_ws(".", *[(F.floor(p[h] / 256) if high else p[h] % 256).cast("string") for h in ("l", "r") for high in (True, False)]))

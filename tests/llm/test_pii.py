@@ -62,13 +62,13 @@ def brute(value):
         o = list(map(int, value.split(".")))
         x, y = network(o[0] * 256 + o[1], o[2] * 256 + o[3], (65536, 65536), "ip")
         return f"{x // 256}.{x % 256}.{y // 256}.{y % 256}"
-    if "(" in value or re.fullmatch(r"\d{3}[-.]\d{3}[-.]\d{4}", value):
+    if value[0] == "+" or "(" in value or re.fullmatch(r"\d{3}[-.]\d{3}[-.]\d{4}", value):
         return fill(value, bare[:-10] + digits(bare[-10:], "phone"))
     inner = bare[0] + digits(bare[1:-1], f"card{bare[0]}{len(bare)}")
     return fill(value, inner + str(-luhn(inner + "0") % 10))
 
 
-VALUES = ["that.92@mail2.example.com", "4111 1111 1111 1111", "4337166598464399", "378282246310005", "5500-0000-0000-0004", "+1 (988) 555-2485", "(499) 555-6503", "415-555-0199", "42.144.35.254", "0.0.0.0", "255.255.255.255", "2024-02-29", "1800-01-01", "2199-12-31", "078-05-1120", "899-99-9999", "667-01-0001", "DE89370400440532013000", "GB82WEST12345698765432"]
+VALUES = ["that.92@mail2.example.com", "4111 1111 1111 1111", "4337166598464399", "378282246310005", "5500-0000-0000-0004", "+1 (988) 555-2485", "(499) 555-6503", "415-555-0199", "+44 20 7946 0958", "+1 (068) 555-2748", "+49 30 123456", "42.144.35.254", "0.0.0.0", "255.255.255.255", "2024-02-29", "1800-01-01", "2199-12-31", "078-05-1120", "899-99-9999", "667-01-0001", "DE89370400440532013000", "GB82WEST12345698765432"]
 LEFT = ["4111 1111 1111 1112", "256.1.1.1", "1.2.3", "2023-02-29", "2200-01-01", "666-01-0001", "900-01-0001", "123-00-1234", "DE89370400440532013001", "12345", "0000000000000000", "a@b", "1.2.3.4.5", "v1.02.3.4"]
 
 
@@ -98,6 +98,16 @@ def test_what_does_not_validate_is_left(spark):
     assert run(spark, texts) == texts
 
 
+def test_neighbours_do_not_hide_values(spark):
+    card, ip, phone = "4337166598464399", "42.144.35.254", "+1 (988) 555-2485"
+    texts = [f"{card} 12 x", f"x.{ip}.", f"{phone} {card}", f"{card} {card}", f"{ip}%%% {ip} 4041", f"a@b.org### {phone}&&&"]
+    got = run(spark, texts)
+    for old, new in zip(texts, got, strict=True):
+        for value in (card, ip, phone, "a@b.org"):
+            old = old.replace(value, brute(value))
+        assert new == old
+
+
 def test_dates_link_across_spellings(spark):
     a, b, c, d, e = run(spark, ["2024-03-25", "2024/03/25", "03/25/2024", "25.03.2024", "25/03/2024"])
     y, m, day = a.split("-")
