@@ -12,8 +12,11 @@ from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship_package
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -22,6 +25,7 @@ def work_dir(spark: SparkSession, name: str) -> str:
 
     Only where that setting is absent (tests on one machine) a local folder is chosen and set.
     """
+    ship_package(spark)
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = "file://" + tempfile.mkdtemp(prefix="fathomline-")
