@@ -34,9 +34,14 @@ def message(status: Column, error: Column) -> Column:
 
 
 def told(log: DataFrame) -> DataFrame:
-    """The changes that a client sees: up to and with the first terminal one of each document."""
-    ended = F.sum(F.col("status").isin("done", "failed").cast("int")).over(Window.partitionBy("document_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
-    return log.withColumn("ended", F.coalesce(ended, F.lit(0))).filter("ended = 0").drop("ended").withColumn("message", message(F.col("status"), F.col("error_msg")))
+    """The changes that a client sees: up to and with the first terminal one of each document.
+
+    The first terminal change is aggregated before the shuffle, so a document with very many
+    changes isn't gathered; its rows may be split over tasks when they meet it.
+    """
+    ends = log.filter(F.col("status").isin("done", "failed")).groupBy("document_id").agg(F.min("seq").alias("last_seq"))
+    seen = log.join(ends, "document_id", "left").filter("last_seq is null or seq <= last_seq").drop("last_seq")
+    return seen.withColumn("message", message(F.col("status"), F.col("error_msg")))
 
 
 def allowed(log: DataFrame) -> DataFrame:
