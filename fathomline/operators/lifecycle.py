@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import falsy_default
+from ..functions.text import falsy_default, is_blank
 
 #: What a status tells a client.
 READY, FAILED, WORKING = "Document ready for Q&A.", "Ingestion failed.", "Ingesting document..."
@@ -75,3 +75,13 @@ def preflight(requests: DataFrame, documents: DataFrame) -> DataFrame:
     known = documents.select(F.col("id").alias("document_id"), F.col("status").alias("document_status"))
     code = F.when(F.col("document_status").isNull(), 404).when((F.col("document_status") != "done") | (F.trim("message") == ""), 400)
     return requests.join(known, "document_id", "left").withColumn("error_code", code).drop("document_status")
+
+
+def can_send(text: Column, document_id: Column, pending: Column) -> Column:
+    """Whether a client may send: a message that isn't blank, a chosen document, and no answer under way."""
+    return F.coalesce(~is_blank(text) & document_id.isNotNull() & ~pending, F.lit(False))
+
+
+def client_state(status: Column) -> Column:
+    """What an uploading client shows for a stored status; nothing chosen is idle, stored but not begun is uploading."""
+    return F.when(status.isNull(), "idle").when(status == "pending", "uploading").otherwise(status)

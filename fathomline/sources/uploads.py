@@ -63,6 +63,11 @@ def land(uploads: DataFrame, folder: str) -> DataFrame:
     return rows.select("id", "file_name", "file_path", F.current_timestamp().alias("uploaded_at"), F.lit("pending").alias("status"), F.lit(None).cast("string").alias("error_msg"))
 
 
+def parse_pending(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """The stored files (id, file_name, content) of pending documents."""
+    return spark.read.schema("id string, file_name string, content binary").parquet(*paths)
+
+
 def docx_text(content: bytes) -> str:
     """Paragraphs of a document's body that aren't blank, a line each; tables, headers and notes are not read."""
     with zipfile.ZipFile(io.BytesIO(content)) as file:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -20,11 +21,11 @@ def _log(rows: DataFrame, path: str) -> None:
     rows.select(*[F.col(f.name).cast(f.dataType) for f in STATUS_LOG]).write.mode("append").parquet(path)
 
 
-def ingest_batch(files: DataFrame, *, log_path: str, chunk_path: str, make_embedder: Callable[[], Embedder], width: int, settings: Settings | None = None, first_seq: int = 1) -> None:
+def ingest_batch(files: DataFrame, *, log_path: str, chunk_path: str, make_embedder: Callable[[], Embedder], width: int, settings: Settings | None = None, first_seq: int = 1, wait: Callable[[float], None] = time.sleep) -> None:
     """Take files (id, file_name, content) from pending to done or failed.
 
     Every document's changes are appended in order: processing, then done or failed; a failed one is
-    tried once more.  A blank document has no chunks and is done.  Chunk ids follow from their place
+    tried once more after a pause.  A blank document has no chunks and is done.  Chunk ids follow from their place
     and a document's chunks are replaced as a whole, so a batch that is run twice leaves the same
     table.
     """
@@ -43,6 +44,7 @@ def ingest_batch(files: DataFrame, *, log_path: str, chunk_path: str, make_embed
             failed = parsed.filter("error is not null").select("id")
             if attempt == settings.retries or failed.isEmpty():
                 return
+            wait(settings.retry_seconds)
             waiting, seq = waiting.join(failed, "id", "left_semi"), seq + 2
         finally:
             if attempt == settings.retries:

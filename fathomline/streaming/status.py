@@ -30,6 +30,22 @@ def watch(changes: Iterator[tuple[str, str | None]]) -> Iterator[dict]:
             return
 
 
+#: Fixed value: what a client shows when the stream breaks off.
+LOST = "Connection to server lost."
+
+
+def follow(events: Iterator[dict]) -> Iterator[dict]:
+    """What an uploading client shows: events up to the first terminal one; a stream that breaks off or ends early counts as failed."""
+    try:
+        for event in events:
+            yield event
+            if event.get("status") in ("done", "failed"):
+                return
+    except Exception:  # any break of the stream looks alike to a client
+        pass
+    yield {"status": "failed", "message": LOST}
+
+
 _MESSAGE = "message_id string, content string, streaming boolean, error boolean"
 
 

@@ -9,11 +9,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from fathomline import agent as A
+from fathomline.config import Settings
 from fathomline.functions.embedding import HashingEmbedder
+from fathomline.logs import log_to
 from fathomline.operators import lifecycle as L
 from fathomline.operators import messages as M
 from fathomline.operators import search as S
 from fathomline.schemas import STATUS_LOG
+from fathomline.service import DocumentService, Rejected
 from fathomline.sources import tables, uploads
 from fathomline.streaming import ingest, status
 
@@ -197,7 +200,7 @@ def test_ingest_stream(spark, tmp_path):
     files = spark.createDataFrame([("1", "a.docx", bytearray(docx("word " * 400))), ("2", "b.pdf", bytearray(b"junk")), ("3", "c.docx", bytearray(docx()))], "id string, file_name string, content binary")
     files.write.parquet(f"file://{folder}")
     log, chunks = f"file://{tmp_path}/log", f"file://{tmp_path}/chunks"
-    options = {"log_path": log, "chunk_path": chunks, "make_embedder": lambda: HashingEmbedder(8), "width": 8}
+    options = {"settings": Settings(retry_seconds=0), "log_path": log, "chunk_path": chunks, "make_embedder": lambda: HashingEmbedder(8), "width": 8}
     source = spark.readStream.schema(files.schema).parquet(f"file://{folder}")
     for _ in range(2):
         ingest.ingest_stream(source, checkpoint=f"file://{tmp_path}/cp", **options).awaitTermination(120)
@@ -214,6 +217,47 @@ def test_ingest_stream(spark, tmp_path):
     assert spark.sql("select * from live where message = 'not a PDF'").count() >= 2
 
 
+def test_service(spark, tmp_path):
+    service = DocumentService(spark, f"file://{tmp_path}/app", lambda: HashingEmbedder(8), 8, Settings(retry_seconds=0, max_upload_mb=1))
+    with pytest.raises(Rejected, match="Unsupported"):
+        service.upload("x.py", "text/x-python", b"x" * 2**21)
+    with pytest.raises(Rejected, match="1MB"):
+        service.upload("x.png", "image/png", b"x" * (2**20 + 1))
+    good = service.upload("a.docx", "image/png", docx("The revenue was high.", "Costs fell."))
+    bad = service.upload("b.pdf", "application/pdf", b"junk")
+    assert good["status"] == "pending" and service.ready().count() == 0
+    with pytest.raises(L.NotReady):
+        service.chat(good["id"], "?", A.ScriptedModel([], []))
+    service.ingest_pending()
+    service.ingest_pending()
+    assert [r["file_name"] for r in service.ready().collect()] == ["a.docx"]
+    read = lambda frames: [json.loads(f[6:]) for f in frames]
+    assert read(service.status(good["id"], lambda s: None)) == [{"status": "done", "message": L.READY}]
+    assert read(service.status(bad["id"], lambda s: None)) == [{"status": "failed", "message": "not a PDF"}]
+    with pytest.raises(L.NotFound):
+        service.status("nobody")
+    model = A.ScriptedModel([A.Reply(tool_calls=[A.ToolCall("1", {"query": "revenue"})])], ["High."])
+    events = read(service.chat(good["id"], "What is the revenue?", model))
+    assert [e["type"] for e in events] == ["token", "citations", "done"] and events[1]["chunks"][0]["content"].startswith("The revenue")
+    assert service.health() == {"status": "ok"}
+
+
+def test_client_side(spark, tmp_path):
+    def broken():
+        yield {"status": "processing"}
+        raise OSError
+
+    assert list(status.follow(broken())) == [{"status": "processing"}, {"status": "failed", "message": status.LOST}]
+    assert list(status.follow(iter([{"status": "done"}, {"status": "late"}]))) == [{"status": "done"}]
+    rows = spark.createDataFrame([("hi", "d", False), (" ", "d", False), ("hi", None, False), ("hi", "d", True), (None, "d", False)], "t string, d string, p boolean")
+    assert [r[0] for r in rows.select(L.can_send(F.col("t"), F.col("d"), F.col("p"))).collect()] == [True, False, False, False, False]
+    states = spark.createDataFrame([(None,), ("pending",), ("processing",), ("failed",)], "s string").select(L.client_state(F.col("s"))).collect()
+    assert [r[0] for r in states] == ["idle", "uploading", "processing", "failed"]
+    logger = log_to(str(tmp_path / "app.log"))
+    logger.info("hello")
+    assert "hello" in (tmp_path / "app.log").read_text()
+
+
 def test_fold_stream(spark, tmp_path):
     rows = [("m", 1, "token", "b"), ("m", 0, "token", "a"), ("m", 2, "done", None), ("m", 3, "token", "late"), ("n", 0, "token", "x")]
     spark.createDataFrame(rows, "message_id string, seq long, type string, content string").write.parquet(f"file://{tmp_path}/ev")
