@@ -26,7 +26,7 @@ def work_dir(spark: SparkSession, name: str) -> str:
     Only where that setting is absent (tests on one machine) a local folder is chosen and set.
     """
     ship_package(spark)
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("fathomline.work.dir", None)
     if not root:
         root = "file://" + tempfile.mkdtemp(prefix="fathomline-")
         spark.sparkContext.setCheckpointDir(root)
