@@ -12,7 +12,7 @@ be 2,081.  Variants keep 48 fixed bits, so unrelated fingerprints hardly ever me
 to 3 bits, and holds every candidate against a second fingerprint, of word pairs, which unrelated ones don't.
 
 Equal fingerprints are one before anything is emitted, so copies cost nothing.  Variants are
-shuffled with the fingerprint only, sorted, and verified bucket by bucket; a bucket tells the forest
+shuffled with the few bits that give the fingerprint back, sorted, and verified bucket by bucket; a bucket tells the forest
 of its links, never its pairs.
 """
 
@@ -86,15 +86,38 @@ def blocks_of(n: int) -> list[tuple[int, int]]:
     return [(k * 64 // n, (k + 1) * 64 // n - k * 64 // n) for k in range(n)]
 
 
+def _flips(low: int, width: int) -> tuple[np.uint64, np.ndarray]:
+    """A block's bits, and what its variants flip outside it: nothing, or one bit."""
+    blank = np.uint64(((1 << width) - 1) << low)
+    return blank, np.array([0, *(1 << i for i in range(64) if not int(blank) >> i & 1)], np.uint64)
+
+
 def variants(prints: np.ndarray, blocks: int) -> Iterator[np.ndarray]:
     """For each block: the fingerprints with it blanked and at most one other bit flipped, all of one in a row."""
     for number, (low, width) in enumerate(blocks_of(blocks)):
-        blank = np.uint64(((1 << width) - 1) << low)
-        flips = np.array([0, *(1 << i for i in range(64) if not int(blank) >> i & 1)], np.uint64)
+        blank, flips = _flips(low, width)
         # the block's number stands in the blank, so that blocks don't meet each other
         yield ((prints & ~blank) | np.uint64((number & ((1 << width) - 1)) << low))[:, None] ^ flips[None, :]
 
 
+def traces(prints: np.ndarray, blocks: int) -> Iterator[np.ndarray]:
+    """What each variant needs besides itself to give its fingerprint back: the block's bits, the flip and the block, in few bits."""
+    for number, (low, width) in enumerate(blocks_of(blocks)):
+        flips = np.arange(65 - width, dtype=np.uint64) << np.uint64(4)
+        yield ((prints >> np.uint64(low) & np.uint64((1 << width) - 1)) << np.uint64(11))[:, None] | flips[None, :] | np.uint64(number)
+
+
+def restored(keys: np.ndarray, trace: np.ndarray, blocks: int) -> np.ndarray:
+    """The fingerprints of variants and their traces."""
+    out = np.empty_like(keys)
+    number, flip = trace & np.uint64(15), (trace >> np.uint64(4) & np.uint64(127)).astype(np.int64)
+    for k, (low, width) in enumerate(blocks_of(blocks)):
+        at = np.flatnonzero(number == k)
+        blank, flips = _flips(low, width)
+        out[at] = ((keys[at] ^ flips[flip[at]]) & ~blank) | trace[at] >> np.uint64(11) << np.uint64(low)
+    return out
+
+
 def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and sizes of equal runs in a sorted array."""
     starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
@@ -205,19 +228,24 @@ def links(prints: DataFrame, *, blocks: int = 4, check_radius: int = 64) -> Data
     """
     checked, near = "check" in prints.columns, Near(RADIUS, check_radius)
     columns = ["fp", "check"] if checked else ["fp"]
+    sent = ["key", "trace", "check"] if checked else ["key", "trace"]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 4096):
             own = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for keys in variants(own, blocks):
+            for keys, trace in zip(variants(own, blocks), traces(own, blocks), strict=True):
                 at = pa.array(np.repeat(np.arange(len(own)), keys.shape[1]))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), *(c.take(at) for c in batch.columns)], ["key", *columns])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(trace.ravel().view(np.int64)), *(c.take(at) for c in batch.columns[1:])], sent)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
 
         def linked(rows: list[np.ndarray]) -> pa.RecordBatch:
-            return _links(*bucket_links(rows[0], rows[1], rows[2] if checked else None, near))
+            # most buckets hold one fingerprint; only the others' are restored
+            starts, sizes = _groups(rows[0])
+            some = np.repeat(sizes > 1, sizes)
+            keys, trace, *check = (x[some] for x in rows)
+            return _links(*bucket_links(keys, restored(keys, trace, blocks), check[0] if checked else None, near))
 
         for batch in batches:
             held.append([c.to_numpy(zero_copy_only=False).view(np.uint64) for c in batch.columns])
@@ -232,7 +260,7 @@ def links(prints: DataFrame, *, blocks: int = 4, check_radius: int = 64) -> Data
 
     # few distinct fingerprints become many variants: deal them out first
     n = fan_out(prints.sparkSession)
-    emitted = prints.select(*columns).repartition(n).mapInArrow(emit, ", ".join(f"{c} long" for c in ["key", *columns]))
+    emitted = prints.select(*columns).repartition(n).mapInArrow(emit, ", ".join(f"{c} long" for c in sent))
     end = "struct<fp: long, check: long>" if checked else "long"
     return emitted.repartition(n, "key").sortWithinPartitions("key").mapInArrow(meet, f"a {end}, b {end}").distinct()
 

@@ -55,6 +55,13 @@ def test_variants_meet_exactly_within_radius(distance, blocks):
         assert meet or distance > 3
 
 
+@pytest.mark.parametrize("blocks", [3, 4, 16])
+def test_traces_give_fingerprints_back(blocks):
+    own = np.random.default_rng(blocks).integers(0, 1 << 63, 50).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+    for keys, trace in zip(S.variants(own, blocks), S.traces(own, blocks), strict=True):
+        assert np.array_equal(S.restored(keys.ravel(), trace.ravel(), blocks), np.repeat(own, keys.shape[1]))
+
+
 def test_local_roots_of_large_bucket_match_pairwise(monkeypatch):
     rng = np.random.default_rng(3)
     base = np.uint64(0x0123456789ABCDEF)
