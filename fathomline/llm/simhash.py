@@ -187,37 +187,43 @@ def _nodes(prints: np.ndarray, checks: np.ndarray | None) -> np.ndarray:
     return out
 
 
+#: How many neighbours in its bucket every fingerprint is held against before buckets are looked at one by one.
+NEIGHBOURS = 16
+
+
 def bucket_links(keys: np.ndarray, prints: np.ndarray, checks: np.ndarray | None = None, near: Near | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Links (node, another one of its component) of whole buckets, given sorted by key."""
+    """Links (node, another one of its component) of whole buckets, given sorted by key.
+
+    Neighbours are compared for all buckets at once.  That is every pair of small buckets; a larger
+    one is searched through by itself only if it isn't one component by then.
+    """
     near = near or Near()
     starts, sizes = _groups(keys)
     some = np.repeat(sizes > 1, sizes)
     keys, nodes = keys[some], _nodes(prints, checks)[some]
-    out_a, out_b = [nodes[:0]], [nodes[:0]]
+    if not len(keys):
+        return nodes, nodes
+    every, at = np.unique(nodes, return_inverse=True)
     split = lambda x: (x, None) if checks is None else (x["fp"], x["check"])
-    starts, sizes = _groups(keys)
-    for start, size in zip(starts[sizes > 32].tolist(), sizes[sizes > 32].tolist(), strict=True):
-        own = np.unique(nodes[start : start + size])
-        root = local_roots(*split(own), near)
-        child = np.flatnonzero(root != np.arange(len(own)))
-        out_a.append(own[child])
-        out_b.append(own[root[child]])
-    small = np.repeat(sizes <= 32, sizes)
-    keys, nodes = keys[small], nodes[small]
     p, c = split(nodes)
-    for shift in range(1, int(sizes[sizes <= 32].max(initial=1))):
+    ends = []
+    starts, sizes = _groups(keys)
+    for shift in range(1, min(int(sizes.max()) - 1, NEIGHBOURS) + 1):
         same = np.flatnonzero(keys[shift:] == keys[:-shift])
         linked = same[near(p[same + shift], p[same], None if c is None else c[same + shift], None if c is None else c[same])]
-        out_a.append(nodes[linked + shift])
-        out_b.append(nodes[linked])
-    a, b = np.concatenate(out_a), np.concatenate(out_b)
-    if not len(a):
-        return a, b
-    # what whole batches link is told once: each node with the first of its component here
-    every, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    root = _spread(np.arange(len(every)), at[: len(a)], at[len(a) :])
-    child = np.flatnonzero(root != np.arange(len(every)))
-    return every[child], every[root[child]]
+        ends.append((at[linked + shift], at[linked]))
+    label = _spread(np.arange(len(every)), *(np.concatenate(x) for x in zip(*ends, strict=True)))
+    large, done = np.flatnonzero(sizes > NEIGHBOURS + 1).tolist(), 0
+    while done < len(large):
+        ends = [(label[:0], label[:0])]
+        for k in large[done : done + 64]:
+            own = np.unique(at[starts[k] : starts[k] + sizes[k]])
+            if np.ptp(label[own]):
+                root = local_roots(*split(every[own]), near)
+                ends.append((own, own[root]))
+        label, done = _spread(label, *(np.concatenate(x) for x in zip(*ends, strict=True))), done + 64
+    child = np.flatnonzero(label != np.arange(len(every)))
+    return every[child], every[label[child]]
 
 
 def links(prints: DataFrame, *, blocks: int = 4, check_radius: int = 64) -> DataFrame:
