@@ -26,7 +26,7 @@ def _slot(name: str, bits: int) -> int:
 class WordSlots(dict):
     """Word to its two feature slots, the lower-cased word and its shape; bounded, starts anew when full."""
 
-    def __init__(self, limit: int = 300_000):
+    def __init__(self, limit: int = 200_000):
         super().__init__()
         self.limit = limit
 
