@@ -16,13 +16,13 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from fathomline.llm.alike import one_of_each_alike
 from fathomline.llm.common import materialise, read_table, work_dir
 from fathomline.llm.mixing import take_mixture
 from fathomline.llm.packing import pack_documents
 from fathomline.llm.pii import pseudonymise
 from fathomline.llm.quality import fit_quality, keep_good
 from fathomline.llm.queries import PSEUDONYM_KEY
-from fathomline.llm.simhash import one_of_each
 
 #: Shares of the mixture; clean documents are used whole, and junk has gone before.
 MIXTURE = {"clean": 0.97, "toxic": 0.03}
@@ -34,8 +34,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of copies and near copies."""
-    return one_of_each(docs)
+    """Keep one document of each group of copies and near copies (five-word shingles 0.8 alike)."""
+    return one_of_each_alike(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

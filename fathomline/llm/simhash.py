@@ -7,9 +7,9 @@ least one lies in some block; with that block blanked at most two remain, and th
 flips meet between them.  That is 4 * (1 + 48) = 196 variants, where whole balls of radius 2 would
 be 2,081.  Variants keep 48 fixed bits, so unrelated fingerprints hardly ever meet, at any corpus size.
 
-``near_duplicates`` is that alone.  ``one_of_each`` looks for documents that five-word shingles would call
-0.8 alike: it meets on a fingerprint of single words without marks and case, which such documents nearly always share
-to 3 bits, and holds every candidate against a second fingerprint, of word pairs, which unrelated ones don't.
+``near_duplicates`` is that alone.  ``one_of_each`` meets on a fingerprint of single words without marks and case and holds
+every candidate against a second fingerprint, of word pairs.  Where documents are dropped for good, ``alike.py`` has
+``one_of_each_alike``, which links what five-word shingles call 0.8 alike, by their sets and not by fingerprints.
 
 Equal fingerprints are one before anything is emitted, so copies cost nothing.  Variants are
 shuffled with the few bits that give the fingerprint back, sorted, and verified bucket by bucket; a bucket tells the forest
@@ -320,7 +320,13 @@ def one_of_each(docs: DataFrame, *, words: int = 1, check_words: int = 2, check_
     least = named.groupBy("root").agg(F.min("first_id").alias("kept"))
     kept = named.join(least, "root").select("pair", "kept")
     dropped = prints.withColumn("pair", pair).join(kept, "pair").filter("doc_id <> kept").select("doc_id").distinct()
-    dropped = materialise(dropped, f"{folder}/dropped").withColumnRenamed("doc_id", "dropped id")
+    return without(docs, materialise(dropped, f"{folder}/dropped"), id_col=id_col, text_col=text_col)
+
+
+def without(docs: DataFrame, dropped: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` but for the ids of ``dropped`` (doc_id), one row of each id, and all rows without an id."""
+    dropped = dropped.withColumnRenamed("doc_id", "dropped id")
+    known = docs.filter(F.col(f"`{id_col}`").isNotNull())
     rest = known.join(dropped, F.col(f"`{id_col}`").cast("long") == F.col("`dropped id`"), "left_anti")
     first = F.row_number().over(Window.partitionBy(f"`{id_col}`").orderBy(F.xxhash64(text_of(f"`{text_col}`")), text_of(f"`{text_col}`")))
     rest = rest.withColumn("fathomline row", first).filter("`fathomline row` = 1").drop("fathomline row")
