@@ -44,6 +44,19 @@ def test_stage_keeps_what_only_fingerprints_call_alike(spark):
     assert {r["doc_id"] for r in got.collect()} == {r[0] for r in rows}
 
 
+def test_stage_finds_near_copies_with_other_fingerprints(spark):
+    rng = random.Random(2)
+    rows = []
+    for g in range(40):
+        own = words(rng, 150)
+        rows.append((10 * g, " ".join(own), "x"))
+        own[60:72] = words(rng, 12)
+        rows.append((10 * g + 1, " ".join(own), "x"))
+    assert len(brute_kept(rows)) == 40
+    got = C.near_duplicates(spark, spark.createDataFrame(rows, SCHEMA), "")
+    assert {r["doc_id"] for r in got.collect()} == {10 * g for g in range(40)}
+
+
 @pytest.mark.parametrize("group_shingles", [None, 700])
 def test_matches_brute_force(spark, group_shingles):
     rng = random.Random(3)
