@@ -3,7 +3,8 @@
 Both vocabularies in use split text before merging and never merge across a single space between
 two visible characters.  A text is therefore cut there, each piece is encoded once with the
 library's own BPE model, and its ids are kept in a bounded table.  A text in which white space
-touches a cut takes a slower road with the same result.
+touches a cut takes a slower road with the same result.  The contents of the file's added tokens (special
+ones) are found first, as the library does, and their ids stand between those of the parts around them.
 """
 
 from __future__ import annotations
@@ -57,14 +58,21 @@ class _Pieces(dict):
 
 
 class PieceEncoder:
-    """Encodes texts to little-endian uint32 id bytes, equal to ``Tokenizer.encode(text, add_special_tokens=False)``
-    with ``encode_special_tokens`` on: the names of special tokens in a text are ordinary text.
+    """Encodes texts to little-endian uint32 id bytes, equal to ``Tokenizer.encode(text, add_special_tokens=False)``.
 
+    With ``added`` that is the library's default, which gives added tokens' contents in a text their own ids; without
+    it, it is the library with ``encode_special_tokens`` on: they are ordinary text.
     ``limit`` bounds the table of pieces (about 250 bytes each, twice that with the older table).
     """
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 300_000, *, added: bool = False):
         self.tokenizer = Tokenizer.from_file(path)
+        tokens = {t.content: (i, t) for i, t in self.tokenizer.get_added_tokens_decoder().items()} if added else {}
+        if any(t.normalized or t.lstrip or t.rstrip or t.single_word for _, t in tokens.values()):
+            raise ValueError("added tokens that take more than their content out of a text are not known here")
+        self.added = {content: array("I", [i]).tobytes() for content, (i, _) in tokens.items()}
+        # of contents that start at one place the longest counts
+        self.cut_added = re.compile(f"({'|'.join(map(re.escape, sorted(self.added, key=len, reverse=True)))})").split
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         normalizer, self.pre = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
@@ -99,6 +107,12 @@ class PieceEncoder:
         return b"".join(map(self._word, self.split(piece.lower() if self.lowers else piece)))
 
     def encode(self, text: str) -> bytes:
+        if self.added and any(content in text for content in self.added):
+            return b"".join([self.added[p] if k % 2 else self._plain(p) for k, p in enumerate(self.cut_added(text))])
+        return self._plain(text)
+
+    def _plain(self, text: str) -> bytes:
+        """The ids of a text in which nothing counts as an added token."""
         if not text:
             return b""
         head, *tail = text.split(" ")
@@ -113,5 +127,5 @@ class PieceEncoder:
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> PieceEncoder:
-    """One encoder a worker process and file."""
-    return PieceEncoder(path)
+    """One encoder a worker process and file, equal to the library's default."""
+    return PieceEncoder(path, added=True)
