@@ -25,6 +25,12 @@ WORD_SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
 _CUT = re.compile("(?<=[^\\s᠎​﻿]) (?=[^\\s᠎​﻿])")
 
 
+#: Classes and forms of characters before this one are the same for every engine.
+_FAR = "\u0250"
+#: Marks that no pattern joins with the letters before them.
+_MARKS = frozenset(".,;:!?")
+
+
 class _Unsafe(Exception):
     """White space touches a cut: the pieces of this text aren't independent."""
 
@@ -36,24 +42,22 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) if b in printable else chr(next(spare)) for b in range(256)}
 
 
-class _Pieces(dict):
-    """Piece to id bytes; computes what is missing, and starts anew (keeping one older table) when full."""
+class _Table(dict):
+    """Text to id bytes; computes what is missing, and starts anew (keeping one older table) when full."""
 
     def __init__(self, compute, limit: int):
         super().__init__()
         self.compute, self.limit, self.old = compute, limit, {}
 
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.old.get(piece)
+    def __missing__(self, text: str) -> bytes:
+        ids = self.old.get(text)
         if ids is None:
-            if not piece or piece[0].isspace() or piece[-1].isspace():
-                raise _Unsafe
-            ids = self.compute(piece)
-        if len(piece) <= 48:
+            ids = self.compute(text)
+        if len(text) <= 48:
             if len(self) >= self.limit:
                 self.old = dict(self)
                 self.clear()
-            self[piece] = ids
+            self[text] = ids
         return ids
 
 
@@ -62,10 +66,10 @@ class PieceEncoder:
 
     With ``added`` that is the library's default, which gives added tokens' contents in a text their own ids; without
     it, it is the library with ``encode_special_tokens`` on: they are ordinary text.
-    ``limit`` bounds the table of pieces (about 250 bytes each, twice that with the older table).
+    ``limit`` bounds the tables of pieces and of words (about 200 bytes an entry; each has an older table of that size).
     """
 
-    def __init__(self, path: str, limit: int = 300_000, *, added: bool = False):
+    def __init__(self, path: str, limit: int = 200_000, *, added: bool = False):
         self.tokenizer = Tokenizer.from_file(path)
         tokens = {t.content: (i, t) for i, t in self.tokenizer.get_added_tokens_decoder().items()} if added else {}
         if any(t.normalized or t.lstrip or t.rstrip or t.single_word for _, t in tokens.values()):
@@ -84,27 +88,47 @@ class PieceEncoder:
             raise ValueError(f"pieces of this tokenizer are not known to be independent: {kind[:200]}")
         self.split = regex.compile(pattern).findall
         self.letters = {b: ord(c) for b, c in _byte_letters().items()}
-        self.words: dict[str, bytes] = {}
-        self.first = _Pieces(self._piece, limit // 10)
-        self.rest = _Pieces((lambda p: self._piece(" " + p)) if self.spaced else self._piece, limit)
-        self.limit = limit
-        if not self.spaced:
-            self.first = self.rest
-
-    def _word(self, word: str) -> bytes:
-        ids = self.words.get(word)
-        if ids is None:
-            ids = array("I", [t.id for t in self.model.tokenize(word.encode().decode("latin1").translate(self.letters))]).tobytes()
-            if len(self.words) >= self.limit // 2:
-                self.words.clear()
-            if len(word) <= 48:
-                self.words[word] = ids
-        return ids
-
-    def _piece(self, piece: str) -> bytes:
-        if not piece.isascii() and max(piece) >= "\u0250":  # classes and forms of Latin letters are the same everywhere
-            return array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
-        return b"".join(map(self._word, self.split(piece.lower() if self.lowers else piece)))
+        self.space = chr(self.letters[32])
+        self.words = _Table(self._ids, limit // 4)
+        self.first = _Table(self._first, limit // 10 if self.spaced else limit)
+        self.rest = _Table(self._after_space, limit) if self.spaced else self.first
+        self.line_end = self._ids("\n") if self.spaced else b""
+
+    def _ids(self, word: str) -> bytes:
+        if word.isascii() and word.isprintable():
+            letters = word.replace(" ", self.space)
+        else:
+            letters = word.encode().decode("latin1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+
+    def _first(self, piece: str) -> bytes:
+        return self._compute(piece, self.first, "")
+
+    def _after_space(self, piece: str) -> bytes:
+        return self._compute(piece, self.rest, " ")
+
+    def _compute(self, piece: str, table: _Table, lead: str) -> bytes:
+        """The ids of a piece, a space leading it or none; pieces that it is made of come from the tables."""
+        if not piece or piece[0].isspace() or piece[-1].isspace():
+            raise _Unsafe
+        if not piece.isascii() and max(piece) >= _FAR:
+            return self._split(lead + piece)
+        shown = piece.lower() if self.lowers else piece
+        if shown.isalpha():
+            return self._ids(lead + shown)
+        if shown[-1] in _MARKS and shown[:-1].isalpha():
+            return table[shown[:-1]] + self.words[shown[-1]]
+        before, line, after = piece.partition("\n")
+        if line and not before[-1].isspace() and not after[0].isspace():
+            # a single line end between visible characters is a token of its own, or dropped like a space
+            return table[before] + self.line_end + self.first[after]
+        return self._split(lead + piece)
+
+    def _split(self, text: str) -> bytes:
+        """The ids of any text that isn't cut any more."""
+        if not text.isascii() and max(text) >= _FAR:
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        return b"".join(map(self.words.__getitem__, self.split(text.lower() if self.lowers else text)))
 
     def encode(self, text: str) -> bytes:
         if self.added and any(content in text for content in self.added):
@@ -122,7 +146,7 @@ class PieceEncoder:
             pass
         space = " " if self.spaced else ""
         pieces = _CUT.split(text)
-        return b"".join([self._piece(p if k == 0 else space + p) for k, p in enumerate(pieces)])
+        return b"".join([self._split(p if k == 0 else space + p) for k, p in enumerate(pieces)])
 
 
 @lru_cache(maxsize=2)
