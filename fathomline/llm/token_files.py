@@ -30,11 +30,10 @@ MAGIC = b"FLTOKEF1"
 SAMPLE = 256
 #: documents, null doc_ids at the start, ids, bytes of an id, least doc_id; then for each sequence: n, low bits, bytes of low, high and samples, bytes of a sample.
 _TRAILER = struct.Struct("<QQQQq" + "QQQQQQ" * 2 + "8s")
-_POPCOUNT = np.array([bin(b).count("1") for b in range(256)], np.uint8)
 
 
 class EliasFano:
-    """A non-decreasing sequence of unsigned integers; ``select(i)`` reads one entry, ``all()`` every one."""
+    """A non-decreasing sequence of unsigned integers; ``select(i)`` reads one entry."""
 
     def __init__(self, n: int, low_bits: int, low: bytes, high: bytes, samples: np.ndarray):
         self.n, self.low_bits, self.low, self.high, self.samples = n, low_bits, low, high, samples
@@ -57,24 +56,22 @@ class EliasFano:
         if not 0 <= i < self.n:
             raise IndexError(i)
         at, left = int(self.samples[i // SAMPLE]), i % SAMPLE
-        byte = at // 8
-        here = self.high[byte] >> (at % 8) << (at % 8)
-        while (count := int(_POPCOUNT[here])) <= left:
+        block = at // 64
+        here = self._block(block) >> (at % 64) << (at % 64)
+        while (count := here.bit_count()) <= left:
             left -= count
-            byte += 1
-            here = self.high[byte]
+            block += 1
+            here = self._block(block)
         for _ in range(left):
             here &= here - 1
-        one = 8 * byte + (here & -here).bit_length() - 1
+        one = 64 * block + (here & -here).bit_length() - 1
         first = i * self.low_bits
         word = int.from_bytes(self.low[first // 8 : (first + self.low_bits + 7) // 8], "little")
         return (one - i) << self.low_bits | word >> first % 8 & (1 << self.low_bits) - 1
 
-    def all(self) -> np.ndarray:
-        ones = np.flatnonzero(np.unpackbits(np.frombuffer(self.high, np.uint8), bitorder="little"))[: self.n].astype(np.uint64)
-        bits = np.unpackbits(np.frombuffer(self.low, np.uint8), bitorder="little")[: self.n * self.low_bits].reshape(self.n, self.low_bits).astype(np.uint64)
-        low = (bits << np.arange(self.low_bits, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
-        return ((ones - np.arange(self.n, dtype=np.uint64)) << np.uint64(self.low_bits)) + low
+    def _block(self, block: int) -> int:
+        """64 bits of the unary half."""
+        return int.from_bytes(self.high[8 * block : 8 * block + 8], "little")
 
     def parts(self) -> tuple[bytes, bytes, bytes]:
         return self.low, self.high, self.samples.tobytes()
@@ -112,12 +109,10 @@ class ShardReader:
         return np.frombuffer(self.file.read((end - start) * self.width), f"<u{self.width}").astype("<u4")
 
     def documents(self, block_ids: int = 1 << 20) -> Iterator[tuple[int | None, int, int, int]]:
-        """doc_id, start, length and crc32 of each document's ids as uint32, read in blocks."""
-        ends = self.ends.all().astype(np.int64)
-        starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
-        names = [None] * self.nulls + (self.ids.all().astype(np.int64) + self.least).tolist()
-        lo, block = 0, self.read(0, min(block_ids, self.n_ids))
-        for doc, start, end in zip(names, starts.tolist(), ends.tolist(), strict=True):
+        """doc_id, start, length and crc32 of each document's ids as uint32; boundaries by select, ids read in blocks."""
+        lo, block, end = 0, self.read(0, min(block_ids, self.n_ids)), 0
+        for i in range(self.n_docs):
+            doc, start, end = self.doc_id(i), end, self.ends.select(i)
             crc, at = 0, start
             while at < end:
                 if at >= lo + len(block):
@@ -174,7 +169,9 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, *, end_
         yield pa.RecordBatch.from_pylist([{"shard": shard, "path": f"{folder}/shard-{shard:08d}.tok", "n_docs": told[0][0], "n_ids": told[0][1]}], pa.schema([("shard", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    by_range = rows.repartitionByRange(shards or fan_out(spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    # rows that share an id are told apart by their text's head, so that an id many rows share is not one shard
+    order = F.col("doc_id").asc_nulls_first()
+    by_range = rows.repartitionByRange(shards or fan_out(spark), order, F.substring("text", 1, 64)).sortWithinPartitions(order, "text")
     manifest = materialise(by_range.mapInArrow(write, "shard int, path string, n_docs long, n_ids long"), f"{folder}/manifest")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     return manifest.withColumn("first_id", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
