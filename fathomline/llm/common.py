@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -23,17 +24,35 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def work_dir(spark: SparkSession, name: str) -> str:
     """A new folder that driver and executors share: below spark.checkpoint.dir.
 
-    Only where that setting is absent (tests on one machine) a local folder is chosen and set.
+    Only where that setting is absent and all runs in one local process (tests) a local folder is
+    chosen and set; on a cluster without the setting this is an error.  ``remove_work`` deletes what
+    an application's operators have written.
     """
     ship_package(spark)
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("fathomline.work.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="fathomline-")
         spark.sparkContext.setCheckpointDir(root)
         spark.conf.set("fathomline.work.dir", root)
     if "://" not in root and not root.startswith("file:"):
         root = "file://" + os.path.abspath(root)
-    return f"{root.rstrip('/')}/fathomline/{name}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/fathomline/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def remove_work(spark: SparkSession) -> None:
+    """Delete this application's work folders; results that weren't stored elsewhere can't be read any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(work_dir(spark, "none").rpartition("/")[0])
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def free_name(base: str, *taken: str) -> str:
+    """A column name that none of ``taken`` equals, in any case."""
+    used, name = {t.lower() for t in taken}, base
+    while name.lower() in used:
+        name += "_"
+    return name
 
 
 def materialise(df: DataFrame, path: str) -> DataFrame:
@@ -59,6 +78,11 @@ def put_file(fs: pafs.FileSystem, path: str, write) -> None:
     fs.move(temp, path)
 
 
+def quoted(name: str) -> Column:
+    """The column of exactly this name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def text_of(column: str | Column = "text") -> Column:
     """A text column with null read as the empty text."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))

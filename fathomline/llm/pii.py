@@ -5,7 +5,7 @@ social security areas, account check digits).  What holds is permuted under a ke
 network over the numbers of its own format and written back in the same spelling: a card becomes
 another valid card with the same separators, a date another date.  A permutation keeps equal values
 equal and different values different across all documents, and ``key`` and round function alone
-decide it.  Mail addresses have no number to permute and become keyed addresses of a reserved
+decide it.  Dates stay within their 400-year cycle of the calendar.  Mail addresses have no number to permute and become keyed addresses of a reserved
 domain.  Candidates that don't validate are left as they are.
 
 Texts are cut at the candidates once, and the pieces joined again; a text without a digit or an at
@@ -19,9 +19,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_name, quoted
+
 #: The shapes of candidates (Java regular expressions), tried in this order at each place.
 SHAPES = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,63}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,125}\.[A-Za-z]{2,63}",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])",
     "date": r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9]|[./-][0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])",
@@ -31,9 +33,12 @@ SHAPES = {
 }
 PATTERN = "|".join(SHAPES.values())
 ROUNDS = 8
-#: Days of a whole 400-year cycle of the calendar, as the product of the two halves' sizes; the first is 1800-01-01.
+#: Days of a whole 400-year cycle of the calendar, as the product of the two halves' sizes; cycle 0 begins on 1800-01-01.
 DATE_HALVES = (189, 773)
+CYCLE_DAYS = 189 * 773
 FIRST_DAY = "1800-01-01"
+#: The years 1 to 199 and 9800 to 9999 are parts of cycles: first day, cycle number and halves of each.
+CUT_CYCLES = (("0001-01-01", -5, (13, 5591)), ("9800-01-01", 20, (184, 397)))
 
 
 def _digits(s: Column) -> Column:
@@ -109,6 +114,19 @@ def _date_of(s: Column) -> Column:
     return F.coalesce(*[t.cast("date") for t in tries])
 
 
+def _permuted_day(day: Column, key: str) -> Column:
+    """Another day of the same 400-year cycle, or of the part of one that four-digit years cut off."""
+    since = lambda first: F.datediff(day, F.lit(first).cast("date"))
+    cycle = F.floor(since(FIRST_DAY) / CYCLE_DAYS)
+    chosen = lambda whole, cut: reduce(lambda c, k: c.when(cycle == CUT_CYCLES[k][1], cut(k)), range(len(CUT_CYCLES)), F).otherwise(whole)
+    first = chosen(F.date_add(F.lit(FIRST_DAY).cast("date"), (cycle * CYCLE_DAYS).cast("int")), lambda k: F.lit(CUT_CYCLES[k][0]).cast("date"))
+    a, b = (chosen(F.lit(DATE_HALVES[h]), lambda k, h=h: F.lit(CUT_CYCLES[k][2][h])) for h in (0, 1))
+    days = F.datediff(day, first)
+    tweak = F.concat_ws(":", F.lit("date"), F.when(cycle != 0, cycle.cast("string")))
+    pair = feistel(F.floor(days / b), days % b, (a, b), key, tweak)
+    return F.aggregate(F.array(pair), day, lambda _, p: F.date_add(first, (p["l"] * b + p["r"]).cast("int")))
+
+
 def _date_format(s: Column) -> Column:
     slashed = F.when(F.try_to_timestamp(s, F.lit("MM/dd/yyyy")).isNotNull(), "MM/dd/yyyy").otherwise("dd/MM/yyyy")
     return F.when(s.rlike("^[0-9]{4}-"), "yyyy-MM-dd").when(s.rlike("^[0-9]{4}/"), "yyyy/MM/dd").when(s.contains("/"), slashed).otherwise("dd.MM.yyyy")
@@ -126,12 +144,11 @@ def kind_of(s: Column) -> Column:
     """The kind of a candidate that validates, else null."""
     whole = lambda kind: s.rlike(f"^(?:{SHAPES[kind]})$")
     area, group, serial = _ssn_parts(s)
-    day = F.datediff(_date_of(s), F.lit(FIRST_DAY))
     n = F.length(_digits(s))
     return (
         F.when(F.locate("@", s) > 0, "email")
         .when(whole("iban"), F.when(_mod97(s) == 1, "iban"))
-        .when(whole("date"), F.when(day.between(0, DATE_HALVES[0] * DATE_HALVES[1] - 1), "date"))
+        .when(whole("date"), F.when(_date_of(s) >= F.lit(CUT_CYCLES[0][0]).cast("date"), "date"))
         .when(whole("ssn"), F.when(area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0), "ssn"))
         .when(whole("ip"), F.when(F.forall(_octets(s), lambda o: o <= 255) & ~s.rlike(r"(^|\.)0[0-9]"), "ip"))
         .when(whole("phone"), F.when(n.between(7, 15), "phone"))
@@ -152,10 +169,7 @@ def pseudonym(s: Column, kind: Column, key: str) -> Column:
     o = _octets(s)
     pair = feistel(o[0] * 256 + o[1], o[2] * 256 + o[3], (F.lit(65536), F.lit(65536)), key, F.lit("ip"))
     ip = F.aggregate(F.array(pair), F.lit(""), lambda _, p: F.concat_ws(".", *[(F.floor(p[h] / 256) if high else p[h] % 256).cast("string") for h in ("l", "r") for high in (True, False)]))
-    days = F.datediff(_date_of(s), F.lit(FIRST_DAY))
-    a, b = DATE_HALVES
-    pair = feistel(F.floor(days / b), days % b, (F.lit(a), F.lit(b)), key, F.lit("date"))
-    date = F.aggregate(F.array(pair), F.lit(""), lambda _, p: F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), (p["l"] * b + p["r"]).cast("int")), "yyyy-MM-dd"))
+    date = F.date_format(_permuted_day(_date_of(s), key), "yyyy-MM-dd")
     day = F.to_date(date, "yyyy-MM-dd")
     date = reduce(lambda c, f: c.when(_date_format(s) == f, F.date_format(day, f)), ("yyyy/MM/dd", "MM/dd/yyyy", "dd/MM/yyyy", "dd.MM.yyyy"), F.when(_date_format(s) == "yyyy-MM-dd", date))
     area, group, serial = _ssn_parts(s)
@@ -179,14 +193,16 @@ def pseudonymise(docs: DataFrame, key: str, *, text_col: str = "text", chars_col
 
     ``chars_col``, if there is one, is set to the new length where a text changes.  ``count_col``
     adds the number of values replaced (it takes the place of a column of that name).  Null texts
-    stay null with no values, empty ones empty; repeated rows are treated alike; an empty table
-    gives an empty table.
+    stay null with no values, empty ones empty; texts of any length are treated whole; repeated rows
+    are treated alike; an empty table gives an empty table; no other column's name matters.
     """
-    text, hits, columns = F.col(f"`{text_col}`"), "`fathomline pii hits`", docs.columns
+    columns = docs.columns
+    name = free_name("pii hits", *columns)
+    text, hits = quoted(text_col), F.col(name)
     found = F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
     checked = F.transform(found, lambda m: F.struct(m.alias("value"), kind_of(m).alias("kind")))
     none = F.array().cast("array<struct<value: string, kind: string>>")
-    held = docs.withColumn(hits.strip("`"), F.when(text.rlike("[0-9@]"), checked).otherwise(none))
+    held = docs.withColumn(name, F.when(text.rlike("[0-9@]"), checked).otherwise(none))
     kinds = F.filter(hits, lambda h: h["kind"].isNotNull())
     renamed = F.transform(hits, lambda h: F.when(h["kind"].isNull(), h["value"]).otherwise(pseudonym(h["value"], h["kind"], key)))
     rebuilt = F.array_join(F.zip_with(F.split(text, PATTERN, -1), renamed, lambda gap, new: F.concat(gap, F.coalesce(new, F.lit("")))), "")
@@ -196,11 +212,11 @@ def pseudonymise(docs: DataFrame, key: str, *, text_col: str = "text", chars_col
         if c == text_col:
             out.append(F.when(changed, rebuilt).otherwise(text).alias(c))
         elif c != count_col:
-            out.append(F.col(f"`{c}`"))
+            out.append(quoted(c))
     if count_col:
         out.append(F.size(kinds).cast("long").alias(count_col))
     result = held.select(*out)
     if chars_col in columns and chars_col != count_col:
         kind = docs.schema[chars_col].dataType
-        result = result.withColumn(chars_col, F.when(F.col(f"`{text_col}`").isNull(), F.col(f"`{chars_col}`")).otherwise(F.char_length(f"`{text_col}`").cast(kind)))
+        result = result.withColumn(chars_col, F.when(text.isNull(), quoted(chars_col)).otherwise(F.char_length(text).cast(kind)))
     return result

@@ -51,9 +51,12 @@ def brute(value):
         new = fill(rest, digits(re.sub("[^0-9]", "", rest), "iban" + value[:2] + re.sub("[0-9]", "0", rest)))
         return f"{value[:2]}{98 - mod97(value[:2] + '00' + new):02d}{new}"
     if m := re.fullmatch(r"(\d{4})-(\d\d)-(\d\d)", value):
-        days = (date(*map(int, m.groups())) - date(1800, 1, 1)).days
-        x, y = network(days // 773, days % 773, (189, 773), "date")
-        return str(date(1800, 1, 1) + timedelta(days=x * 773 + y))
+        day = date(*map(int, m.groups()))
+        cycle = (day.year - 1800) // 400
+        first, (a, b) = {-5: (date(1, 1, 1), (13, 5591)), 20: (date(9800, 1, 1), (184, 397))}.get(cycle, (date(max(1, 1800 + 400 * cycle), 1, 1), (189, 773)))
+        days = (day - first).days
+        x, y = network(days // b, days % b, (a, b), f"date:{cycle}" if cycle else "date")
+        return (first + timedelta(days=x * b + y)).isoformat()
     if re.fullmatch(r"\d{3}-\d\d-\d{4}", value):
         area, group, serial = map(int, value.split("-"))
         x, y = network(area - (2 if area > 666 else 1), (group - 1) * 9999 + serial - 1, (898, 99 * 9999), "ssn")
@@ -68,8 +71,8 @@ def brute(value):
     return fill(value, inner + str(-luhn(inner + "0") % 10))
 
 
-VALUES = ["that.92@mail2.example.com", "4111 1111 1111 1111", "4337166598464399", "378282246310005", "5500-0000-0000-0004", "+1 (988) 555-2485", "(499) 555-6503", "415-555-0199", "+44 20 7946 0958", "+1 (068) 555-2748", "+49 30 123456", "42.144.35.254", "0.0.0.0", "255.255.255.255", "2024-02-29", "1800-01-01", "2199-12-31", "078-05-1120", "899-99-9999", "667-01-0001", "DE89370400440532013000", "GB82WEST12345698765432"]
-LEFT = ["4111 1111 1111 1112", "256.1.1.1", "1.2.3", "2023-02-29", "2200-01-01", "666-01-0001", "900-01-0001", "123-00-1234", "DE89370400440532013001", "12345", "0000000000000000", "a@b", "1.2.3.4.5", "v1.02.3.4"]
+VALUES = ["that.92@mail2.example.com", "4111 1111 1111 1111", "4337166598464399", "378282246310005", "5500-0000-0000-0004", "+1 (988) 555-2485", "(499) 555-6503", "415-555-0199", "+44 20 7946 0958", "+1 (068) 555-2748", "+49 30 123456", "42.144.35.254", "0.0.0.0", "255.255.255.255", "2024-02-29", "1800-01-01", "2199-12-31", "1750-03-04", "2250-01-01", "2200-01-01", "0001-01-01", "0199-12-31", "0200-01-01", "9799-12-31", "9800-01-01", "9999-12-31", "name@" + "sub." * 40 + "example.com", "078-05-1120", "899-99-9999", "667-01-0001", "DE89370400440532013000", "GB82WEST12345698765432"]
+LEFT = ["4111 1111 1111 1112", "256.1.1.1", "1.2.3", "2023-02-29", "0000-01-01", "666-01-0001", "900-01-0001", "123-00-1234", "DE89370400440532013001", "12345", "0000000000000000", "a@b", "1.2.3.4.5", "v1.02.3.4"]
 
 
 def run(spark, texts):
@@ -134,6 +137,14 @@ def test_edges(spark):
     assert P.pseudonymise(docs.limit(0), KEY).count() == 0
 
 
+def test_no_column_name_shows_what_was_found(spark):
+    names = ["fathomline pii hits", "pii hits", "PII HITS_", "a.b", "it`s"]
+    docs = spark.createDataFrame([(1, "at 42.144.35.254 end", *["own"] * 5)], "doc_id long, text string, " + ", ".join(f"`{n.replace('`', '``')}` string" for n in names))
+    out = P.pseudonymise(docs, KEY, count_col="n_pii")
+    assert out.columns == [*docs.columns, "n_pii"]
+    assert out.collect()[0][1:-1] == (f"at {brute('42.144.35.254')} end", *["own"] * 5)
+
+
 def test_plan_has_no_python(spark):
     docs = spark.createDataFrame([(1, "x")], "doc_id long, text string")
     plan = P.pseudonymise(docs, KEY)._jdf.queryExecution().executedPlan().toString()
