@@ -35,7 +35,16 @@ CANDIDATE_LEAST = 40
 
 _RUN = re.compile(r"[0-9A-Za-z+/_-]{16,}={0,2}")
 _HEX_RUN = re.compile(r"[0-9A-Fa-f]{64,}")
-_PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----([A-Za-z0-9+/=\s:,.-]*?)-----END \1-----")
+_PEM_LINE = re.compile(r"-----(BEGIN|END) ((?:[A-Z0-9]+ )*PRIVATE KEY)-----")
+_PEM_BODY = re.compile(r"[A-Za-z0-9+/=\s:,.-]*")
+#: Line ends as JSON and env files spell them.
+_ESCAPED_END = re.compile(r"(?:\\r)?\\n")
+#: The ciphers of encrypted blocks and their block sizes in bytes.
+CIPHERS = {"DES-CBC": 8, "DES-EDE3-CBC": 8, "AES-128-CBC": 16, "AES-192-CBC": 16, "AES-256-CBC": 16}
+_DEK = re.compile(r"DEK-Info:[ \t]*([A-Z0-9-]+)[ \t]*,[ \t]*([0-9A-Fa-f]+)[ \t]*$", re.M)
+#: A long base64 line and what follows it on the next lines.
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}(?:\r?\n[ \t]*[A-Za-z0-9+/_-]+={0,2})+")
+_LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
 #: A JSON object's first byte makes the first base64 character e and narrows the second.
 _TOKEN = re.compile(r"(?<![A-Za-z0-9_.-])e[w-z0-9_-][A-Za-z0-9_-]{6,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
 
@@ -140,6 +149,48 @@ def is_signed_token(token: str) -> bool:
     return isinstance(head, dict) and isinstance(head.get("alg"), str) and isinstance(body, dict) and (decode_base64(signature) is not None) and bool(signature or head["alg"].lower() == "none")
 
 
+def is_pem_key(body: str) -> bool:
+    """Whether what stands between a block's lines is a private key, or one encrypted the old way: cipher, its start value and whole cipher blocks."""
+    if "\\" in body:
+        body = _ESCAPED_END.sub("\n", body)
+    if not _PEM_BODY.fullmatch(body):
+        return False
+    lines = body.split("\n")
+    data = decode_base64("".join("".join(x for x in lines if ":" not in x).split()))
+    if is_private_key(data):
+        return True
+    info = _DEK.search(body)
+    size = CIPHERS.get(info[1]) if info and "Proc-Type: 4,ENCRYPTED" in body else None
+    return bool(size and data) and len(info[2]) == 2 * size and len(data) >= 32 and len(data) % size == 0
+
+
+def pem_blocks(text: str) -> list[tuple[int, int]]:
+    """Start and end of confirmed blocks: an end line and the begin line right before it, of one label; linear in the text."""
+    found, last = [], None
+    for m in _PEM_LINE.finditer(text):
+        if m[1] == "BEGIN":
+            last = m
+        else:
+            if last and last[2] == m[2] and is_pem_key(text[last.end() : m.start()]):
+                found.append((last.start(), m.end()))
+            last = None
+    return found
+
+
+def wrapped_keys(text: str) -> list[tuple[int, int]]:
+    """Start and end of private keys in base64 over several lines: equally long ones, the last one shorter or as long."""
+    found = []
+    for m in _WRAPPED.finditer(text):
+        lines = list(_LINE.finditer(text, m.start(), m.end()))
+        width, n = len(lines[0].group()), 1
+        while n < len(lines) and len(lines[n].group()) == width:
+            n += 1
+        n += n < len(lines) and len(lines[n].group()) < width
+        if n > 1 and is_private_key(decode_base64("".join(x.group() for x in lines[:n]))):
+            found.append((m.start(), lines[n - 1].end()))
+    return found
+
+
 def find(text: str) -> list[tuple[int, int, int]]:
     """(start, place of the kind in KINDS, end) of every secret, in order; code points, end exclusive."""
     found: list[tuple[int, int, int]] = []
@@ -155,11 +206,10 @@ def find(text: str) -> list[tuple[int, int, int]]:
                 found.append((at, 4, at + len(body)))
             else:
                 found += [(at + m.start(), 4, at + m.end()) for m in _HEX_RUN.finditer(body) if len(m.group()) % 2 == 0 and is_private_key(bytes.fromhex(m.group()))]
-    if "-----BEGIN " in text:
-        for m in _PEM.finditer(text):
-            lines = [x for x in m.group(2).split("\n") if ":" not in x]
-            if is_private_key(data := decode_base64("".join("".join(lines).split()))) or (data and len(lines) < m.group(2).count("\n") and len(data) >= 32):
-                found.append((m.start(), 3, m.end()))
+    blocks = pem_blocks(text) if "-----END " in text else []
+    found += [(start, 3, end) for start, end in blocks]
+    if "\n" in text:
+        found += [(start, 4, end) for start, end in wrapped_keys(text) if not any(a < end and start < b for a, b in blocks)]
     if "." in text:
         found += [(m.start(), 5, m.end()) for m in _TOKEN.finditer(text) if is_signed_token(m.group())]
     return sorted(found)
@@ -173,7 +223,8 @@ def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """doc_id and spans (kind, start, end) of every document's secrets, whole texts, in reading order.
 
     Null text is empty and has none; a null or repeated doc_id and repeated rows each keep their
-    row; an empty table gives no rows; other columns are ignored.  No shuffle.
+    row; texts of any length are searched whole, in time linear in it; an empty table gives no rows;
+    other columns are ignored, whatever their names.  No shuffle.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -67,6 +67,57 @@ def test_what_does_not_parse_is_left(data):
     assert "key" not in kinds(b64(data)) and "key" not in kinds(data.hex())
 
 
+def armour(body, label="RSA PRIVATE KEY", end="\n"):
+    return f"-----BEGIN {label}-----{end}{body}{end}-----END {label}-----"
+
+
+def legacy(cipher, iv, data, end="\n"):
+    return armour(f"Proc-Type: 4,ENCRYPTED{end}DEK-Info: {cipher},{iv}{end}{end}{b64(data)}", end=end)
+
+
+def test_encrypted_blocks_need_cipher_and_whole_blocks():
+    body = RNG.randbytes(48)
+    for good in (legacy("AES-128-CBC", "0" * 32, body), legacy("DES-EDE3-CBC", "AB" * 8, body[:40]), legacy("AES-256-CBC", "9f" * 16, body, "\\n")):
+        assert "pem" in kinds(good)
+    for bad in (armour("Comment: x\n\n" + b64(body)), legacy("AES-128-CBC", "0" * 32, body[:47]), legacy("AES-128-CBC", "0" * 16, body), legacy("ROT-13", "0" * 32, body), legacy("AES-128-CBC", "0" * 32, body[:16])):
+        assert "pem" not in kinds(bad)
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\\n", "\\r\\n"])
+def test_blocks_with_any_line_end(end):
+    body = b64(PKCS8)
+    text = f'{{"k": "{armour(end.join(body[i : i + 64] for i in range(0, len(body), 64)), "PRIVATE KEY", end)}"}}'
+    assert [(s, e) for s, k, e in S.find(text) if k == 3] == [(text.index("-----BEGIN"), text.index('-----"') + 5)]
+
+
+def test_keys_wrapped_over_lines():
+    body = b64(RSA)
+    for end in ("\n", "\r\n", "\n   "):
+        lines = end.join(body[i : i + 64] for i in range(0, len(body), 64))
+        text = f"key:\n{lines}\nafterwards"
+        assert [text[s:e] for s, k, e in S.find(text) if k == 4] == [lines]
+    junk = b64(RNG.randbytes(len(RSA)))
+    assert "key" not in kinds("\n".join(junk[i : i + 64] for i in range(0, len(junk), 64)))
+
+
+def test_only_the_begin_line_before_an_end_line_counts():
+    pem = armour(b64(PKCS8), "PRIVATE KEY")
+    text = "-----BEGIN PRIVATE KEY-----\n" + pem + pem.replace("END PRIVATE", "END RSA PRIVATE")
+    assert [(s, e) for s, k, e in S.find(text) if k == 3] == [(28, 28 + len(pem))]
+
+
+def test_long_texts_take_linear_time():
+    import time
+
+    text = lambda n: "-----BEGIN PRIVATE KEY-----\nabc " * n + "eyJh." * n + "A" * n + "token" * n + "/" * n
+    seconds = []
+    for n in (20_000, 80_000):
+        began = time.process_time()
+        S.find(text(n))
+        seconds.append(time.process_time() - began)
+    assert seconds[1] < 10 * seconds[0] + 0.5
+
+
 def test_tokens():
     good = token({"alg": "HS256", "typ": "JWT"}, {"sub": "1"})
     assert kinds(f"see {good}.")[-1] == "jwt"
