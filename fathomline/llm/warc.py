@@ -3,7 +3,8 @@
 The reader checks every record (gzip member and its checksum, version line, lengths, closing lines,
 block and payload digests).  After a failed check it doesn't stop: it searches on for the next gzip
 member that holds a version line, or the next version line of an uncompressed archive, carries on
-there, and logs the bytes between as a quarantined gap.  Files are read through positioned reads of
+there, and logs the bytes between as a quarantined gap.  A member may hold several records; those
+before and after a broken one are read, and the member's place is logged.  Files are read through positioned reads of
 a few megabytes, whatever their size.
 """
 
@@ -24,8 +25,12 @@ from pyspark.sql import functions as F
 from .common import fan_out, file_system, materialise, put_file, slices, work_dir
 
 CHUNK = 1 << 20
+#: Bytes of a member that are unpacked at once, and of a record in which its head must end.
+PORTION, HEAD = 64 << 10, 64 << 10
 GZIP = b"\x1f\x8b\x08"
 VERSION = re.compile(rb"WARC/1\.[01]\r?\n")
+#: A version line, or what there is of it at the end of the data.
+VERSION_START = re.compile(rb"WARC/1\.[01]\r?\n|(?:W|WA|WAR|WARC|WARC/|WARC/1|WARC/1\.|WARC/1\.[01]\r?)\Z")
 #: Fixed values of the WARC 1.1 format.
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Payloads below this many bytes are stored each time.
@@ -130,14 +135,36 @@ def _head(data: bytes) -> tuple[dict[str, str], int, int]:
     return headers, end + skip, int(headers["content-length"])
 
 
-def parse_member(data: bytes) -> Record:
-    """The single record of a decompressed member."""
-    headers, at, length = _head(data)
-    if len(data) < at + length + 4:
-        raise Broken("block shorter than its length")
-    if data[at + length :] != b"\r\n\r\n":
-        raise Broken("record doesn't close after its length")
-    return check(Record(headers, data[at : at + length]))
+def split_records(data: bytes, whole: bool) -> tuple[list[Record], bytes, str]:
+    """Records off the front of a member's data, what is left of it, and why something was skipped; ``whole``: nothing follows."""
+    found, at, damage = [], 0, ""
+    while at < len(data):
+        try:
+            headers, start, length = _head(data[at : at + HEAD])
+        except Broken as broken:
+            if not whole and len(data) - at < HEAD and VERSION_START.match(data, at):
+                break  # the head may still come
+            damage, at = damage or str(broken), _next_version(data, at + 1, whole)
+            continue
+        end = at + start + length
+        if len(data) < end + 4 and not whole:
+            break
+        if data[end : end + 4] == b"\r\n\r\n":
+            try:
+                found.append(check(Record(headers, data[end - length : end])))
+            except Broken as broken:
+                damage = damage or str(broken)
+            at = end + 4
+        else:
+            damage = damage or ("block shorter than its length" if len(data) < end + 4 else "record doesn't close after its length")
+            at = _next_version(data, at + 1, whole)
+    return found, data[at:], damage
+
+
+def _next_version(data: bytes, at: int, whole: bool) -> int:
+    """Where the next version line starts, or may start with what is still to come."""
+    found = VERSION.search(data, at)
+    return found.start() if found else len(data) if whole else max(at, len(data) - 10)
 
 
 class ArchiveReader:
@@ -146,29 +173,55 @@ class ArchiveReader:
     def __init__(self, file, salvage: Salvage | None = None):
         self.file, self.size = file, file.size()
         self.salvage = salvage if salvage is not None else Salvage()
+        self.after = 0
 
     def _at(self, offset: int, n: int) -> bytes:
         self.file.seek(offset)
         return self.file.read(max(0, min(n, self.size - offset)))
 
-    def _member(self, offset: int, first_only: bool = False) -> tuple[bytes, int]:
-        """A member's data and the offset after it; first_only: as much as shows a version line."""
-        unpack, parts, at = zlib.decompressobj(31), [], offset
-        while not unpack.eof:
-            chunk = self._at(at, 512 if first_only else CHUNK)
-            if not chunk:
+    def _opening(self, offset: int) -> bytes:
+        """As much of a member's data as shows a version line."""
+        unpack, data, at = zlib.decompressobj(31), b"", offset
+        while len(data) < 10 and not unpack.eof:
+            if not (chunk := self._at(at, 512)):
                 raise Broken("member is cut off")
             try:
-                parts.append(unpack.decompress(chunk, 16 if first_only else 0))
+                data += unpack.decompress(chunk, 16)
             except zlib.error as error:
                 raise Broken(f"member: {str(error)[:60]}") from None
             at += len(chunk)
-            if first_only and sum(map(len, parts)) >= 10:
-                return b"".join(parts), at
-        return b"".join(parts), at - len(unpack.unused_data)
+        return data
+
+    def _member(self, offset: int) -> Iterator[Record]:
+        """The records of a member, usually one; ``self.after`` is then the offset after it.
+
+        A record goes out once the next one has been read or the member's checksum holds.  Damage in
+        a sound member is searched for the next version line, and logged with the member's place.
+        """
+        unpack, data, at, held, damage = zlib.decompressobj(31), b"", offset, None, ""
+        while not unpack.eof:
+            if not (portion := self._at(at, PORTION)):
+                raise Broken("member is cut off")
+            try:
+                data += unpack.decompress(portion)
+            except zlib.error as error:
+                raise Broken(f"member: {str(error)[:60]}") from None
+            at += len(portion)
+            found, data, broken = split_records(data, unpack.eof)
+            damage = damage or broken
+            for record in found:
+                if held:
+                    yield held
+                held = record
+        self.after = at - len(unpack.unused_data)
+        if not held:
+            raise Broken(damage or "no record")
+        yield held
+        if damage:
+            self.salvage.gaps.append(Gap(offset, self.after, f"within a member: {damage}"))
 
     def _plain(self, offset: int) -> tuple[Record, int]:
-        data = self._at(offset, 64 << 10)
+        data = self._at(offset, HEAD)
         headers, at, length = _head(data)
         end = offset + at + length
         if end + 4 > self.size or self._at(end, 4) != b"\r\n\r\n":
@@ -178,8 +231,8 @@ class ArchiveReader:
     def _valid_start(self, offset: int) -> bool:
         try:
             if self._at(offset, 3) != GZIP:
-                return bool(_head(self._at(offset, 64 << 10)))
-            return bool(VERSION.match(self._member(offset, first_only=True)[0]))
+                return bool(_head(self._at(offset, HEAD)))
+            return bool(VERSION.match(self._opening(offset)))
         except Broken:
             return False
 
@@ -201,19 +254,19 @@ class ArchiveReader:
         while offset < self.size:
             try:
                 if self._at(offset, 3) == GZIP:
-                    data, after = self._member(offset)
-                    record = parse_member(data)
+                    for record in self._member(offset):
+                        yield offset, record
+                    offset = self.after
                 else:
                     record, after = self._plain(offset)
+                    yield offset, record
+                    offset = after
             except Broken as broken:
                 start, offset = offset, self._next_start(offset + 1)
                 if self.salvage.gaps and self.salvage.gaps[-1].end == start:
                     self.salvage.gaps[-1].end = offset
                 else:
                     self.salvage.gaps.append(Gap(start, offset, str(broken)))
-                continue
-            yield offset, record
-            offset = after
 
 
 def page_urn(page_id: int | None) -> str:
@@ -224,7 +277,8 @@ def plan_revisits(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "
     """page_id, url, html, first_id: first_id is the page whose record holds the payload, null where the own record does.
 
     The least page_id of each payload is aggregated before the shuffle; only payloads that occur
-    twice are joined, and a payload that a third of all pages share is dealt over salts.
+    twice are joined, and a payload that a third of all pages share is dealt over salts.  Payloads
+    too small to be referred to get a key of their own row, so that they spread over all tasks.
     """
     salts = 16
     own = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col), F.lit("")).alias("html"))
@@ -232,6 +286,8 @@ def plan_revisits(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "
     keyed = own.withColumn("digest", digest).withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int"))
     firsts = keyed.filter("digest is not null").groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     salted = firsts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    own_key = F.xxhash64("page_id", "url", "html").cast("string")
+    keyed = keyed.withColumn("digest", F.coalesce("digest", own_key))
     return keyed.join(salted, ["digest", "salt"], "left").select("page_id", "url", "html", F.when(F.col("page_id").eqNullSafe(F.col("first_id")), None).otherwise(F.col("first_id")).alias("first_id"))
 
 
@@ -315,11 +371,14 @@ def archive_pages(pages: DataFrame, *, file_bytes: int = FILE_BYTES, id_col: str
     payload; payloads under 100 bytes are always stored.  Among equal payloads those rows with the
     smallest page_id are responses (several, if the row is repeated) and the others revisits.  A
     null page_id is archived under an empty number, stays null and is never referred to unless no
-    other page has its payload.  An empty table gives no files and no rows; other columns are
-    ignored.  Should a file be damaged between writing and reading, its readable records are still
-    returned; the gaps are in ``read_archives``.
+    other page has its payload.  Payloads of any length are kept whole.  An empty table gives no files
+    and no rows; other columns are ignored, whatever their names.  Should a file be damaged between writing and
+    reading, this is an error that names file and place, as pages would be missing; ``read_archives``
+    gives what can be read, and the gaps.
     """
     folder = work_dir(pages.sparkSession, "warc")
     manifest = write_archives(plan_revisits(pages, id_col=id_col, url_col=url_col, payload_col=payload_col), folder, file_bytes=file_bytes)
     number = lambda c: F.nullif(F.regexp_replace(c, "^urn:page:", ""), F.lit("")).cast("long")
-    return read_archives(manifest, with_payload=False).filter("record_type is not null").select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.when(F.col("record_type") == "revisit", number("refers_to")).alias("refers_to"))
+    lost = F.concat_ws(" ", F.lit("damaged archive:"), "path", F.col("gap_start").cast("string"), F.col("gap_end").cast("string"), "gap_reason")
+    sound = F.when(F.col("gap_reason").isNotNull(), F.raise_error(lost).cast("boolean")).otherwise(F.lit(True))
+    return read_archives(manifest, with_payload=False).filter(sound).select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.when(F.col("record_type") == "revisit", number("refers_to")).alias("refers_to"))

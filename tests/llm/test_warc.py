@@ -2,10 +2,12 @@
 
 import hashlib
 import io
+import random
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from fathomline.llm import warc as W
 
@@ -57,6 +59,62 @@ def test_salvage(gz, damage):
     assert gaps[0].reason
 
 
+@pytest.mark.parametrize("size", [200, 200_000])
+def test_several_records_in_a_member(size):
+    parts = archive(5, gz=False, size=size)
+    member = W.gzip_member(b"".join(parts))
+    found, gaps = records(member + archive(1)[0])
+    assert [f[1] for f in found] == [*(f"urn:page:{i}" for i in range(5)), "urn:page:0"] and not gaps
+    parts[1] = parts[1].replace(b"body 1", b"BODY 1", 1)
+    parts[3] = parts[3].replace(b"Content-Length: ", b"Content-Length: 9", 1)
+    member = W.gzip_member(b"".join(parts))
+    found, gaps = records(member + archive(1)[0])
+    assert [f[1] for f in found if f[2]] == [f"urn:page:{i}" for i in (0, 2, 4, 0)]
+    assert [(g.start, g.end) for g in gaps] == [(0, len(member))] and "within" in gaps[0].reason
+
+
+def test_records_before_the_damage_of_a_member_are_read():
+    parts = [W.record_bytes("response", f"urn:page:{i}", "http://a/", random.Random(i).randbytes(90_000)) for i in range(5)]
+    member = W.gzip_member(b"".join(parts))
+    found, gaps = records(member[:-2000] + archive(1)[0])
+    assert [f[1] for f in found][:3] == ["urn:page:0", "urn:page:1", "urn:page:2"] and found[-1][1] == "urn:page:0" and len(gaps) == 1
+
+
+def test_long_payload(spark):
+    pages = spark.createDataFrame([(1, "u", "x" * 9_000_000), (2, "u", "x" * 9_000_000)], "page_id long, url string, html string")
+    got = sorted(map(tuple, W.archive_pages(pages).select("page_id", "payload_bytes", "refers_to").collect()))
+    assert got == [(1, 9_000_000, None), (2, 9_000_000, 1)]
+
+
+def test_damage_between_writing_and_reading_is_an_error(spark, monkeypatch):
+    whole = W.write_archives
+
+    def damaged(planned, folder, **options):
+        manifest = whole(planned, folder, **options)
+        path = manifest.first()["path"].removeprefix("file://")
+        with open(path, "r+b") as file:
+            file.seek(40)
+            file.write(b"\0\0\0\0")
+        return manifest
+
+    monkeypatch.setattr(W, "write_archives", damaged)
+    pages = spark.createDataFrame([(i, "u", f"page {i} " * 40) for i in range(10)], "page_id long, url string, html string")
+    with pytest.raises(Exception, match="damaged archive"):
+        W.archive_pages(pages).collect()
+
+
+def test_small_payloads_do_not_meet_on_one_key(spark):
+    pages = spark.createDataFrame([(i, "u", "") for i in range(4000)], "page_id long, url string, html string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        sizes = W.plan_revisits(pages).groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert max(r["count"] for r in sizes) < 4000
+
+
 def test_wrong_length_and_digest_are_gaps():
     parts = archive(gz=False)
     parts[1] = parts[1].replace(b"Content-Length: 2", b"Content-Length: 9", 1)
