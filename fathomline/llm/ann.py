@@ -13,10 +13,13 @@ up to what the wanted recall asks of a table.  ``s`` is fitted on a bounded samp
 scored inside their bucket by exact inner products in double precision on the original vectors,
 and only the best of each query leave a task; tables merge by (query, vector).
 
+With one table, the default, a pair meets in one bucket at most and is scored once; probes, not tables,
+carry the recall.
+
 Of equal vectors only the k + 1 with the smallest ids are indexed: no query can see more of them.
 Buckets above a bound are dealt over chunks (their list is short: at most ``HOT_BUCKETS`` buckets can
-hold that share of all rows).  Queries that find fewer than k candidates are answered exactly, in
-blocks, against all rows.
+hold that share of all rows).  Queries that find fewer than k candidates are answered exactly: blocks of
+them are dealt to tasks, each with a part of all rows.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import fan_out, materialise, work_dir
 
 HOT_BUCKETS = 20_000
-CHUNK_ROWS = 1024
+CHUNK_ROWS = 256
 SAMPLE_ROWS = 20_000
 SAMPLE_QUERIES = 200
 EXACT_BLOCK = 512
@@ -232,34 +235,28 @@ def _candidates(index: DataFrame, probes: DataFrame, keep: int) -> DataFrame:
 
 
 def _exact(base: DataFrame, queries: DataFrame, keep: int) -> DataFrame | None:
-    """Best pairs of these queries over all rows; queries go out in blocks of EXACT_BLOCK."""
-    folder = work_dir(base.sparkSession, "exact-queries")
-    queries = materialise(queries, folder)
-    done, after = None, None
-    while block := queries.filter(F.lit(True) if after is None else F.col("id") > after).orderBy("id").limit(EXACT_BLOCK).collect():
-        ids, rows = np.array([r["id"] for r in block]), _matrix(pa.array([r["vec"] for r in block]))
-
-        def run(batches: Iterator[pa.RecordBatch], ids=ids, rows=rows) -> Iterator[pa.RecordBatch]:
-            best = _Best(keep)
-            for batch in batches:
-                if batch.num_rows:
-                    best.add(ids, rows, batch.column(0).to_numpy(zero_copy_only=False), _matrix(batch.column(1)))
-            yield from best.out()
-
-        part = base.select(F.col("vec_id"), "vec").mapInArrow(run, _PAIRS)
-        done = part if done is None else done.unionAll(part)
-        after = int(ids[-1])
-    return done
-
-
-def nearest(vectors: DataFrame, is_query: Column, k: int = 20, *, tables: int = 2, width: float = 2.0, recall: float = 0.95, bucket_rows: int = 256, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """Best pairs of these queries over all rows: blocks of queries meet every part of the rows in a task of their own."""
+    queries = materialise(queries, work_dir(base.sparkSession, "exact-queries"))
+    if not (n := queries.count()):
+        return None
+    blocks, parts = -(-n // EXACT_BLOCK), fan_out(base.sparkSession)
+    number = lambda of, c: F.pmod(F.xxhash64(c), F.lit(of))
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
+    spread = lambda frame, table, bucket, side, c: frame.withColumn("table", table).withColumn("bucket", bucket).select(F.col("table").cast("int"), F.col("bucket").cast("long"), F.lit(0).alias("chunk"), F.lit(side).alias("side"), F.col(c).alias("id"), "vec")
+    asked = spread(queries, number(blocks, "id"), every(parts), 0, "id")
+    rows = spread(base, every(blocks), number(parts, "vec_id"), 1, "vec_id")
+    return _candidates(rows, asked, keep)
+
+
+def nearest(vectors: DataFrame, is_query: Column, k: int = 20, *, tables: int = 1, width: float = 2.0, recall: float = 0.95, bucket_rows: int = 256, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """The k nearest rows of each query row by inner product: query_id, rank (from 1), vec_id, score.
 
     Candidates are all rows but those with the query's own id; nearest first, equal scores by the
     smaller id.  Vectors that are null, zero, or hold null or non-finite components take no part,
     nor do null ids and vectors of another width than most have.  A repeated row counts once; rows
     with one id and different vectors are each a candidate, and each a query.  With fewer
-    candidates than k all are returned; an empty table gives no rows; other columns are ignored.
+    candidates than k all are returned; an empty table gives no rows; other columns are ignored,
+    whatever their names.
     """
     spark = vectors.sparkSession
     folder = work_dir(spark, "ann")

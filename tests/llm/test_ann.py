@@ -56,6 +56,22 @@ def test_hot_buckets_are_dealt_over_chunks(spark, monkeypatch):
     assert sorted(run(spark, rows, 20, recall=1 - 1e-12)) == sorted(brute(rows, lambda i: i % 5 == 0, 20))
 
 
+def test_a_pair_is_scored_once_at_most(spark):
+    rng = np.random.default_rng(3)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(500, 8)))], "vec_id long, vec array<double>")
+    hashing = A.fit(rows, 20, tables=1, width=2.0, recall=0.95, bucket_rows=64)
+    index, probes = (A._hashed(rows.select(F.col("vec_id").alias("id"), "vec"), hashing, asks, {}) for asks in (False, True))
+    met = index.select("bucket", F.col("id").alias("row")).join(probes.select("bucket", F.col("id").alias("query")), "bucket")
+    assert met.count() == met.select("row", "query").distinct().count() <= 500 * 500
+
+
+def test_many_queries_without_enough_candidates(spark, monkeypatch):
+    monkeypatch.setattr(A, "EXACT_BLOCK", 16)
+    rng = np.random.default_rng(4)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(400, 16)))]
+    assert sorted(run(spark, rows, 20, recall=1e-9, bucket_rows=2)) == sorted(brute(rows, lambda i: i % 5 == 0, 20))
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_probes_fall_and_reach_the_target(seed):
     rng = np.random.default_rng(seed)
