@@ -31,11 +31,12 @@ class WordSlots(dict):
         self.limit = limit
 
     def __missing__(self, word: str) -> tuple[int, int]:
-        slots = _slot("w" + word.lower(), TEXT_BITS), _shape_slot(word[:64].translate(_KINDS))
+        kinds = word.translate(_KINDS)
+        if len(word) > 64:  # whole, but not kept
+            return _slot("w" + word.lower(), TEXT_BITS), _shape_slot.__wrapped__(kinds)
         if len(self) >= self.limit:
             self.clear()
-        if len(word) <= 64:
-            self[word] = slots
+        slots = self[word] = _slot("w" + word.lower(), TEXT_BITS), _shape_slot(kinds)
         return slots
 
 
@@ -49,14 +50,16 @@ _words = WordSlots()
 
 
 def text_features(text: str | None) -> np.ndarray:
-    """Slots of a text's words, word shapes, and steps of how much it repeats itself; the last is constant."""
+    """Slots of a text's words, word shapes, and steps of how much it repeats itself, ascending; the last is constant."""
     found = (text or "").split()
     distinct, n = set(found), len(found)
     slots = set(chain.from_iterable(map(_words.__getitem__, distinct)))
     again = sum(map(eq, found, found[1:])) if len(distinct) < n else 0
     facts = (("follows itself", _share(again, n)), ("distinct", _share(len(distinct), n)), ("followers", again.bit_length()), ("letters a word", (len(text or "") // n).bit_length() if n else -1))
     slots.update(map(_fact_slot, facts))
-    return np.fromiter(chain(slots, (1 << TEXT_BITS,)), np.int64, len(slots) + 1)
+    out = np.fromiter(chain(slots, (1 << TEXT_BITS,)), np.int64, len(slots) + 1)
+    out.sort()
+    return out
 
 
 @lru_cache(maxsize=4096)

@@ -1,30 +1,35 @@
 """Quality by co-training: a text-content view and a page-metadata view teach each other.
 
-Both views are softmax regressions.  Each round both are fitted, both score a pool of unlabelled
-documents, and each hands the documents it is surest of to the *other* view's training set under
-the label it gives them.  At the end both are calibrated on labelled rows that neither was fitted
-on, and so is the weighted sum of their log-odds that scores a document.
-
-Models are fitted on the driver on bounded samples (``labelled`` and ``pool`` rows, chosen by the
-hash of doc_id, so that file layout decides nothing); every document is scored, in the tasks that
-read it, without a shuffle.
+A view is two linear classifiers over the same slots: a softmax regression fitted on labelled rows, and
+log-ratios of how often a slot occurs in good and in bad documents.  In each round both views judge
+every unlabelled document, in the tasks that hold it, and those of which one is sure (and the other
+isn't as sure of the contrary) are counted, slot by slot, for the *other* view under the label it
+gives.  Both parts of a view, and at the end both views, are weighed and calibrated on labelled rows
+that neither part was fitted on.
+
+The regression is fitted on the driver on at most ``labelled`` rows, chosen by the hash of doc_id.
+What the unlabelled documents teach comes from all of them: only counts for each slot (2^18 at most) leave the
+tasks, however many documents there are.  Every document is scored without a shuffle of its text.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
-from .features import META_BITS, TEXT_BITS, Model, meta_features, one_hot, text_features, train
+from .common import materialise, slices, work_dir
+from .features import META_BITS, TEXT_BITS, meta_features, one_hot, text_features, train
 
-_TEXT, _META = (1 << TEXT_BITS) + 1, (1 << META_BITS) + 1
+#: Slots of the two views, their constant one included.
+SIZES = ((1 << TEXT_BITS) + 1, (1 << META_BITS) + 1)
 META_COLUMNS = ("lang", "source")
+#: How many documents' worth of the whole corpus's proportion every slot is given beforehand.
+SMOOTHING = 2.0
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -48,143 +53,246 @@ def _calibrate(z: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.append(np.maximum(w[:-1], 0.0), w[-1])
 
 
+@dataclass
+class Rows:
+    """Slots of many documents for one view: all in one array, and where each document's begin."""
+
+    slots: np.ndarray
+    starts: np.ndarray
+
+    @classmethod
+    def of(cls, rows: list[np.ndarray]) -> Rows:
+        sizes = [len(r) for r in rows]
+        return cls(np.concatenate(rows) if rows else np.zeros(0, np.int64), np.cumsum([0, *sizes])[:-1].astype(np.int64))
+
+    @classmethod
+    def of_lists(cls, column: pa.Array) -> Rows:
+        offsets = column.offsets.to_numpy()
+        return cls(column.values.to_numpy()[offsets[0] : offsets[-1]], (offsets[:-1] - offsets[0]).astype(np.int64))
+
+    def sums(self, weights: np.ndarray) -> np.ndarray:
+        """The sum of each document's weights; every document has the constant slot at least."""
+        return np.add.reduceat(weights[self.slots], self.starts) if len(self.starts) else np.zeros(0)
+
+    def sizes(self) -> np.ndarray:
+        return np.diff(np.append(self.starts, len(self.slots)))
+
+    def counts(self, chosen: np.ndarray, size: int) -> np.ndarray:
+        """In how many of the chosen documents each slot occurs."""
+        return np.bincount(self.slots[np.repeat(chosen, self.sizes())], minlength=size)
+
+
+def log_ratios(seen: np.ndarray, documents: np.ndarray) -> np.ndarray:
+    """Weights from counts (bad, good) of each slot and of documents; 0 for a slot that tells nothing."""
+    if documents.min() == 0:
+        return np.zeros(seen.shape[1])
+    share = SMOOTHING * documents / documents.sum()
+    chance = (seen + share[:, None]) / (documents + SMOOTHING)[:, None]
+    return np.log(chance[1]) - np.log(chance[0]) - np.log(share[1] / (documents[1] + SMOOTHING)) + np.log(share[0] / (documents[0] + SMOOTHING))
+
+
+@dataclass
+class View:
+    """Both parts' weights of one view, and their calibration: a weight each and a constant."""
+
+    regression: np.ndarray
+    ratios: np.ndarray
+    line: np.ndarray = field(default_factory=lambda: np.array([0.5, 0.5, 0.0]))
+
+    def parts(self, rows: Rows) -> np.ndarray:
+        return np.column_stack([rows.sums(self.regression), rows.sums(self.ratios) / np.sqrt(rows.sizes())])
+
+    def odds(self, rows: Rows) -> np.ndarray:
+        return self.parts(rows) @ self.line[:-1] + self.line[-1]
+
+
 @dataclass
 class QualityModel:
-    """Both views, the calibration of each and of both together; without views every document gets the prior."""
+    """Both views and the calibration of both together; without views every document gets the prior."""
 
     prior: float
-    text: Model | None = None
-    meta: Model | None = None
-    lines: tuple[np.ndarray, ...] = ()
+    views: tuple[View, ...] = ()
+    line: np.ndarray | None = None
 
-    def score(self, texts: list[str | None], metas: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def of_rows(self, rows: tuple[Rows, Rows]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Calibrated chances of good quality: by text, by metadata, by both."""
-        if self.text is None or self.meta is None:
-            flat = np.full(len(texts), self.prior)
+        if not self.views:
+            flat = np.full(len(rows[0].starts), self.prior)
             return flat, flat, flat
-        odds = []
-        for model, rows, line in ((self.text, [text_features(t) for t in texts], self.lines[0]), (self.meta, [meta_features(t, m) for t, m in zip(texts, metas, strict=True)], self.lines[1])):
-            odds.append(_odds(model, rows) * line[0] + line[1])
-        return _sigmoid(odds[0]), _sigmoid(odds[1]), _sigmoid(np.column_stack(odds) @ self.lines[2][:-1] + self.lines[2][-1])
+        odds = [view.odds(r) for view, r in zip(self.views, rows, strict=True)]
+        return _sigmoid(odds[0]), _sigmoid(odds[1]), _sigmoid(np.column_stack(odds) @ self.line[:-1] + self.line[-1])
+
+    def score(self, texts: list[str | None], metas: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return self.of_rows((Rows.of([text_features(t) for t in texts]), Rows.of([meta_features(t, m) for t, m in zip(texts, metas, strict=True)])))
+
 
+#: Of each view: counts (label, slot), and documents by label.
+Counts = list[tuple[np.ndarray, np.ndarray]]
 
-def _odds(model: Model, rows: list[np.ndarray]) -> np.ndarray:
-    """Log-odds of good quality, not calibrated."""
-    z = model.logits(rows)
-    return z[:, 1] - z[:, 0]
 
+def sure_of(beliefs: tuple[np.ndarray, np.ndarray], sure: float) -> list[list[np.ndarray]]:
+    """For each view and label, the documents that it hands to the other view: it is sure, and the other isn't of the contrary."""
+    chances = [(1 - b, b) for b in beliefs]
+    return [[(chances[v][label] >= sure) & (chances[1 - v][label] >= 1 - sure) for label in (0, 1)] for v in (0, 1)]
 
-def co_train(text_rows: list[np.ndarray], meta_rows: list[np.ndarray], labels: np.ndarray, *, rounds: int = 4, sure: float = 0.98, share: float = 0.1) -> QualityModel:
-    """Fit from features of labelled rows (label 0 or 1) and pool rows (label -1).
 
-    Every fifth labelled row is kept for calibration.  A round hands over up to ``share`` of the
-    pool, of each class in the proportion of the labels: what the calibrated view is at least
-    ``sure`` of, unless the other view is as sure of the contrary.
+def count_sure(model: QualityModel, rows: tuple[Rows, Rows], sure: float) -> Counts:
+    """What each view is taught by the other, of these documents."""
+    picked = sure_of(model.of_rows(rows)[:2], sure)
+    return [(np.stack([rows[v].counts(picked[1 - v][label], SIZES[v]) for label in (0, 1)]), np.array([picked[1 - v][label].sum() for label in (0, 1)])) for v in (0, 1)]
+
+
+def co_train(rows: tuple[list[np.ndarray], list[np.ndarray]], labels: np.ndarray, teach, *, rounds: int = 3) -> QualityModel:
+    """Fit from slots of labelled rows (text, metadata) and from ``teach(model)``, the counts over all unlabelled documents.
+
+    Every fifth labelled row is kept for calibration.  Rounds end early when nothing new is taught.
     """
-    known = np.flatnonzero(labels >= 0)
-    good = int((labels[known] == 1).sum())
-    prior = (good + 1) / (len(known) + 2)
-    held, fitted = known[::5], np.setdiff1d(known, known[::5])
-    if min((labels[fitted] == 1).sum(), (labels[fitted] == 0).sum()) < 2:
-        return QualityModel(1.0 if not len(known) or good else 0.0)
-    views = (text_rows, _TEXT), (meta_rows, _META)
-    taught: list[dict[int, int]] = [{int(i): int(labels[i]) for i in fitted} for _ in views]
-    pool = set(np.flatnonzero(labels < 0).tolist())
-
-    def fit(view: int) -> tuple[Model, np.ndarray]:
-        """The view's model, and its calibration on the rows that were held back."""
-        rows, size = views[view]
-        at = sorted(taught[view])
-        model = train([rows[i] for i in at], one_hot(np.array([taught[view][i] for i in at]), 2), size)
-        return model, _calibrate(_odds(model, [rows[i] for i in held])[:, None], labels[held].astype(float))
-
-    quota = max(1, int(share * len(pool)))
-    for _ in range(rounds if pool else 0):
-        waiting = np.array(sorted(pool))
-        beliefs = []
-        for view, (rows, _) in enumerate(views):
-            model, line = fit(view)
-            beliefs.append(_sigmoid(_odds(model, [rows[i] for i in waiting]) * line[0] + line[1]))
-        moved: set[int] = set()
-        for view in range(2):
-            for label, part in ((1, prior), (0, 1 - prior)):
-                own, other = (b if label else 1 - b for b in (beliefs[view], beliefs[1 - view]))
-                order = np.argsort(-own, kind="stable")[: max(1, round(quota * part))]
-                picked = waiting[order[(own[order] >= sure) & (other[order] >= 1 - sure)]].tolist()
-                for i in picked:
-                    taught[1 - view].setdefault(i, label)
-                moved.update(picked)
-        pool -= moved
-        if not moved or not pool:
+    good = int((labels == 1).sum())
+    prior = (good + 1) / (len(labels) + 2)
+    held = np.arange(len(labels)) % 5 == 0
+    if min((labels[~held] == 1).sum(), (labels[~held] == 0).sum()) < 2:
+        return QualityModel(1.0 if not len(labels) or good else 0.0)
+    fitted, truth = labels[~held], labels[held].astype(float)
+    views, own, apart = [], [], []
+    for view, size in enumerate(SIZES):
+        mine = [r for r, out in zip(rows[view], held, strict=True) if not out]
+        model = train(mine, one_hot(fitted, 2), size)
+        weights = np.zeros(size)
+        weights[model.slots] = model.weights[:, 1] - model.weights[:, 0]
+        flat = Rows.of(mine)
+        own.append((np.stack([flat.counts(fitted == label, size) for label in (0, 1)]), np.bincount(fitted, minlength=2)))
+        apart.append(Rows.of([r for r, out in zip(rows[view], held, strict=True) if out]))
+        views.append(View(weights, np.zeros(size)))
+
+    def refit(taught: Counts | None) -> QualityModel:
+        for k, view in enumerate(views):
+            seen, documents = own[k] if taught is None else tuple(a + b for a, b in zip(own[k], taught[k], strict=True))
+            view.ratios = log_ratios(seen, documents)
+            view.line = _calibrate(view.parts(apart[k]), truth)
+        odds = [view.odds(r) for view, r in zip(views, apart, strict=True)]
+        return QualityModel(prior, tuple(views), _calibrate(np.column_stack(odds), truth))
+
+    model, before = refit(None), None
+    for _ in range(rounds):
+        taught = teach(model)
+        if before is not None and all(np.array_equal(a, b) for x, y in zip(taught, before, strict=True) for a, b in zip(x, y, strict=True)):
             break
-    models = [fit(view)[0] for view in range(2)]
-    truth, lines, odds = labels[held].astype(float), [], []
-    for model, (rows, _) in zip(models, views, strict=True):
-        z = _odds(model, [rows[i] for i in held])
-        lines.append(_calibrate(z[:, None], truth))
-        odds.append(z * lines[-1][0] + lines[-1][1])
-    return QualityModel(prior, *models, (*lines, _calibrate(np.column_stack(odds), truth)))
+        model, before = refit(taught), taught
+    return model
 
 
 def _metas(batch: pa.RecordBatch, columns: list[str]) -> list[dict]:
     return [dict(zip(columns, values, strict=True)) for values in zip(*(batch.column(c).to_pylist() for c in columns), strict=True)] if columns else [{}] * batch.num_rows
 
 
-def sample_rows(docs: DataFrame, labels: DataFrame, *, label: str, labelled: int, pool: int, id_col: str = "doc_id") -> DataFrame:
-    """Documents of the samples, with ``label``: the mean label rounded for labelled rows, -1 for the pool.
-
-    Ids are chosen first, by hash over all ids; the chosen ids, at most ``labelled + pool``, are
-    broadcast to the documents.  Null ids and labels are not chosen; of repeated rows all come.
-    """
-    ids = docs.select(F.col(id_col).alias("doc_id")).filter("doc_id is not null")
-    known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg((F.avg(label) >= 0.5).cast("int").alias("sampled label"))
-    here = known.join(ids, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)
-    other = ids.join(known, "doc_id", "left_anti").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(pool).withColumn("sampled label", F.lit(-1))
-    chosen = F.broadcast(here.unionAll(other).withColumnRenamed("doc_id", id_col))
-    return docs.join(chosen, id_col)
+def _lists(rows: list[np.ndarray]) -> pa.Array:
+    return pa.array([r.astype(np.int32) for r in rows], pa.list_(pa.int32()))
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, *, label: str = "quality", labelled: int = 10_000, pool: int = 4000, rounds: int = 4, id_col: str = "doc_id", text_col: str = "text") -> QualityModel:
-    """Fit on at most ``labelled`` labelled and ``pool`` other documents; only their feature numbers reach the driver.
+def feature_table(docs: DataFrame, labels: DataFrame, *, label: str, labelled: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, label, text_slots and meta_slots of every document, written once.
 
-    Without two rows of either class the model rejects nothing (or everything, if all labels are 0).
+    ``label`` is the rounded mean of a document's labels, for at most ``labelled`` documents, chosen by
+    hash over all labelled ids; others have null and count as unlabelled.  Null ids and labels teach nothing.
     """
     meta = [c for c in META_COLUMNS if c in docs.columns]
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             texts = batch.column("text").to_pylist()
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("label"), pa.array([text_features(t).astype(np.int32) for t in texts], pa.list_(pa.int32())), pa.array([meta_features(t, m).astype(np.int32) for t, m in zip(texts, _metas(batch, meta), strict=True)], pa.list_(pa.int32()))],
-                ["doc_id", "label", "text_slots", "meta_slots"],
-            )
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), _lists([text_features(t) for t in texts]), _lists([meta_features(t, m) for t, m in zip(texts, _metas(batch, meta), strict=True)])], ["doc_id", "label", "text_slots", "meta_slots"])
+
+    ids = docs.select(F.col(id_col).cast("long").alias("doc_id")).filter("doc_id is not null")
+    known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg(label) >= 0.5).cast("int").alias("label"))
+    chosen = known.join(ids, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)
+    # at most ``labelled`` pairs of numbers are broadcast
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *meta).join(F.broadcast(chosen), "doc_id", "left")
+    rows = rows.select("doc_id", "label", "text", *meta).mapInArrow(features, "doc_id long, label int, text_slots array<int>, meta_slots array<int>")
+    return materialise(rows, work_dir(docs.sparkSession, "quality"))
+
+
+def taught_by(table: DataFrame, model: QualityModel, sure: float) -> Counts:
+    """``count_sure`` over all unlabelled documents; each task tells a count for each slot it has met."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: Counts = [(np.zeros((2, size), np.int64), np.zeros(2, np.int64)) for size in SIZES]
+        for batch in batches:
+            if batch.num_rows:
+                for (seen, documents), (more, n) in zip(total, count_sure(model, tuple(map(Rows.of_lists, batch.columns)), sure), strict=True):
+                    seen += more
+                    documents += n
+        for view, (seen, documents) in enumerate(total):
+            at = np.flatnonzero(seen.any(axis=0))
+            # the documents themselves stand at -1
+            slots, bad, good = (np.append(x, y) for x, y in ((at, -1), (seen[0, at], documents[0]), (seen[1, at], documents[1])))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(slots), view, np.int32)), pa.array(slots.astype(np.int32)), pa.array(bad), pa.array(good)], ["view", "slot", "bad", "good"])
+
+    told = table.filter("label is null").select("text_slots", "meta_slots").mapInArrow(run, "view int, slot int, bad long, good long")
+    got = told.groupBy("view", "slot").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).toArrow()
+    view, slot, bad, good = (got[c].to_numpy() for c in ("view", "slot", "bad", "good"))
+    out: Counts = []
+    for k, size in enumerate(SIZES):
+        seen, own = np.zeros((2, size), np.int64), (view == k) & (slot >= 0)
+        seen[0, slot[own]], seen[1, slot[own]] = bad[own], good[own]
+        last = (view == k) & (slot < 0)
+        out.append((seen, np.array([bad[last].sum(), good[last].sum()])))
+    return out
+
+
+def _fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", labelled: int = 10_000, rounds: int = 3, sure: float = 0.98, id_col: str = "doc_id", text_col: str = "text") -> tuple[QualityModel, DataFrame]:
+    table = feature_table(docs, labels, label=label, labelled=labelled, id_col=id_col, text_col=text_col)
+    # of rows that share an id one is a sample, so that the bound holds
+    sample = table.filter("label is not null").groupBy("doc_id").agg(F.min(F.struct("label", "text_slots", "meta_slots")).alias("row")).select("doc_id", "row.*").toArrow()
+    order = np.argsort(sample["doc_id"].to_numpy(), kind="stable") if sample.num_rows else np.zeros(0, np.int64)
+    rows = tuple(_in_order(sample[c], order) for c in ("text_slots", "meta_slots"))
+    given = sample["label"].to_numpy()[order] if sample.num_rows else np.zeros(0, np.int64)
+    return co_train(rows, given, lambda model: taught_by(table, model, sure), rounds=rounds), table
+
+
+def _in_order(column: pa.ChunkedArray, order: np.ndarray) -> list[np.ndarray]:
+    rows = [v.values.to_numpy().astype(np.int64) for v in column]
+    return [rows[i] for i in order]
+
+
+def fit_quality(docs: DataFrame, labels: DataFrame, **options) -> QualityModel:
+    """Fit on at most ``labelled`` labelled rows and on all unlabelled documents.
+
+    Options are those of ``score_documents``.  Without two rows of either class the model rejects
+    nothing (or everything, if all labels are 0).
+    """
+    return _fit(docs, labels, **options)[0]
 
-    rows = sample_rows(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *meta), labels, label=label, labelled=labelled, pool=pool)
-    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *meta, F.col("sampled label").alias("label"))
-    got = rows.mapInArrow(features, "doc_id long, label int, text_slots array<int>, meta_slots array<int>").toArrow()
-    order = np.lexsort((got["label"].to_numpy(), got["doc_id"].to_numpy())) if got.num_rows else np.zeros(0, np.int64)
-    lists = [[v.values.to_numpy().astype(np.int64) for v in got[c]] for c in ("text_slots", "meta_slots")]
-    return co_train(*([rows[i] for i in order] for rows in lists), got["label"].to_numpy()[order] if got.num_rows else np.zeros(0, np.int64), rounds=rounds)
+
+_SCORES = "doc_id long, p_text double, p_meta double, score double, keep boolean"
+
+
+def _scores(ids: pa.Array, chances: tuple[np.ndarray, ...], threshold: float) -> pa.RecordBatch:
+    by_text, by_meta, both = chances
+    return pa.RecordBatch.from_arrays([ids, pa.array(by_text), pa.array(by_meta), pa.array(both), pa.array(both >= threshold)], ["doc_id", "p_text", "p_meta", "score", "keep"])
 
 
 def score_quality(docs: DataFrame, model: QualityModel, *, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, p_text, p_meta, score and keep (score at least ``threshold``) of every document.
 
-    Null text counts as empty, null metadata as a value of its own; repeated rows and null ids keep
-    their rows; an empty table gives none; columns that a view doesn't use are ignored.
+    Null text counts as empty, null metadata as a value of its own; texts of any length count whole;
+    repeated rows and null ids keep their rows; an empty table gives none; columns that a view doesn't
+    use are ignored, whatever their names.
     """
     meta = [c for c in META_COLUMNS if c in docs.columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            by_text, by_meta, both = model.score(batch.column("text").to_pylist(), _metas(batch, meta))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(by_text), pa.array(by_meta), pa.array(both), pa.array(both >= threshold)], ["doc_id", "p_text", "p_meta", "score", "keep"])
+            yield _scores(batch.column("doc_id"), model.score(batch.column("text").to_pylist(), _metas(batch, meta)), threshold)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *meta).mapInArrow(run, "doc_id long, p_text double, p_meta double, score double, keep boolean")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *meta).mapInArrow(run, _SCORES)
 
 
 def keep_good(docs: DataFrame, model: QualityModel, *, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The documents that ``score_quality`` keeps, with all their columns."""
+    """The documents that ``score_quality`` keeps, with all their columns, whatever their names.
+
+    Nulls, empty and long texts are judged as there; repeated rows fare alike and stay repeated; an
+    empty table stays empty.
+    """
     meta = [c for c in META_COLUMNS if c in docs.columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,6 +303,18 @@ def keep_good(docs: DataFrame, model: QualityModel, *, threshold: float = 0.5, t
     return docs.mapInArrow(run, docs.schema)
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """Fit on ``labels`` and score all of ``docs``."""
-    return score_quality(docs, fit_quality(docs, labels, **options))
+def score_documents(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.5, **options) -> DataFrame:
+    """``score_quality`` of all of ``docs`` by a model fitted on them and ``labels`` (doc_id, quality).
+
+    Options: ``label`` (its column), ``labelled`` (the bound of labelled rows), ``rounds``, ``sure``,
+    ``id_col``, ``text_col``.  Nulls, empty and long texts, ties, repeated rows and clashing names are as
+    in ``score_quality``; null labels and labels of unknown documents teach nothing; labels of one
+    document are averaged.
+    """
+    model, table = _fit(docs, labels, **options)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 4096):
+            yield _scores(batch.column("doc_id"), model.of_rows((Rows.of_lists(batch.column("text_slots")), Rows.of_lists(batch.column("meta_slots")))), threshold)
+
+    return table.select("doc_id", "text_slots", "meta_slots").mapInArrow(run, _SCORES)

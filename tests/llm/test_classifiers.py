@@ -1,5 +1,6 @@
 """Quality and mixture: held-out accuracy, targets met, odd inputs."""
 
+import math
 import random
 
 import numpy as np
@@ -51,17 +52,72 @@ def test_quality_on_unlabelled_documents(frames):
     assert all(0 <= r["score"] <= 1 and 0 <= r["p_meta"] <= 1 for r in rows)
 
 
-def test_rounds_hand_over_labels_and_stay_right(monkeypatch):
-    """With few labels the rounds enlarge both training sets, and held-out accuracy stays high."""
+def plain_counts(model, rows, labels, sure):
+    """What the views teach each other, document by document."""
+    taught = [({}, [0, 0]), ({}, [0, 0])]
+    for i in range(len(labels)):
+        if labels[i] >= 0:
+            continue
+        odds = []
+        for view, own in zip(model.views, (rows[0][i], rows[1][i]), strict=True):
+            parts = sum(float(view.regression[s]) for s in own), sum(float(view.ratios[s]) for s in own) / len(own) ** 0.5
+            odds.append(parts[0] * view.line[0] + parts[1] * view.line[1] + view.line[2])
+        good = [1 / (1 + math.exp(-z)) for z in odds]
+        for v in (0, 1):
+            for label in (0, 1):
+                own, other = (g if label else 1 - g for g in (good[v], good[1 - v]))
+                if own >= sure and other >= 1 - sure:
+                    seen, documents = taught[1 - v]
+                    documents[label] += 1
+                    for s in rows[1 - v][i]:
+                        seen.setdefault(int(s), [0, 0])[label] += 1
+    return taught
+
+
+def as_arrays(taught):
+    out = []
+    for (seen, documents), size in zip(taught, Q.SIZES, strict=True):
+        counts = np.zeros((2, size), np.int64)
+        for s, n in seen.items():
+            counts[:, s] = n
+        out.append((counts, np.array(documents)))
+    return out
+
+
+def test_scores_match_a_plain_version(spark):
+    """The distributed rounds give what a loop over all documents gives."""
+    docs, labels = corpus(700, 5)
+    docs += [(3000, None, None, None, None), (3001, "", "en", "src0", 0), (3002, "long " * 30_000, "en", "src0", 0)]
+    text = [text_features(t) for _, t, *_ in docs]
+    meta = [meta_features(t, {"lang": a, "source": b}) for _, t, a, b, _ in docs]
+    given = np.full(len(docs), -1)
+    given[:300] = [q for _, q, _ in labels[:300]]
+    known = given >= 0
+    model = Q.co_train(tuple([r for r, k in zip(rows, known, strict=True) if k] for rows in (text, meta)), given[known], lambda m: as_arrays(plain_counts(m, (text, meta), given, 0.98)))
+    want = model.of_rows((Q.Rows.of(text), Q.Rows.of(meta)))
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r for r in Q.score_documents(frame, spark.createDataFrame(labels[:300], LABELS)).collect()}
+    for k, name in enumerate(("p_text", "p_meta", "score")):
+        assert np.allclose([got[d[0]][name] for d in docs], want[k], atol=1e-9)
+    again = {r["doc_id"]: r["score"] for r in Q.score_quality(frame, Q.fit_quality(frame, spark.createDataFrame(labels[:300], LABELS))).collect()}
+    assert np.allclose([again[d[0]] for d in docs], want[2], atol=1e-9)
+
+
+def test_rounds_teach_and_stay_right():
+    """With few labels each view is taught by unlabelled documents, all of them asked, and held-out accuracy stays high."""
     docs, labels = corpus(900, 5)
     text = [text_features(t) for _, t, *_ in docs]
     meta = [meta_features(t, {"lang": a, "source": b}) for _, t, a, b, _ in docs]
     truth = np.array([q for _, q, _ in labels])
     given = np.where(np.arange(900) < 300, truth, -1)
-    sizes, train = [], Q.train
-    monkeypatch.setattr(Q, "train", lambda rows, *a, **k: sizes.append(len(rows)) or train(rows, *a, **k))
-    model = Q.co_train(text, meta, given, rounds=4)
-    assert len(sizes) == 10 and sizes[0] == sizes[1] == 240 and min(sizes[-2:]) > 300
+    taught = []
+
+    def teach(model):
+        taught.append(as_arrays(plain_counts(model, (text, meta), given, 0.98)))
+        return taught[-1]
+
+    model = Q.co_train((text[:300], meta[:300]), given[:300], teach)
+    assert all(documents.sum() > 100 for _, documents in taught[0]) and len(taught) >= 2
     score = model.score([d[1] for d in docs[300:]], [{"lang": d[2], "source": d[3]} for d in docs[300:]])[2]
     assert ((score >= 0.5) == truth[300:]).mean() > 0.97
 
@@ -107,14 +163,31 @@ def test_rates_match_a_plain_solver(spark):
     n, p = rng.integers(1, 500, 300), rng.dirichlet([0.3, 0.3, 0.3], 300)
     amounts = n[:, None] * p
     table = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(n, p, strict=True)], "n_tokens long, p array<double>")
-    weights = [0.6, 0.1, 0.3]
-    targets = X.target_totals(amounts.sum(axis=0), np.array(weights), 0)
-    got = X.rates_after(amounts, X.fit_rates(table, weights), 1.0) @ amounts
     metric = np.linalg.inv(amounts.T @ amounts)
-    slow = np.ones(300)
-    for _ in range(20_000):
-        slow = np.clip(slow - 0.5 * amounts @ (metric @ (slow @ amounts - targets)), 0, 1)
-    assert np.abs(got - slow @ amounts).max() < 0.01 * amounts.sum()
+    for weights in ([0.6, 0.1, 0.3], [0.1, 0.8, 0.1]):
+        targets = X.target_totals(amounts.sum(axis=0), np.array(weights), 0)
+        fit = X.fit_rates(X.cells(table), weights)
+        got = X.rates_after(p, fit.steps, 1.0) @ amounts
+        assert np.allclose(got, fit.reached) and np.allclose(targets, fit.targets)
+        if (targets > amounts.sum(axis=0)).any():
+            assert (got <= amounts.sum(axis=0) + 1e-6).all()  # wanted more than there is: shown, not hidden
+            continue
+        slow = np.ones(300)
+        for _ in range(20_000):
+            slow = np.clip(slow - 0.5 * amounts @ (metric @ (slow @ amounts - targets)), 0, 1)
+        assert fit.settled and np.abs(got - slow @ amounts).max() < 0.01 * amounts.sum()
+
+
+def test_report_shows_what_is_scarce(spark, frames):
+    docs, known_labels, _, _ = frames
+    rows = {r["domain"]: r for r in X.mixture_report(docs, known_labels, weights={"clean": 0.5, "toxic": 0.45, "junk": 0.05}).collect()}
+    assert rows["toxic"]["reached"] <= rows["toxic"]["available"] * (1 + 1e-9) < rows["toxic"]["wanted"]
+    assert rows["junk"]["weight"] == 0.05 and rows["clean"]["wanted"] == rows["clean"]["available"]
+
+
+def test_rates_depend_on_chances_alone(spark):
+    table = spark.createDataFrame([(5, [0.25, 0.75]), (7, [0.25, 0.75]), (1, [1.0, 0.0])], "n_tokens long, p array<double>")
+    assert sorted((r["p"], r["n_tokens"]) for r in X.cells(table).collect()) == [([0.25, 0.75], 12), ([1.0, 0.0], 1)]
 
 
 def test_mixture_of_odd_tables(spark, frames):
