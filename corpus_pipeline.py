@@ -16,7 +16,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fathomline.llm.alike import one_of_each_alike
+from fathomline.llm.alike import one_of_each
 from fathomline.llm.common import materialise, read_table, work_dir
 from fathomline.llm.mixing import take_mixture
 from fathomline.llm.packing import pack_documents
@@ -35,7 +35,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of copies and near copies (five-word shingles 0.8 alike)."""
-    return one_of_each_alike(docs)
+    return one_of_each(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

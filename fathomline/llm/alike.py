@@ -1,15 +1,16 @@
-"""One document of each group whose five-word shingle sets are ``likeness`` (Jaccard) alike, or chains of it.
-
-Equal sets are one node.  A node's signature is the least of its shingles' hashes under BANDS * ROWS
-permutations, a byte each; nodes that share a band of ROWS bytes meet, and link loosely if as many bytes
-agree as LOOSE asks, well below the likeness.  Of pairs at 0.8 some 3 in 100,000 share no band and fewer
-fall below LOOSE.  Loose links only gather: in each loose group the shingle sets themselves are compared,
-every pair that isn't in one component yet, and only what these exact links join is a group.  A set
-travels once; of a loose group with more shingles than a task should hold, blocks of it meet in pairs.
+"""One document of each group of near copies: gathered by SimHash balls, decided by five-word shingle sets.
+
+Equal shingle sets are one node.  Each has two independent SimHash fingerprints of its single words;
+``simhash.links`` tells which lie within RADIUS bits, and chains of that, in either fingerprint, are a
+loose group.  Such links only gather: in each loose group the shingle sets themselves are compared,
+every pair that isn't in one component yet, and only what these exact links join (Jaccard ``likeness``
+or more) is a group.  A set travels once; of a loose group with more shingles than a task should hold,
+blocks of it meet in pairs.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,20 +19,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fan_out, materialise, slices, text_of, work_dir
+from .common import materialise, quoted, slices, text_of, work_dir
 from .components import components
-from .simhash import shingle_hashes, without
+from .simhash import links, shingle_hashes, simhash
 
 WORDS, LIKENESS = 5, 0.8
-BANDS, ROWS = 20, 4
-#: Bytes of two signatures that must agree: 0.6 of them, which lies 4.5 standard errors below a likeness of 0.8.
-LOOSE = 48
+#: Three blocks are exact for four bits; see ``simhash``.
+BLOCKS, RADIUS = 3, 4
 #: Shingles of a loose group that one task holds; larger groups are cut into blocks of half of it.
 GROUP_SHINGLES = 4_000_000
 
-_RNG = np.random.default_rng(20)
-_XOR, _ODD = (_RNG.integers(0, 1 << 64, BANDS * ROWS, np.uint64) for _ in range(2))
-_ODD |= np.uint64(1)
+_MARKS = re.compile(r"[^\w\s]+")
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shingle_set(text: str) -> np.ndarray:
@@ -44,26 +43,26 @@ def node_of(shingles: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes(), 5)).astype(np.int64))
 
 
-def signature(shingles: np.ndarray) -> bytes:
-    """A byte of each permutation's least value, from bits that neither the least value's zeros nor a few low bits decide."""
-    least = np.full(BANDS * ROWS, (1 << 64) - 1, np.uint64)
-    for at in range(0, len(shingles), 2048):
-        np.minimum(least, ((shingles[at : at + 2048, None] ^ _XOR) * _ODD).min(axis=0), out=least)
-    return (least >> np.uint64(32)).astype(np.uint8).tobytes()
+def word_prints(text: str) -> tuple[int, int]:
+    """Two independent fingerprints of single words without marks and case; of the raw words where only marks are left."""
+    hashes = shingle_hashes(_MARKS.sub("", text).lower(), 1)
+    if not len(hashes):
+        hashes = shingle_hashes(text, 1)
+    again = hashes * _ODD
+    return simhash(hashes), simhash((again ^ again >> np.uint64(29)) * _ODD)
 
 
 def prints(docs: DataFrame) -> DataFrame:
-    """Of (doc_id, text): doc_id, node and signature (null for texts without words)."""
+    """Of (doc_id, copy, text): doc_id, copy, node, and fps, both fingerprints (null for texts without words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            sets = [shingle_set(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([node_of(s) for s in sets], pa.int64()), pa.array([signature(s) if len(s) else None for s in sets], pa.binary())],
-                ["doc_id", "node", "signature"],
-            )
+            texts = batch.column("text").to_pylist()
+            sets = [shingle_set(t) for t in texts]
+            fps = [np.array(word_prints(t), np.uint64).view(np.int64).tolist() if len(s) else None for t, s in zip(texts, sets, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("copy"), pa.array(map(node_of, sets), pa.int64()), pa.array(fps, pa.list_(pa.int64()))], ["doc_id", "copy", "node", "fps"])
 
-    return docs.mapInArrow(run, "doc_id long, node long, signature binary")
+    return docs.mapInArrow(run, "doc_id long, copy long, node long, fps array<long>")
 
 
 def forest(n: int, near) -> tuple[list[int], list[int]]:
@@ -85,45 +84,14 @@ def forest(n: int, near) -> tuple[list[int], list[int]]:
     return a, b
 
 
-def loose_links(nodes: DataFrame) -> DataFrame:
-    """From distinct (node, signature): (a, b), chains of which join what shares a band and agrees in LOOSE bytes."""
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def linked(keys: np.ndarray, own: np.ndarray, signs: np.ndarray) -> pa.RecordBatch:
-            starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-            sizes = np.diff(np.append(starts, len(keys)))
-            ends: list[tuple[int, int]] = []
-            for start, size in zip(starts[sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
-                part = signs[start : start + size]
-                a, b = forest(size, lambda k, others: (part[others] == part[k]).sum(axis=1) >= LOOSE)  # noqa: B023
-                ends += [(own[start + x], own[start + y]) for x, y in zip(a, b, strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array([e[k] for e in ends], pa.int64()) for k in (0, 1)], ["a", "b"])
-
-        def columns() -> tuple[np.ndarray, ...]:
-            table = pa.Table.from_batches(held)
-            signs = np.frombuffer(b"".join(table["signature"].to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
-            return table["key"].to_numpy(), table["node"].to_numpy(), signs
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            if len(held) < 16 or held[0].column(0)[0] == batch.column(0)[batch.num_rows - 1]:
-                continue
-            keys, own, signs = columns()
-            whole = len(keys) - int(np.argmax(keys[::-1] != keys[-1]))  # the last bucket may go on
-            held = pa.Table.from_batches(held).slice(whole).combine_chunks().to_batches()
-            yield linked(keys[:whole], own[:whole], signs[:whole])
-        if held:
-            yield linked(*columns())
-
-    band = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band")
-    rows = nodes.select("node", "signature", band)
-    rows = rows.select(F.xxhash64("band", F.expr(f"substring(signature, band * {ROWS} + 1, {ROWS})")).alias("key"), "node", "signature")
-    n = fan_out(nodes.sparkSession)
-    return rows.repartition(n, "key").sortWithinPartitions("key").mapInArrow(meet, "a long, b long").distinct()
+def loose_links(nodes: DataFrame, folder: str) -> DataFrame:
+    """From (node, fps): (a, b), nodes that share a fingerprint or have two within RADIUS bits of each other, or chains of that."""
+    each = nodes.select("node", F.explode("fps").alias("fp"))
+    owners = materialise(each.groupBy("fp").agg(F.min("node").alias("owner"), F.count(F.lit(1)).alias("n")), f"{folder}/owners")
+    near = materialise(links(owners, blocks=BLOCKS, radius=RADIUS), f"{folder}/near")
+    shared = each.join(owners.filter("n > 1"), "fp").select(F.col("node").alias("a"), F.col("owner").alias("b"))
+    a, b = (owners.select(F.col("fp").alias(end), F.col("owner").alias(f"own_{end}")) for end in ("a", "b"))
+    return shared.unionAll(near.join(a, "a").join(b, "b").select("own_a", "own_b")).filter("a <> b")
 
 
 def exact_links(sets: list[np.ndarray], likeness: float) -> tuple[list[int], list[int]]:
@@ -151,14 +119,14 @@ def exact_links(sets: list[np.ndarray], likeness: float) -> tuple[list[int], lis
 
 
 def verified(members: DataFrame, *, likeness: float, group_shingles: int | None = None) -> DataFrame:
-    """From (doc_id, text, node, root), root the loose group: (a, b), chains of which join exactly what lies in chains of ``likeness``."""
+    """From (text, node, root), root the loose group: (a, b), chains of which join exactly what lies in chains of ``likeness``."""
     group_shingles = group_shingles or GROUP_SHINGLES
     folder = work_dir(members.sparkSession, "alike-sets")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 256):
             sets = [shingle_set(t) for t in batch.column("text").to_pylist()]
-            # an id may have several rows; only the one of this node counts
+            # hashes name the rows; a clash must not bring a foreign set in
             same = pa.array([node_of(s) == n for s, n in zip(sets, batch.column("node").to_pylist(), strict=True)], pa.bool_())
             out = pa.RecordBatch.from_arrays([batch.column("root"), batch.column("node"), pa.array([s.tobytes() for s in sets], pa.binary())], ["root", "node", "shingles"])
             yield out.filter(same)
@@ -172,7 +140,7 @@ def verified(members: DataFrame, *, likeness: float, group_shingles: int | None
     sets = materialise(members.select("text", "node", "root").mapInArrow(read, "root long, node long, shingles binary"), f"{folder}/sets")
     blocks = F.ceil(F.sum(F.length("shingles")) / F.lit(4 * group_shingles)).cast("int").alias("blocks")
     large = sets.groupBy("root").agg(F.sum(F.length("shingles")).alias("bytes"), blocks).filter(F.col("bytes") > 8 * group_shingles).drop("bytes")
-    sets = sets.join(F.broadcast(large), "root", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    sets = sets.join(materialise(large, f"{folder}/large"), "root", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     own = F.expr("cast(pmod(xxhash64(node), blocks) as int)")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     # blocks meet in pairs; one block alone is the pair with itself, which every pair with it covers
@@ -182,29 +150,45 @@ def verified(members: DataFrame, *, likeness: float, group_shingles: int | None
 
 
 def groups(docs: DataFrame, *, likeness: float = LIKENESS, group_shingles: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Of (doc_id, text): its rows' (doc_id, node), and (node, first_id, root) of all nodes, root the least node of the group."""
+    """Of (doc_id, copy, text): its rows (doc_id, copy, node), and all nodes with their least row and, but for nodes alone, the least node of the group.
+
+    ``copy`` is a hash of the text, so that (doc_id, copy) names a row up to repetition.
+    """
     folder = work_dir(docs.sparkSession, "alike")
     rows = materialise(prints(docs), f"{folder}/prints")
-    nodes = materialise(rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min("signature").alias("signature")), f"{folder}/nodes")
-    loose = components(loose_links(nodes.filter("signature is not null").select("node", "signature")), name="alike-loose")
-    loose = materialise(nodes.select("node", "first_id").join(loose, "node"), f"{folder}/loose")
-    members = docs.join(loose.withColumnRenamed("first_id", "doc_id"), "doc_id")
+    nodes = materialise(rows.groupBy("node").agg(F.min(F.struct("doc_id", "copy")).alias("first"), F.min("fps").alias("fps")), f"{folder}/nodes")
+    loose = components(loose_links(nodes.filter("fps is not null").select("node", "fps"), folder), name="alike-loose")
+    loose = materialise(nodes.select("node", "first.*").join(loose, "node"), f"{folder}/loose")
+    members = docs.join(loose, ["doc_id", "copy"])
     roots = components(verified(members, likeness=likeness, group_shingles=group_shingles), name="alike")
-    return rows.select("doc_id", "node"), nodes.select("node", "first_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return rows.select("doc_id", "copy", "node"), nodes.select("node", "first").join(roots, "node", "left")
 
 
-def one_of_each_alike(docs: DataFrame, *, likeness: float = LIKENESS, group_shingles: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, *, likeness: float = LIKENESS, group_shingles: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document, that of the smallest id, of each group of near copies; all columns stay.
 
     Documents link if their sets of five-word shingles (lower case, between ASCII white space) are at
     least ``likeness`` alike; groups are chains of links.  A shorter text is one shingle.  Null texts count
-    as empty, and texts without words are copies of each other.  Of rows with one id one stays.  Rows
-    without an id can't be named as dropped and stay; an empty table stays empty.
+    as empty, and texts without words are copies of each other; texts of any length count whole.  Of
+    rows with one id and one text one stays (ties by its other columns); rows with one id and other texts
+    are documents of their own.  Rows without an id can't be named as dropped and stay; an empty table
+    stays empty; no other column's name matters.
     """
     folder = work_dir(docs.sparkSession, "one-of-each")
-    known = docs.filter(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_of(f"`{text_col}`").alias("text"))
-    rows, named = groups(known, likeness=likeness, group_shingles=group_shingles)
-    named = materialise(named, f"{folder}/named")
-    kept = named.join(named.groupBy("root").agg(F.min("first_id").alias("kept")), "root").select("node", "kept")
-    dropped = rows.join(kept, "node").filter("doc_id <> kept").select("doc_id").distinct()
-    return without(docs, materialise(dropped, f"{folder}/dropped"), id_col=id_col, text_col=text_col)
+    text = text_of(quoted(text_col))
+    named = docs.select(F.struct("*").alias("row"), quoted(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("copy"))
+    known = docs.select(quoted(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("copy"), text.alias("text")).filter("doc_id is not null")
+    rows, nodes = groups(known, likeness=likeness, group_shingles=group_shingles)
+    nodes = materialise(nodes, f"{folder}/nodes")
+    kept = materialise(nodes.filter("root is not null").groupBy("root").agg(F.min("first").alias("kept")), f"{folder}/kept")
+    # of a node alone its own least row stays
+    kept = nodes.join(kept, "root").select("node", "kept").unionAll(nodes.filter("root is null").select("node", "first"))
+    told = rows.groupBy("doc_id", "copy", "node").agg(F.count(F.lit(1)).alias("n"))
+    told = told.join(kept, "node").select("doc_id", "copy", (F.struct("doc_id", "copy") != F.col("kept")).alias("goes"), "n").filter("goes or n > 1")
+    told = materialise(told.groupBy("doc_id", "copy").agg(F.max("goes").alias("goes"), F.sum("n").alias("n")), f"{folder}/told")
+    left = named.filter("doc_id is not null").join(told, ["doc_id", "copy"], "left").filter("not coalesce(goes, false)")
+    out = left.filter("n is null").select("row").unionAll(named.filter("doc_id is null").select("row"))
+    if not told.filter("not goes").isEmpty():
+        again = left.filter("n > 1").groupBy("doc_id", "copy").agg(F.min_by("row", F.to_json("row")).alias("row"))
+        out = out.unionAll(again.select("row"))
+    return out.select("row.*")

@@ -23,8 +23,9 @@ def components(edges: DataFrame, *, name: str = "components") -> DataFrame:
     """From edges (a, b) of comparable ids: (node, root), root the least id of the node's component.
 
     Nodes without an edge to another node don't appear.  Null ends, loops and repeated edges count
-    for nothing.  A hub's edges are aggregated before they are shuffled, and its join partition is
-    one that adaptive execution can split.
+    for nothing.  A hub's edges are aggregated before they are shuffled.  Least neighbours are written
+    before they meet the edges: both sides of the join are then plain exchanges, and adaptive
+    execution can split the partition that a hub fills.
     """
     folder = work_dir(edges.sparkSession, name)
     now = edges.filter("a <> b").select(F.greatest("a", "b").alias("child"), F.least("a", "b").alias("root")).distinct()
@@ -34,8 +35,10 @@ def components(edges: DataFrame, *, name: str = "components") -> DataFrame:
         step += 1
         both = now.unionAll(now.select("root", "child")).toDF("u", "v")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = materialise(least, f"{folder}/{step}/least")
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("child"), F.col("m").alias("root")).distinct()
-        least = large.groupBy("child").agg(F.min("root").alias("m"))
+        large = materialise(large, f"{folder}/{step}/large")
+        least = materialise(large.groupBy("child").agg(F.min("root").alias("m")), f"{folder}/{step}/least-of-large")
         small = large.join(least, "child").select(F.explode(F.array(F.struct("child", F.col("m").alias("root")), F.struct(F.col("root").alias("child"), F.col("m").alias("root")))).alias("e")).select("e.*").filter("child <> root").distinct()
-        now = materialise(small, f"{folder}/{step}")
+        now = materialise(small, f"{folder}/{step}/small")
     return now.select(F.col("child").alias("node"), "root").unionAll(now.select(F.col("root").alias("node"), "root").distinct())

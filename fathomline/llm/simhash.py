@@ -7,9 +7,11 @@ least one lies in some block; with that block blanked at most two remain, and th
 flips meet between them.  That is 4 * (1 + 48) = 196 variants, where whole balls of radius 2 would
 be 2,081.  Variants keep 48 fixed bits, so unrelated fingerprints hardly ever meet, at any corpus size.
 
-``near_duplicates`` is that alone.  ``one_of_each`` meets on a fingerprint of single words without marks and case and holds
-every candidate against a second fingerprint, of word pairs.  Where documents are dropped for good, ``alike.py`` has
-``one_of_each_alike``, which links what five-word shingles call 0.8 alike, by their sets and not by fingerprints.
+``near_duplicates`` is that alone, over three-word shingles.  ``one_of_each`` drops documents for good, so its
+fingerprints only gather candidates: two independent ones of single words (letters and digits, lower
+case), three blocks of 21 or 22 bits, which is exact for 4 differing bits (the fullest block holds two)
+and meets many pairs beyond, told by twice 132 variants.  What meets is compared by its sets of
+five-word shingles (``alike.py``), and only what these call 0.8 alike is a group.
 
 Equal fingerprints are one before anything is emitted, so copies cost nothing.  Variants are
 shuffled with the few bits that give the fingerprint back, sorted, and verified bucket by bucket; a bucket tells the forest
@@ -18,20 +20,18 @@ of its links, never its pairs.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fan_out, materialise, slices, text_of, work_dir
 from .components import components
 
 RADIUS = 3
-_MARKS = re.compile(r"[^\w\s]+")
 #: Buckets up to this size are compared pair by pair in memory; larger ones are split again.
 PAIRWISE = 2048
 
@@ -62,23 +62,15 @@ def simhash(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, *, words: int = 3, check_words: int | None = None, bare: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and the fingerprint as a signed long (fp), of whole texts (null: empty).
-
-    ``check_words`` adds a second fingerprint (check) of shingles of that many words; ``bare``
-    drops everything but letters, digits and white space first.
-    """
+def fingerprints(docs: DataFrame, *, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and the fingerprint as a signed long (fp), of whole texts (null: empty)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            texts = batch.column(1).to_pylist()
-            if bare:
-                texts = [_MARKS.sub("", t).lower() for t in texts]
-            out = [np.array([simhash(shingle_hashes(t, w)) for t in texts], np.uint64).view(np.int64) for w in (words, check_words) if w]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, out)], ["doc_id", "fp", "check"][: 1 + len(out)])
+            out = np.array([simhash(shingle_hashes(t, words)) for t in batch.column(1).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], ["doc_id", "fp"])
 
-    schema = "doc_id long, fp long" + (", check long" if check_words else "")
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
 def blocks_of(n: int) -> list[tuple[int, int]]:
@@ -137,80 +129,66 @@ def _spread(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-class Near:
-    """When two fingerprints link: in ``radius`` bits, and their checks, if there are any, in ``check_radius``."""
-
-    def __init__(self, radius: int = RADIUS, check_radius: int = 64):
-        self.radius, self.check_radius = radius, check_radius
-
-    def __call__(self, p: np.ndarray, q: np.ndarray, c: np.ndarray | None, d: np.ndarray | None) -> np.ndarray:
-        near = np.bitwise_count(p ^ q) <= self.radius
-        return near if c is None else near & (np.bitwise_count(c ^ d) <= self.check_radius)
-
-
-def local_roots(prints: np.ndarray, checks: np.ndarray | None, near: Near) -> np.ndarray:
+def local_roots(prints: np.ndarray, radius: int = RADIUS) -> np.ndarray:
     """For distinct fingerprints of one bucket, the position of the first one of each's component."""
     n = len(prints)
     label = np.arange(n)
-    part = lambda x, at: None if x is None else x[at]
 
     def pairwise(own: np.ndarray) -> None:
         nonlocal label
         for at in range(0, len(own), 512):
             here = own[at : at + 512]
-            a, b = np.nonzero(near(prints[here][:, None], prints[own][None, :], None if checks is None else checks[here][:, None], part(checks, own)))
+            a, b = np.nonzero(np.bitwise_count(prints[here][:, None] ^ prints[own][None, :]) <= radius)
             label = _spread(label, here[a], own[b])
 
     if n <= PAIRWISE:
         pairwise(np.arange(n))
-        return label
-    # a large bucket: the same meeting again with blocks of four bits, whose buckets hold 16 * 61 fingerprints at most
-    for keys in variants(prints, 16):
-        owner = np.repeat(np.arange(n), keys.shape[1])
-        flat = keys.ravel()
-        order = np.argsort(flat, kind="stable")
-        flat, owner = flat[order], owner[order]
-        starts, sizes = _groups(flat)
-        for start, size in zip(starts[sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
-            own = owner[start : start + size]
-            if np.ptp(label[own]):
-                pairwise(own)
+    elif radius <= 3:
+        # a large bucket: the same meeting again with blocks of four bits, whose buckets hold 16 * 61 fingerprints at most
+        for keys in variants(prints, 16):
+            owner = np.repeat(np.arange(n), keys.shape[1])
+            flat = keys.ravel()
+            order = np.argsort(flat, kind="stable")
+            flat, owner = flat[order], owner[order]
+            starts, sizes = _groups(flat)
+            for start, size in zip(starts[sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
+                own = owner[start : start + size]
+                if np.ptp(label[own]):
+                    pairwise(own)
+    else:
+        # from one to all that it reaches: a fingerprint is held against those that nothing has reached yet
+        left = np.arange(n)
+        while len(left):
+            root, reached, left = left[0], [int(left[0])], left[1:]
+            while reached and len(left):
+                near = np.bitwise_count(prints[left] ^ prints[reached.pop()]) <= radius
+                label[left[near]] = root
+                reached += left[near].tolist()
+                left = left[~near]
     return label
 
 
-def _nodes(prints: np.ndarray, checks: np.ndarray | None) -> np.ndarray:
-    """Fingerprints with their checks as values that compare and sort."""
-    if checks is None:
-        return prints
-    out = np.empty(len(prints), [("fp", "<u8"), ("check", "<u8")])
-    out["fp"], out["check"] = prints, checks
-    return out
-
-
 #: How many neighbours in its bucket every fingerprint is held against before buckets are looked at one by one.
 NEIGHBOURS = 16
 
 
-def bucket_links(keys: np.ndarray, prints: np.ndarray, checks: np.ndarray | None = None, near: Near | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Links (node, another one of its component) of whole buckets, given sorted by key.
+def bucket_links(keys: np.ndarray, prints: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """Links (fingerprint, another one of its component) of whole buckets, given sorted by key.
 
     Neighbours are compared for all buckets at once.  That is every pair of small buckets; a larger
     one is searched through by itself only if it isn't one component by then.
     """
-    near = near or Near()
     starts, sizes = _groups(keys)
     some = np.repeat(sizes > 1, sizes)
-    keys, nodes = keys[some], _nodes(prints, checks)[some]
+    keys, prints = keys[some], prints[some]
     if not len(keys):
-        return nodes, nodes
-    every, at = np.unique(nodes, return_inverse=True)
-    split = lambda x: (x, None) if checks is None else (x["fp"], x["check"])
-    p, c = split(nodes)
+        return prints, prints
+    every, at = np.unique(prints, return_inverse=True)
     ends = []
     starts, sizes = _groups(keys)
     for shift in range(1, min(int(sizes.max()) - 1, NEIGHBOURS) + 1):
         same = np.flatnonzero(keys[shift:] == keys[:-shift])
-        linked = same[near(p[same + shift], p[same], None if c is None else c[same + shift], None if c is None else c[same])]
+        linked = same[np.bitwise_count(prints[same + shift] ^ prints[same]) <= radius]
         ends.append((at[linked + shift], at[linked]))
     label = _spread(np.arange(len(every)), *(np.concatenate(x) for x in zip(*ends, strict=True)))
     large, done = np.flatnonzero(sizes > NEIGHBOURS + 1).tolist(), 0
@@ -219,62 +197,52 @@ def bucket_links(keys: np.ndarray, prints: np.ndarray, checks: np.ndarray | None
         for k in large[done : done + 64]:
             own = np.unique(at[starts[k] : starts[k] + sizes[k]])
             if np.ptp(label[own]):
-                root = local_roots(*split(every[own]), near)
-                ends.append((own, own[root]))
+                ends.append((own, own[local_roots(every[own], radius)]))
         label, done = _spread(label, *(np.concatenate(x) for x in zip(*ends, strict=True))), done + 64
     child = np.flatnonzero(label != np.arange(len(every)))
     return every[child], every[label[child]]
 
 
-def links(prints: DataFrame, *, blocks: int = 4, check_radius: int = 64) -> DataFrame:
-    """From distinct rows (fp) or (fp, check): (a, b), which link exactly what lies within the radius, or in chains of it.
+def links(prints: DataFrame, *, blocks: int = 4, radius: int = RADIUS) -> DataFrame:
+    """From distinct fingerprints (fp): (a, b), which link exactly what lies within the radius, or in chains of it.
 
-    Ends are fingerprints, or structs of fingerprint and check.  Three blocks or more serve a
-    radius of 3; fewer blocks emit less and meet more often by chance.
+    Four blocks are exact for a radius of 3, three for one of 4; fewer blocks emit less and meet
+    more often by chance.  Beyond the exact radius some links are missed, never added.
     """
-    checked, near = "check" in prints.columns, Near(RADIUS, check_radius)
-    columns = ["fp", "check"] if checked else ["fp"]
-    sent = ["key", "trace", "check"] if checked else ["key", "trace"]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 4096):
             own = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             for keys, trace in zip(variants(own, blocks), traces(own, blocks), strict=True):
-                at = pa.array(np.repeat(np.arange(len(own)), keys.shape[1]))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(trace.ravel().view(np.int64)), *(c.take(at) for c in batch.columns[1:])], sent)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(trace.ravel().view(np.int64))], ["key", "trace"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
 
-        def linked(rows: list[np.ndarray]) -> pa.RecordBatch:
+        def linked(keys: np.ndarray, trace: np.ndarray) -> pa.RecordBatch:
             # most buckets hold one fingerprint; only the others' are restored
-            starts, sizes = _groups(rows[0])
+            starts, sizes = _groups(keys)
             some = np.repeat(sizes > 1, sizes)
-            keys, trace, *check = (x[some] for x in rows)
-            return _links(*bucket_links(keys, restored(keys, trace, blocks), check[0] if checked else None, near))
+            ends = bucket_links(keys[some], restored(keys[some], trace[some], blocks), radius)
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x).view(np.int64)) for x in ends], ["a", "b"])
 
         for batch in batches:
+            if not batch.num_rows:
+                continue
             held.append([c.to_numpy(zero_copy_only=False).view(np.uint64) for c in batch.columns])
             if len(held) < 64 or held[0][0][0] == held[-1][0][-1]:
                 continue
             rows = [np.concatenate(x) for x in zip(*held, strict=True)]
             whole = len(rows[0]) - int(np.argmax(rows[0][::-1] != rows[0][-1]))  # the last bucket may go on
             held = [[x[whole:] for x in rows]]
-            yield linked([x[:whole] for x in rows])
+            yield linked(*(x[:whole] for x in rows))
         if held:
-            yield linked([np.concatenate(x) for x in zip(*held, strict=True)])
+            yield linked(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
     # few distinct fingerprints become many variants: deal them out first
     n = fan_out(prints.sparkSession)
-    emitted = prints.select(*columns).repartition(n).mapInArrow(emit, ", ".join(f"{c} long" for c in sent))
-    end = "struct<fp: long, check: long>" if checked else "long"
-    return emitted.repartition(n, "key").sortWithinPartitions("key").mapInArrow(meet, f"a {end}, b {end}").distinct()
-
-
-def _links(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    signed = lambda x: pa.array(np.ascontiguousarray(x).view(np.int64))
-    ends = [signed(x) if x.dtype.names is None else pa.StructArray.from_arrays([signed(x["fp"]), signed(x["check"])], ["fp", "check"]) for x in (a, b)]
-    return pa.RecordBatch.from_arrays(ends, ["a", "b"])
+    emitted = prints.select("fp").repartition(n).mapInArrow(emit, "key long, trace long")
+    return emitted.repartition(n, "key").sortWithinPartitions("key").mapInArrow(meet, "a long, b long").distinct()
 
 
 def fingerprint_hex(column: str = "fp") -> Column:
@@ -287,8 +255,8 @@ def near_duplicates(docs: DataFrame, *, words: int = 3, id_col: str = "doc_id",
     component_id is the smallest doc_id that chains of links (fingerprints that differ in at most
     ``radius`` bits) reach, itself included.  Null texts count as empty; a text without words has
     fingerprint zero and links like any other.  A null doc_id is in its component but never names
-    it; a component of such documents alone has the id null.  Repeated rows give repeated rows, an
-    empty table gives none; other columns are ignored.
+    it; a component of such documents alone has the id null.  Texts of any length count whole.  Repeated
+    rows give repeated rows, an empty table gives none; other columns are ignored, whatever their names.
     """
     folder = work_dir(docs.sparkSession, "simhash")
     prints = materialise(fingerprints(docs, words=words, id_col=id_col, text_col=text_col), f"{folder}/prints")
@@ -296,38 +264,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 3, id_col: str = "doc_id",
     roots = components(links(distinct), name="simhash-links").withColumnRenamed("node", "fp")
     named = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = materialise(named, f"{folder}/named")
-    least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    # written, so that the join on a large component's root is one that adaptive execution can split
+    least = materialise(named.groupBy("root").agg(F.min("first_id").alias("component_id")), f"{folder}/least")
     by_print = named.join(least, "root").select("fp", "component_id")
     return prints.join(by_print, "fp").select("doc_id", fingerprint_hex().alias("fingerprint"), "component_id")
-
-
-def one_of_each(docs: DataFrame, *, words: int = 1, check_words: int = 2, check_radius: int = 9, blocks: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document, that of the smallest id, of each group of copies and near copies; all columns stay.
-
-    Documents link if their word fingerprints (letters and digits only, lower case) differ in at most
-    3 bits and those of their word pairs in at most ``check_radius``; groups are chains of links.
-    Null texts count as empty, and texts without words are copies of each other.  Of rows with one
-    id one stays.  Rows without an id can't be named as dropped and stay; an empty table stays empty.
-    """
-    folder = work_dir(docs.sparkSession, "one-of-each")
-    known = docs.filter(F.col(f"`{id_col}`").isNotNull())
-    prints = materialise(fingerprints(known, words=words, check_words=check_words, bare=True, id_col=id_col, text_col=text_col), f"{folder}/prints")
-    pair = F.struct("fp", "check")
-    distinct = prints.groupBy("fp", "check").agg(F.min("doc_id").alias("first_id"))
-    roots = components(links(distinct, blocks=blocks, check_radius=check_radius), name="copies").withColumnRenamed("node", "pair")
-    named = distinct.withColumn("pair", pair).join(roots, "pair", "left").select("pair", "first_id", F.coalesce("root", "pair").alias("root"))
-    named = materialise(named, f"{folder}/named")
-    least = named.groupBy("root").agg(F.min("first_id").alias("kept"))
-    kept = named.join(least, "root").select("pair", "kept")
-    dropped = prints.withColumn("pair", pair).join(kept, "pair").filter("doc_id <> kept").select("doc_id").distinct()
-    return without(docs, materialise(dropped, f"{folder}/dropped"), id_col=id_col, text_col=text_col)
-
-
-def without(docs: DataFrame, dropped: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` but for the ids of ``dropped`` (doc_id), one row of each id, and all rows without an id."""
-    dropped = dropped.withColumnRenamed("doc_id", "dropped id")
-    known = docs.filter(F.col(f"`{id_col}`").isNotNull())
-    rest = known.join(dropped, F.col(f"`{id_col}`").cast("long") == F.col("`dropped id`"), "left_anti")
-    first = F.row_number().over(Window.partitionBy(f"`{id_col}`").orderBy(F.xxhash64(text_of(f"`{text_col}`")), text_of(f"`{text_col}`")))
-    rest = rest.withColumn("fathomline row", first).filter("`fathomline row` = 1").drop("fathomline row")
-    return rest.unionByName(docs.filter(F.col(f"`{id_col}`").isNull()))

@@ -43,7 +43,7 @@ def test_fingerprint(text):
 
 
 @pytest.mark.parametrize("blocks", [3, 4, 16])
-@pytest.mark.parametrize("distance", range(5))
+@pytest.mark.parametrize("distance", range(6))
 def test_variants_meet_exactly_within_radius(distance, blocks):
     rng = random.Random(distance)
     for _ in range(60):
@@ -52,7 +52,7 @@ def test_variants_meet_exactly_within_radius(distance, blocks):
         for bit in rng.sample(range(64), distance):
             b ^= 1 << bit
         meet = any(np.intersect1d(x[0], x[1]).size for x in S.variants(np.array([a, b], np.uint64), blocks))
-        assert meet or distance > 3
+        assert meet or distance > (4 if blocks == 3 else 3)
 
 
 @pytest.mark.parametrize("blocks", [3, 4, 16])
@@ -66,9 +66,11 @@ def test_local_roots_of_large_bucket_match_pairwise(monkeypatch):
     rng = np.random.default_rng(3)
     base = np.uint64(0x0123456789ABCDEF)
     prints = np.unique(base ^ rng.integers(0, 1 << 16, 700).astype(np.uint64) ^ (np.uint64(1) << rng.integers(16, 64, 700).astype(np.uint64)))
-    expected = S.local_roots(prints, None, S.Near())
-    monkeypatch.setattr(S, "PAIRWISE", 16)
-    assert np.array_equal(S.local_roots(prints, None, S.Near()), expected)
+    for radius in (2, 3, 4):
+        monkeypatch.setattr(S, "PAIRWISE", 2048)
+        expected = S.local_roots(prints, radius)
+        monkeypatch.setattr(S, "PAIRWISE", 16)
+        assert np.array_equal(S.local_roots(prints, radius), expected)
 
 
 def test_near_duplicates_match_brute_force(spark):
@@ -110,33 +112,3 @@ def test_components_of_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 100), (None, 3), (200, 201), (201, 200)], "a long, b long")
     got = {r["node"]: r["root"] for r in components(edges).collect()}
     assert got == {**dict.fromkeys(range(61), 0), 200: 200, 201: 200}
-
-
-def test_one_of_each(spark):
-    rng = random.Random(9)
-    rows = [(0, "", "e"), (1, None, "e"), (2, "  ", "e"), (None, "no id", "e"), (None, "no id", "e")]
-    vocabulary = [f"w{i}" for i in range(300)]
-    for g in range(10):
-        words = rng.choices(vocabulary, [1 / (k + 1) for k in range(300)], k=300)
-        rng.shuffle(vocabulary)
-        for i in range(12):
-            own = list(words)
-            for _ in range(0 if i % 3 == 0 else i):
-                own[rng.randrange(len(own))] = f"other{rng.randrange(1000)}"
-            rows.append((100 * g + 10 + i, (" ".join(own) + ".") if i % 2 else " ".join(own).upper(), "x"))
-    known = [r for r in rows if r[0] is not None]
-    bare = ["".join(c for c in (t or "") if c != ".").lower() for _, t, _ in known]
-    one, two = ([S.simhash(S.shingle_hashes(t, w)) for t in bare] for w in (1, 2))
-    root = list(range(len(known)))
-    for i in range(len(known)):
-        for j in range(i):
-            if (one[i] ^ one[j]).bit_count() <= 3 and (two[i] ^ two[j]).bit_count() <= 9:
-                a, b = root[i], root[j]
-                root = [min(a, b) if r in (a, b) else r for r in root]
-    kept = {min(known[i][0] for i in range(len(known)) if root[i] == r) for r in set(root)}
-    assert 11 <= len(kept) < 60
-    docs = spark.createDataFrame([*rows, (10, rows[5][1], "x")], "doc_id long, text string, kept string")
-    got = S.one_of_each(docs).collect()
-    assert {r["doc_id"] for r in got} == kept | {None}
-    assert len(got) == len(kept) + 2 and got[0].asDict().keys() == {"doc_id", "text", "kept"}
-    assert S.one_of_each(docs.limit(0)).count() == 0
