@@ -8,7 +8,9 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -95,6 +97,18 @@ def slices(batches: Iterator[pa.RecordBatch], max_rows: int = 512) -> Iterator[p
             yield batch.slice(at, max_rows)
 
 
+def portions(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 << 20, max_rows: int = 4096) -> Iterator[pa.RecordBatch]:
+    """Cut Arrow batches so that a text column has about ``max_bytes`` in each (a longer text is alone)."""
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < batch.num_rows:
+            before = ends[at - 1] if at else 0
+            n = min(max_rows, max(1, int(np.searchsorted(ends, before + max_bytes, "right")) - at))
+            yield batch.slice(at, n)
+            at += n
+
+
 def fan_out(spark: SparkSession) -> int:
     """How many partitions a wide step should have at least."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)

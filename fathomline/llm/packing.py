@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, slices, text_of, work_dir
+from .common import materialise, portions, text_of, work_dir
 from .tokens import encoder
 
 PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -87,14 +87,14 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, *, window: int = 2048, en
     """Pieces of every document: full windows, then what is left; each id lies in one piece."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(tokenizer_path).encode, int(end_id).to_bytes(4, "little")
-        for batch in slices(batches):
+        code, end = encoder(tokenizer_path), np.array([end_id], "<u4")
+        for batch in portions(batches, "text"):
             rows: list[list] = [[], [], [], [], []]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = encode(text) + end
-                for at in range(0, len(ids), 4 * window):
-                    piece = ids[at : at + 4 * window]
-                    for column, value in zip(rows, (doc, at // 4, len(piece) // 4, zlib.crc32(piece), len(ids) // 4), strict=True):
+            for doc, text_ids in zip(batch.column(0).to_pylist(), code.encode_many(batch.column(1)), strict=True):
+                ids = np.append(text_ids, end)
+                for at in range(0, len(ids), window):
+                    piece = ids[at : at + window]
+                    for column, value in zip(rows, (doc, at, len(piece), zlib.crc32(piece), len(ids)), strict=True):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in rows], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
@@ -144,12 +144,12 @@ def sequences(docs: DataFrame, packed: DataFrame, tokenizer_path: str, *, window
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(tokenizer_path).encode, int(end_id).to_bytes(4, "little")
-        for batch in slices(batches):
+        code, end = encoder(tokenizer_path), np.array([end_id], "<u4")
+        for batch in portions(batches, "text"):
             rows = []
-            for row in batch.to_pylist():
-                ids = encode(row["text"]) + end
-                rows += [{"sequence_id": p["sequence_id"], "offset": p["offset"], "part": np.frombuffer(ids, "<u4", p["length"], 4 * p["start"]).astype(np.int32)} for p in row["places"]]
+            for row_places, text_ids in zip(batch.column("places").to_pylist(), code.encode_many(batch.column("text")), strict=True):
+                ids = np.append(text_ids, end).astype(np.int32)
+                rows += [{"sequence_id": p["sequence_id"], "offset": p["offset"], "part": ids[p["start"] : p["start"] + p["length"]]} for p in row_places]
             yield pa.RecordBatch.from_pylist(rows, pa.schema([("sequence_id", pa.int64()), ("offset", pa.int64()), ("part", pa.list_(pa.int32()))]))
 
     places = packed.groupBy("doc_id").agg(F.collect_list(F.struct("start", "length", "sequence_id", "offset")).alias("places"))

@@ -7,11 +7,11 @@ least one lies in some block; with that block blanked at most two remain, and th
 flips meet between them.  That is 4 * (1 + 48) = 196 variants, where whole balls of radius 2 would
 be 2,081.  Variants keep 48 fixed bits, so unrelated fingerprints hardly ever meet, at any corpus size.
 
-``near_duplicates`` is that alone, over three-word shingles.  ``one_of_each`` drops documents for good, so its
-fingerprints only gather candidates: two independent ones of single words (letters and digits, lower
-case), three blocks of 21 or 22 bits, which is exact for 4 differing bits (the fullest block holds two)
-and meets many pairs beyond, told by twice 132 variants.  What meets is compared by its sets of
-five-word shingles (``alike.py``), and only what these call 0.8 alike is a group.
+``near_duplicates`` is that alone, over three-word shingles.  ``alike.one_of_each`` drops documents for
+good, so its fingerprints only gather candidates: of single words (letters and digits, lower case), in three
+blocks of 21 or 22 bits, 132 variants.  That is exact for 4 differing bits (the fullest block holds two)
+and meets many pairs beyond.  A second fingerprint, of five-word shingles, travels along and screens
+what meets, as long texts of one language have much the same words.  The shingle sets decide.
 
 Equal fingerprints are one before anything is emitted, so copies cost nothing.  Variants are
 shuffled with the few bits that give the fingerprint back, sorted, and verified bucket by bucket; a bucket tells the forest
@@ -129,21 +129,33 @@ def _spread(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def local_roots(prints: np.ndarray, radius: int = RADIUS) -> np.ndarray:
+class Near:
+    """When two fingerprints link: in ``radius`` bits, and their checks, if there are any, in ``check_radius``."""
+
+    def __init__(self, radius: int = RADIUS, check_radius: int = 64):
+        self.radius, self.check_radius = radius, check_radius
+
+    def __call__(self, p: np.ndarray, q: np.ndarray, c: np.ndarray | None, d: np.ndarray | None) -> np.ndarray:
+        near = np.bitwise_count(p ^ q) <= self.radius
+        return near if c is None else near & (np.bitwise_count(c ^ d) <= self.check_radius)
+
+
+def local_roots(prints: np.ndarray, checks: np.ndarray | None, near: Near) -> np.ndarray:
     """For distinct fingerprints of one bucket, the position of the first one of each's component."""
     n = len(prints)
     label = np.arange(n)
+    part = lambda x, at: None if x is None else x[at]
 
     def pairwise(own: np.ndarray) -> None:
         nonlocal label
         for at in range(0, len(own), 512):
             here = own[at : at + 512]
-            a, b = np.nonzero(np.bitwise_count(prints[here][:, None] ^ prints[own][None, :]) <= radius)
+            a, b = np.nonzero(near(prints[here][:, None], prints[own][None, :], None if checks is None else checks[here][:, None], part(checks, own)))
             label = _spread(label, here[a], own[b])
 
     if n <= PAIRWISE:
         pairwise(np.arange(n))
-    elif radius <= 3:
+    elif near.radius <= 3 and checks is None:
         # a large bucket: the same meeting again with blocks of four bits, whose buckets hold 16 * 61 fingerprints at most
         for keys in variants(prints, 16):
             owner = np.repeat(np.arange(n), keys.shape[1])
@@ -161,34 +173,47 @@ def local_roots(prints: np.ndarray, radius: int = RADIUS) -> np.ndarray:
         while len(left):
             root, reached, left = left[0], [int(left[0])], left[1:]
             while reached and len(left):
-                near = np.bitwise_count(prints[left] ^ prints[reached.pop()]) <= radius
-                label[left[near]] = root
-                reached += left[near].tolist()
-                left = left[~near]
+                k = reached.pop()
+                hit = near(prints[left], prints[k], part(checks, left), part(checks, k))
+                label[left[hit]] = root
+                reached += left[hit].tolist()
+                left = left[~hit]
     return label
 
 
+def _nodes(prints: np.ndarray, checks: np.ndarray | None) -> np.ndarray:
+    """Fingerprints with their checks as values that compare and sort."""
+    if checks is None:
+        return prints
+    out = np.empty(len(prints), [("fp", "<u8"), ("check", "<u8")])
+    out["fp"], out["check"] = prints, checks
+    return out
+
+
 #: How many neighbours in its bucket every fingerprint is held against before buckets are looked at one by one.
 NEIGHBOURS = 16
 
 
-def bucket_links(keys: np.ndarray, prints: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Links (fingerprint, another one of its component) of whole buckets, given sorted by key.
+def bucket_links(keys: np.ndarray, prints: np.ndarray, checks: np.ndarray | None = None, near: Near | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links (node, another one of its component) of whole buckets, given sorted by key.
 
     Neighbours are compared for all buckets at once.  That is every pair of small buckets; a larger
     one is searched through by itself only if it isn't one component by then.
     """
+    near = near or Near()
     starts, sizes = _groups(keys)
     some = np.repeat(sizes > 1, sizes)
-    keys, prints = keys[some], prints[some]
+    keys, nodes = keys[some], _nodes(prints, checks)[some]
     if not len(keys):
-        return prints, prints
-    every, at = np.unique(prints, return_inverse=True)
+        return nodes, nodes
+    every, at = np.unique(nodes, return_inverse=True)
+    split = lambda x: (x, None) if checks is None else (x["fp"], x["check"])
+    p, c = split(nodes)
     ends = []
     starts, sizes = _groups(keys)
     for shift in range(1, min(int(sizes.max()) - 1, NEIGHBOURS) + 1):
         same = np.flatnonzero(keys[shift:] == keys[:-shift])
-        linked = same[np.bitwise_count(prints[same + shift] ^ prints[same]) <= radius]
+        linked = same[near(p[same + shift], p[same], None if c is None else c[same + shift], None if c is None else c[same])]
         ends.append((at[linked + shift], at[linked]))
     label = _spread(np.arange(len(every)), *(np.concatenate(x) for x in zip(*ends, strict=True)))
     large, done = np.flatnonzero(sizes > NEIGHBOURS + 1).tolist(), 0
@@ -197,34 +222,40 @@ def bucket_links(keys: np.ndarray, prints: np.ndarray, radius: int = RADIUS) ->
         for k in large[done : done + 64]:
             own = np.unique(at[starts[k] : starts[k] + sizes[k]])
             if np.ptp(label[own]):
-                ends.append((own, own[local_roots(every[own], radius)]))
+                root = local_roots(*split(every[own]), near)
+                ends.append((own, own[root]))
         label, done = _spread(label, *(np.concatenate(x) for x in zip(*ends, strict=True))), done + 64
     child = np.flatnonzero(label != np.arange(len(every)))
     return every[child], every[label[child]]
 
 
-def links(prints: DataFrame, *, blocks: int = 4, radius: int = RADIUS) -> DataFrame:
-    """From distinct fingerprints (fp): (a, b), which link exactly what lies within the radius, or in chains of it.
+def links(prints: DataFrame, *, blocks: int = 4, radius: int = RADIUS, check_radius: int = 64) -> DataFrame:
+    """From distinct rows (fp) or (fp, check): (a, b), which link exactly what lies within the radius, or in chains of it.
 
-    Four blocks are exact for a radius of 3, three for one of 4; fewer blocks emit less and meet
-    more often by chance.  Beyond the exact radius some links are missed, never added.
+    Ends are fingerprints, or structs of fingerprint and check; checks must lie within their own radius.
+    Four blocks are exact for a radius of 3, three for one of 4; fewer blocks emit less and meet more
+    often by chance.  Beyond the exact radius some links are missed, never added.
     """
+    checked, near = "check" in prints.columns, Near(radius, check_radius)
+    columns = ["fp", "check"] if checked else ["fp"]
+    sent = ["key", "trace", "check"] if checked else ["key", "trace"]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 4096):
             own = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             for keys, trace in zip(variants(own, blocks), traces(own, blocks), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(trace.ravel().view(np.int64))], ["key", "trace"])
+                at = pa.array(np.repeat(np.arange(len(own)), keys.shape[1]))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(trace.ravel().view(np.int64)), *(c.take(at) for c in batch.columns[1:])], sent)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
 
-        def linked(keys: np.ndarray, trace: np.ndarray) -> pa.RecordBatch:
+        def linked(rows: list[np.ndarray]) -> pa.RecordBatch:
             # most buckets hold one fingerprint; only the others' are restored
-            starts, sizes = _groups(keys)
+            starts, sizes = _groups(rows[0])
             some = np.repeat(sizes > 1, sizes)
-            ends = bucket_links(keys[some], restored(keys[some], trace[some], blocks), radius)
-            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x).view(np.int64)) for x in ends], ["a", "b"])
+            keys, trace, *check = (x[some] for x in rows)
+            return _links(*bucket_links(keys, restored(keys, trace, blocks), check[0] if checked else None, near))
 
         for batch in batches:
             if not batch.num_rows:
@@ -235,14 +266,21 @@ def links(prints: DataFrame, *, blocks: int = 4, radius: int = RADIUS) -> DataFr
             rows = [np.concatenate(x) for x in zip(*held, strict=True)]
             whole = len(rows[0]) - int(np.argmax(rows[0][::-1] != rows[0][-1]))  # the last bucket may go on
             held = [[x[whole:] for x in rows]]
-            yield linked(*(x[:whole] for x in rows))
+            yield linked([x[:whole] for x in rows])
         if held:
-            yield linked(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            yield linked([np.concatenate(x) for x in zip(*held, strict=True)])
 
     # few distinct fingerprints become many variants: deal them out first
     n = fan_out(prints.sparkSession)
-    emitted = prints.select("fp").repartition(n).mapInArrow(emit, "key long, trace long")
-    return emitted.repartition(n, "key").sortWithinPartitions("key").mapInArrow(meet, "a long, b long").distinct()
+    emitted = prints.select(*columns).repartition(n).mapInArrow(emit, ", ".join(f"{c} long" for c in sent))
+    end = "struct<fp: long, check: long>" if checked else "long"
+    return emitted.repartition(n, "key").sortWithinPartitions("key").mapInArrow(meet, f"a {end}, b {end}").distinct()
+
+
+def _links(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    signed = lambda x: pa.array(np.ascontiguousarray(x).view(np.int64))
+    ends = [signed(x) if x.dtype.names is None else pa.StructArray.from_arrays([signed(x["fp"]), signed(x["check"])], ["fp", "check"]) for x in (a, b)]
+    return pa.RecordBatch.from_arrays(ends, ["a", "b"])
 
 
 def fingerprint_hex(column: str = "fp") -> Column:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fan_out, file_system, materialise, put_file, slices, text_of, work_dir
+from .common import fan_out, file_system, materialise, portions, put_file, text_of, work_dir
 from .tokens import encoder
 
 MAGIC = b"FLTOKEF1"
@@ -122,13 +122,13 @@ class ShardReader:
             yield doc, start, end - start, crc
 
 
-def write_shard(out, documents: Iterator[tuple[int | None, bytes]], id_bytes: int) -> tuple[int, int]:
-    """Write documents (ids as uint32 bytes), nulls first and then by doc_id; gives documents and ids."""
+def write_shard(out, documents: Iterator[tuple[int | None, bytes | np.ndarray]], id_bytes: int) -> tuple[int, int]:
+    """Write documents (ids as uint32, or their bytes), nulls first and then by doc_id; gives documents and ids."""
     out.write(MAGIC)
     names, ends, nulls, total = [], [], 0, 0
     for doc, ids in documents:
         part = np.frombuffer(ids, "<u4")
-        out.write(part.astype(f"<u{id_bytes}").tobytes() if id_bytes != 4 else ids)
+        out.write(part.astype(f"<u{id_bytes}").tobytes())
         total += len(part)
         ends.append(total)
         if doc is None:
@@ -159,9 +159,9 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, *, end_
 
         code = encoder(tokenizer_path)
         id_bytes = 2 if max(code.tokenizer.get_vocab_size() - 1, end_id) < 1 << 16 else 4
-        end = int(end_id).to_bytes(4, "little")
+        end = np.array([end_id], "<u4")
         shard, told = TaskContext.get().partitionId(), []
-        rows = ((doc, code.encode(text) + end) for b in slices(batches) for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        rows = ((doc, np.append(ids, end)) for b in portions(batches, "text") for doc, ids in zip(b.column(0).to_pylist(), code.encode_many(b.column(1)), strict=True))
         if (first := next(rows, None)) is None:
             return
         fs, path = file_system(f"{folder}/shard-{shard:08d}.tok")

@@ -68,9 +68,9 @@ def test_local_roots_of_large_bucket_match_pairwise(monkeypatch):
     prints = np.unique(base ^ rng.integers(0, 1 << 16, 700).astype(np.uint64) ^ (np.uint64(1) << rng.integers(16, 64, 700).astype(np.uint64)))
     for radius in (2, 3, 4):
         monkeypatch.setattr(S, "PAIRWISE", 2048)
-        expected = S.local_roots(prints, radius)
+        expected = S.local_roots(prints, None, S.Near(radius))
         monkeypatch.setattr(S, "PAIRWISE", 16)
-        assert np.array_equal(S.local_roots(prints, radius), expected)
+        assert np.array_equal(S.local_roots(prints, None, S.Near(radius)), expected)
 
 
 def test_near_duplicates_match_brute_force(spark):
