@@ -15,7 +15,7 @@ from .functions.embedding import Embedder
 from .operators import lifecycle
 from .operators.messages import frame
 from .schemas import STATUS_LOG
-from .sources.tables import create_tables, read_chunks, read_table
+from .sources.tables import create_tables, delete_path, read_chunks, read_table
 from .sources.uploads import ACCEPTED, parse_pending
 from .streaming.ingest import ingest_batch
 from .streaming.status import watch
@@ -45,13 +45,20 @@ class DocumentService:
             raise Rejected(f"File exceeds {self.settings.max_upload_mb}MB limit")
         document_id = str(uuid.uuid4())
         path = f"{self.root}/files/{document_id}{ACCEPTED[content_type]}"
-        # the file first: a row never names a file that isn't there
-        self.spark.createDataFrame([(document_id, file_name, bytearray(content))], "id string, file_name string, content binary").coalesce(1).write.parquet(path)
+        # the file first: a row never names a file that isn't there; and no file stays that no row names
+        try:
+            self.spark.createDataFrame([(document_id, file_name, bytearray(content))], "id string, file_name string, content binary").coalesce(1).write.parquet(path)
+            self._add_row(document_id, file_name, path)
+        except Exception:
+            delete_path(self.spark, path)
+            raise
+        self._log(document_id, "pending")
+        return {"id": document_id, "file_name": file_name, "status": "pending"}
+
+    def _add_row(self, document_id: str, file_name: str, path: str) -> None:
         row = self.spark.createDataFrame([(document_id, file_name, path)], "id string, file_name string, file_path string")
         stamped = row.select("*", F.current_timestamp().alias("uploaded_at"), F.lit("pending").alias("status"), F.lit(None).cast("string").alias("error_msg"))
         stamped.write.mode("append").parquet(f"{self.root}/documents.parquet")
-        self._log(document_id, "pending")
-        return {"id": document_id, "file_name": file_name, "status": "pending"}
 
     def documents(self) -> DataFrame:
         """All documents with the status that the log gives them."""
@@ -63,11 +70,15 @@ class DocumentService:
         return lifecycle.ready(self.documents()).select("id", "file_name", "uploaded_at")
 
     def ingest_pending(self) -> None:
-        """Take every pending document to done or failed."""
-        waiting = self.documents().filter("status = 'pending'").select("id", "file_path")
+        """Take every pending document to done or failed, and those that an earlier run left in processing when it was cut off.
+
+        Runs don't overlap: one service ingests at a time.
+        """
+        waiting = self.documents().filter("coalesce(status, 'pending') in ('pending', 'processing')").select("id", "file_path")
         paths = [r["file_path"] for r in waiting.collect()]
         if paths:
-            ingest_batch(parse_pending(self.spark, paths), log_path=self.log_path, chunk_path=self.chunk_path, make_embedder=self.make_embedder, width=self.width, settings=self.settings)
+            last = self.spark.read.schema(STATUS_LOG).parquet(self.log_path).agg(F.max("seq").alias("seq")).first()["seq"]
+            ingest_batch(parse_pending(self.spark, paths), first_seq=(last or 0) + 1, log_path=self.log_path, chunk_path=self.chunk_path, make_embedder=self.make_embedder, width=self.width, settings=self.settings)
 
     def status(self, document_id: str, sleep: Callable[[float], None] = time.sleep) -> Iterator[str]:
         """Frames of a document's status, one a poll, up to the first terminal one; an unknown document is an error."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.embedding import checked_width
 from ..schemas import CHUNKS, STATUSES
@@ -25,25 +26,29 @@ def chunk_rows(chunks: DataFrame, width: int) -> DataFrame:
     return ready.select(*[F.col(f.name).cast(f.dataType.simpleString()) for f in CHUNKS])
 
 
-def write_chunks(chunks: DataFrame, path: str, *, width: int) -> None:
+def write_chunks(chunks: DataFrame, path: str, *, width: int, ids: DataFrame | None = None) -> None:
     """Write whole documents' chunks; a document that was there before is replaced, others stay.
 
-    The table is partitioned by the document's hash bucket, so a document's chunks lie together
-    and a reader of one document opens few files.
+    ``ids`` (document_id) names the documents that are written, those that have no chunks any more
+    included; without it they are the documents of ``chunks``.  The table is partitioned by the
+    document's hash bucket, so a document's chunks lie together and a reader of one document opens few files.
     """
     spark = chunks.sparkSession
     rows = chunk_rows(chunks, width).withColumn("bucket", bucket(F.col("document_id")))
     if not _exists(spark, path):
         rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
         return
-    old = spark.read.parquet(path)
+    replaced = (rows if ids is None else ids).select(F.col("document_id").cast("string")).distinct()
+    old = spark.read.schema(rows.schema).parquet(path)
     # untouched documents of the touched buckets are written again beside the new ones
-    touched = rows.select("bucket").distinct()
-    others = old.join(F.broadcast(touched), "bucket", "left_semi").join(rows.select("document_id").distinct(), "document_id", "left_anti")
-    both = rows.unionByName(others.select(*rows.columns)).repartition("bucket")
+    touched = replaced.select(bucket(F.col("document_id")).alias("bucket")).distinct()
+    others = old.join(F.broadcast(touched), "bucket", "left_semi").join(replaced, "document_id", "left_anti")
     staged = f"{path.rstrip('/')}-staged"
-    both.write.mode("overwrite").parquet(staged)
-    spark.read.schema(both.schema).parquet(staged).repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    rows.unionByName(others.select(*rows.columns)).repartition("bucket").write.mode("overwrite").parquet(staged)
+    both = spark.read.schema(rows.schema).parquet(staged)
+    for number in sorted({r["bucket"] for r in touched.collect()} - {r["bucket"] for r in both.select("bucket").distinct().collect()}):
+        delete_path(spark, f"{path.rstrip('/')}/bucket={number}")
+    both.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
 
 #: Folders of the chunk table; the list of touched ones, at most this many, is broadcast.
@@ -55,13 +60,20 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def bucket(document_id: Column) -> Column:
-    return F.pmod(F.xxhash64(document_id.cast("string")), F.lit(BUCKETS)).cast("int")
+    """The first 32 bits of the id's MD5, by the number of folders: a rule that any engine can follow."""
+    return (F.conv(F.substring(F.md5(document_id.cast("string")), 1, 8), 16, 10).cast("long") % BUCKETS).cast("int")
 
 
 def read_chunks(spark: SparkSession, path: str, document_id: str | None = None) -> DataFrame:
     """The chunk table, or one document of it: the bucket prunes folders."""
-    table = spark.read.parquet(path)
+    # the schema is told, as a table that has lost its last chunk has no file to tell it
+    table = spark.read.schema(T.StructType([*CHUNKS, T.StructField("bucket", T.IntegerType())])).parquet(path)
     if document_id is None:
         return table.drop("bucket")
     number = spark.range(1).select(bucket(F.lit(document_id)).alias("b")).first()["b"]
@@ -93,7 +105,5 @@ def create_tables(spark: SparkSession, folder: str) -> None:
 
 def drop_tables(spark: SparkSession, folder: str) -> None:
     """Remove the tables that ``create_tables`` makes."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
     for name in ("document_chunks", "status_log", "documents"):
-        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.parquet"), True)
+        delete_path(spark, f"{folder}/{name}.parquet")

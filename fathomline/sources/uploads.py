@@ -8,6 +8,7 @@ import zipfile
 import zlib
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
+from xml.sax.saxutils import escape
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -81,6 +82,25 @@ def docx_text(content: bytes) -> str:
     return "\n".join(lines)
 
 
+def docx_bytes(paragraphs: list[str]) -> bytes:
+    """The smallest Word document with these paragraphs."""
+    body = "".join(f'<w:p><w:r><w:t xml:space="preserve">{escape(p)}</w:t></w:r></w:p>' for p in paragraphs)
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as file:
+        file.writestr("word/document.xml", f'<w:document xmlns:w="{_W[1:-1]}"><w:body>{body}</w:body></w:document>')
+    return out.getvalue()
+
+
+def pdf_bytes(pages: list[str]) -> bytes:
+    """The bare streams of a PDF that shows one line a page, in Windows Latin-1."""
+    parts = [b"%PDF-1.4\n"]
+    for page in pages:
+        shown = re.sub(rb"([\\()])", rb"\\\1", page.encode("cp1252", "replace"))
+        data = zlib.compress(b"BT /F1 12 Tf (" + shown + b") Tj ET")
+        parts.append(b"<</Length %d /Filter /FlateDecode>>\nstream\n" % len(data) + data + b"\nendstream\n")
+    return b"".join(parts)
+
+
 def pdf_text(content: bytes) -> str:
     """Text of a PDF's pages, a line break between; by PyMuPDF where it is installed, else of plain text operators only."""
     try:

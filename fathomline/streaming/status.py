@@ -46,30 +46,35 @@ def follow(events: Iterator[dict]) -> Iterator[dict]:
     yield {"status": "failed", "message": LOST}
 
 
-_MESSAGE = "message_id string, content string, streaming boolean, error boolean"
+_MESSAGE = "message_id string, content string, citations string, streaming boolean, error boolean"
 
 
 def fold_stream(events: DataFrame) -> DataFrame:
-    """Messages (message_id, content, streaming, error) as their events arrive; the state is the text so far.
+    """Messages (message_id, content, citations, streaming, error) as their events arrive; the state is the message so far.
 
-    Events of one batch are put in order by seq; an event after the end changes nothing.
+    The last citations count.  Events of one batch are put in order by seq; an event after the end changes nothing.
     """
+    chunks = F.col("chunks") if "chunks" in events.columns else F.lit(None).cast(CHAT_EVENT["chunks"].dataType)
+    plain = events.select(F.col("message_id").cast("string"), "seq", "type", "content", F.to_json(chunks).alias("chunks"))
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        content, streaming, error = state.get if state.exists else ("", True, False)
+        content, citations, streaming, error = state.get if state.exists else ("", "[]", True, False)
         rows = pd.concat(list(frames)).sort_values("seq")
-        for kind, text in zip(rows["type"], rows["content"], strict=True):
+        for kind, text, cited in zip(rows["type"], rows["content"], rows["chunks"], strict=True):
             if not streaming:
                 break
             if kind == "token":
                 content += text or ""
+            elif kind == "citations":
+                citations = cited or "[]"
             elif kind in ("done", "error"):
                 streaming, error = False, kind == "error"
-        state.update((content, streaming, error))
-        yield pd.DataFrame({"message_id": [key[0]], "content": [content], "streaming": [streaming], "error": [error]})
+        state.update((content, citations, streaming, error))
+        yield pd.DataFrame({"message_id": [key[0]], "content": [content], "citations": [citations], "streaming": [streaming], "error": [error]})
 
-    keyed = events.groupBy("message_id")
-    return keyed.applyInPandasWithState(step, _MESSAGE, "content string, streaming boolean, error boolean", "update", GroupStateTimeout.NoTimeout)
+    keyed = plain.groupBy("message_id")
+    folded = keyed.applyInPandasWithState(step, _MESSAGE, "content string, citations string, streaming boolean, error boolean", "update", GroupStateTimeout.NoTimeout)
+    return folded.withColumn("citations", F.from_json("citations", CHAT_EVENT["chunks"].dataType))
 
 
 def typed_events(lines: DataFrame, text: str = "value") -> DataFrame:
