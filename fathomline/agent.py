@@ -7,20 +7,14 @@ from dataclasses import dataclass, field
 from typing import Protocol
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .config import Settings
 from .functions.embedding import Embedder, embed_text
 from .functions.text import rewrite_question
 from .operators.lifecycle import require_ready
 from .operators.messages import frame
-from .operators.search import NOTHING_FOUND, SEPARATOR, vector_topk
-
-SYSTEM_PROMPT = (
-    "Answer from the chosen document alone. Call search_document for passages before you answer, at most three times; "
-    "for a named field search for its name, and if nothing useful comes back try a shorter or another word. "
-    "Then answer clearly and completely."
-)
-
+from .operators.search import NOTHING_FOUND, SEPARATOR, fetch, fts_topk_ranked, vector_topk
 
 @dataclass
 class ToolSpec:
@@ -32,6 +26,15 @@ class ToolSpec:
 SEARCH = ToolSpec("search_document", "Passages of the document that bear on the query; call again with other words if they don't suffice.", {"query": "string"})
 
 
+def system_prompt(settings: Settings) -> str:
+    """What a model is told of its one tool and of the bounds of the loop."""
+    return (
+        f"One document is open. {SEARCH.name}({', '.join(SEARCH.parameters)}) returns up to {settings.top_k} of its passages, or says that none was found. "
+        f"Calls are answered for {settings.agent_rounds} rounds; short names and labels match better than whole sentences. "
+        "Every statement of the answer must rest on returned passages; where they don't hold the answer, say so."
+    )
+
+
 @dataclass
 class ToolCall:
     id: str
@@ -77,17 +80,22 @@ class ScriptedModel:
 
 
 def rewritten(chunks: DataFrame, question: str) -> str:
-    from pyspark.sql import functions as F
-
     return chunks.sparkSession.range(1).select(rewrite_question(F.lit(question)).alias("q")).first()["q"]
 
 
 def search_tool(chunks: DataFrame, document_id, embedder: Embedder, k: int = 8) -> Callable[[str], tuple[str, list[dict]]]:
-    """A search of one document: the context text and the hits, in order."""
+    """A search of one document: the context text and the hits, in order: vector hits, then text hits that these lack, ``k`` in all."""
+    spark, own = chunks.sparkSession, chunks.filter(F.col("document_id") == document_id)
 
     def search(query: str) -> tuple[str, list[dict]]:
-        vector = embed_text(embedder, rewritten(chunks, query))
-        hits = [r.asDict() for r in vector_topk(chunks, vector, document_id, k).select("chunk_index", "content").collect()]
+        core = rewritten(chunks, query)
+        hits = [r.asDict() for r in vector_topk(own, embed_text(embedder, core), document_id, k).select("chunk_index", "content").collect()]
+        if len(hits) < k:
+            keys = ["document_id", "chunk_index"]
+            ids = fts_topk_ranked(own, spark.createDataFrame([(0, core)], "query_id int, query string"), k).select(*keys, "rank")
+            found = fetch(own, ids, keys).join(ids, keys).orderBy("rank").select("chunk_index", "content").collect()
+            seen = {h["chunk_index"] for h in hits}
+            hits += [r.asDict() for r in found if r["chunk_index"] not in seen][: k - len(hits)]
         return SEPARATOR.join(h["content"] for h in hits) or NOTHING_FOUND, hits
 
     return search
@@ -100,7 +108,7 @@ def answer(question: str, model: ChatModel, search: Callable[[str], tuple[str, l
     aside, and the answer is streamed from the conversation as it then stands.
     """
     settings = settings or Settings()
-    talk, hits = [Message("system", SYSTEM_PROMPT), Message("human", question)], []
+    talk, hits = [Message("system", system_prompt(settings)), Message("human", question)], []
     for _ in range(settings.agent_rounds):
         reply = model.reply(talk, [SEARCH])
         if not reply.tool_calls:

@@ -2,29 +2,32 @@
 
 from __future__ import annotations
 
-import math
 from itertools import combinations
 
+import numpy as np
+
 #: The weight of a plain position, the sum of 1/j^2, and what pairs beyond 100 positions count.
 WEIGHT, ALL_SQUARES, FAR = 0.1, 1.64493406685, 1e-30
 
 
-def _nearness(distance: int) -> float:
-    return FAR if distance > 100 else 1.0 / (1.005 + 0.05 * math.exp(distance / 1.5 - 2.0))
+def _nearness(distance: np.ndarray) -> np.ndarray:
+    return np.where(distance > 100, FAR, 1.0 / (1.005 + 0.05 * np.exp(np.minimum(distance, 101) / 1.5 - 2.0)))
 
 
 def rank(places: dict[str, list[int]], query: list[str]) -> float:
-    """0 without a match; one lexeme counts by its occurrences, several by all pairs of their positions."""
+    """0 without a match; one lexeme counts by its occurrences, several by all pairs of their positions.
+
+    An analyzed text keeps 256 positions of a lexeme, so that the pairs of two lexemes are 65,536 at most.
+    """
     found = [places.get(q) for q in query]
     if not query or not all(found):
         return 0.0
     if len(query) == 1:
-        return sum(WEIGHT / (j * j) for j in range(1, len(found[0]) + 1)) / ALL_SQUARES
-    result = None
+        return float((WEIGHT / np.arange(1, len(found[0]) + 1) ** 2).sum()) / ALL_SQUARES
+    apart, pairs = 1.0, 0
     for a, b in combinations(found, 2):
-        for x in a:
-            for y in b:
-                if x != y:
-                    near = math.sqrt(WEIGHT * WEIGHT * _nearness(abs(x - y)))
-                    result = near if result is None else 1.0 - (1.0 - result) * (1.0 - near)
-    return 0.0 if result is None else result
+        distance = np.abs(np.subtract.outer(np.array(a), np.array(b)))
+        distance = distance[distance > 0]
+        pairs += len(distance)
+        apart *= float(np.prod(1.0 - np.sqrt(WEIGHT * WEIGHT * _nearness(distance))))
+    return 1.0 - apart if pairs else 0.0

@@ -54,15 +54,25 @@ def fold(events: DataFrame) -> DataFrame:
     """One message of each message_id from its events (seq, type, content, chunks, message).
 
     Tokens are joined in order, empty ones drop out; the last citations count; an error or the end
-    stops the stream.  ``streaming`` tells a message that neither has ended.
+    stops the stream, and what comes after it changes nothing.  ``streaming`` tells a message that
+    neither has ended.
     """
-    token = F.when((F.col("type") == "token") & (F.col("content") != ""), F.struct("seq", "content"))
-    parts = F.array_sort(F.collect_list(token))
-    return events.groupBy("message_id").agg(
-        F.array_join(F.transform(parts, lambda p: p["content"]), "").alias("content"),
-        F.coalesce(F.max_by("chunks", F.when((F.col("type") == "citations"), F.col("seq"))), F.array().cast(CHAT_EVENT["chunks"].dataType)).alias("citations"),
-        (~F.bool_or(F.col("type").isin("done", "error"))).alias("streaming"),
-        F.bool_or(F.col("type") == "error").alias("error"),
+    seq, kind = F.col("seq"), F.col("type")
+    ends = kind.isin("done", "error")
+    folded = events.groupBy("message_id").agg(
+        F.array_sort(F.collect_list(F.when((kind == "token") & (F.col("content") != ""), F.struct("seq", "content")))).alias("tokens"),
+        F.array_sort(F.collect_list(F.when(kind == "citations", F.struct("seq", "chunks")))).alias("cited"),
+        F.min(F.when(ends, seq)).alias("end"),
+        F.min_by("type", F.when(ends, seq)).alias("end_type"),
+    )
+    in_time = lambda parts: F.filter(parts, lambda p: F.col("end").isNull() | (p["seq"] < F.col("end")))
+    none = F.array().cast(CHAT_EVENT["chunks"].dataType)
+    return folded.select(
+        "message_id",
+        F.array_join(F.transform(in_time("tokens"), lambda p: p["content"]), "").alias("content"),
+        F.coalesce(F.try_element_at(in_time("cited"), F.lit(-1))["chunks"], none).alias("citations"),
+        F.col("end").isNull().alias("streaming"),
+        F.coalesce(F.col("end_type") == "error", F.lit(False)).alias("error"),
     )
 
 
