@@ -59,6 +59,47 @@ def test_full_text(spark):
     assert [(r["query_id"], r["document_id"], r["chunk_index"]) for r in sorted(best)] == [(1, "d", 0), (1, "d", 1), (1, "e", 0), (3, "d", 0)]
 
 
+def test_ranked_search_matches_a_plain_one(spark):
+    import math
+    import random
+    from itertools import combinations
+
+    rng = random.Random(1)
+    words = ["alpha", "beta", "gamma", "running", "runs", "the"]
+    texts = [" ".join(rng.choices(words, k=rng.randrange(0, 60))) for _ in range(40)]
+    chunks = spark.createDataFrame([("d", i, t, None) for i, t in enumerate(texts)] + [("e", 0, None, None)], CHUNK)
+    queries = [(1, "alpha beta"), (2, "run"), (3, "gamma gamma the beta alpha"), (4, "the"), (5, "absent alpha")]
+    stems = {"running": "run", "runs": "run"}
+
+    def plain(text, query):
+        places = {}
+        for at, w in enumerate(text.split(), 1):
+            if w != "the":
+                places.setdefault(stems.get(w, w), []).append(at)
+        wanted = list(dict.fromkeys(w for w in query.split() if w != "the"))
+        if not wanted or any(w not in places for w in wanted):
+            return None
+        if len(wanted) == 1:
+            return sum(0.1 / (j * j) for j in range(1, len(places[wanted[0]]) + 1)) / 1.64493406685
+        out = None
+        for a, b in combinations(wanted, 2):
+            for x in places[a]:
+                for y in places[b]:
+                    near = 0.1 * math.sqrt(1 / (1.005 + 0.05 * math.exp(abs(x - y) / 1.5 - 2)))
+                    out = near if out is None else 1 - (1 - out) * (1 - near)
+        return out
+
+    got = {(r["query_id"], r["chunk_index"]): (r["score"], r["rank"]) for r in S.fts_topk_english(chunks, queries, k=100).collect()}
+    want = {(q, i): s for q, query in queries for i, t in enumerate(texts) if (s := plain(t, query)) is not None}
+    assert got.keys() == want.keys() and {q for q, _ in got} == {1, 2, 3}
+    assert all(abs(got[k][0] - want[k]) < 1e-9 for k in want)
+    for q in (1, 2, 3):
+        ranks = sorted((rank, -score, i) for (k, i), (score, rank) in got.items() if k == q)
+        assert ranks == sorted(ranks, key=lambda r: (r[1], r[2])) and [r[0] for r in ranks] == list(range(1, len(ranks) + 1))
+    home = spark.createDataFrame([(1, "e", "alpha"), (2, "d", "alpha")], "query_id int, document_id string, query string")
+    assert {r["query_id"] for r in S.fts_topk_ranked(chunks, home, by_document=True).collect()} == {2}
+
+
 def test_context_and_citations(spark):
     hits = spark.createDataFrame([(1, 0, 5, "x" * 500), (1, 1, 3, "b"), (1, 2, 5, "again"), (2, 0, 0, "")], "q int, rank int, chunk_index int, content string")
     got = {r["q"]: r["context"] for r in S.context(hits, ["q"], "rank").collect()}
@@ -96,6 +137,8 @@ def test_fold(spark):
     events = spark.createDataFrame(rows, "message_id string, seq long, type string, content string, chunks array<struct<chunk_index: int, content: string>>")
     got = {r["message_id"]: (r["content"], len(r["citations"]), r["streaming"], r["error"]) for r in M.fold(events).collect()}
     assert got == {"m": ("abc", 1, False, False), "n": ("t", 0, False, True), "o": ("u", 0, True, False)}
+    late = spark.createDataFrame([*rows, ("m", 6, "token", "LATE", None), ("m", 7, "citations", None, []), ("m", 8, "error", None, None), ("n", 2, "done", None, None)], events.schema)
+    assert {r["message_id"]: (r["content"], len(r["citations"]), r["streaming"], r["error"]) for r in M.fold(late).collect()} == got
     assert M.fold(events).agg(M.any_streaming().alias("s")).first()["s"]
 
 
@@ -217,6 +260,66 @@ def test_ingest_stream(spark, tmp_path):
     assert spark.sql("select * from live where message = 'not a PDF'").count() >= 2
 
 
+def test_embedding_fails_alone_and_once_more(spark, tmp_path):
+    rows = [("1", "a.docx", docx("good words")), ("2", "b.docx", docx("poison here")), ("3", "c.pdf", b"junk"), ("4", "d.docx", docx("first", "second"))]
+    frame = lambda rows: spark.createDataFrame([(i, n, bytearray(c)) for i, n, c in rows], "id string, file_name string, content binary")
+    waited = []
+
+    class Picky(HashingEmbedder):
+        def __call__(self, texts):
+            if any("poison" in t for t in texts):
+                raise RuntimeError("model said no" + "!" * 600)
+            return [self.one(t) for t in texts]
+
+    options = {"settings": Settings(), "log_path": f"file://{tmp_path}/log", "chunk_path": f"file://{tmp_path}/chunks", "width": 8, "wait": waited.append}
+    ingest.ingest_batch(frame(rows), make_embedder=lambda: Picky(8), **options)
+    log = spark.read.schema(STATUS_LOG).parquet(options["log_path"])
+    last = {r["document_id"]: (r["status"], r["error_msg"]) for r in L.latest(log).collect()}
+    assert last == {"1": ("done", None), "2": ("failed", ("model said no" + "!" * 600)[:500]), "3": ("failed", "not a PDF"), "4": ("done", None)}
+    for i, n in (("1", 2), ("2", 4), ("3", 4)):
+        assert [r["status"] for r in log.filter(F.col("document_id") == i).orderBy("seq").collect()] == (["processing", "done"] if n == 2 else ["processing", "failed"] * 2)
+    assert waited == [10] and spark._jsc.getPersistentRDDs().isEmpty()
+    assert {r["document_id"] for r in tables.read_chunks(spark, options["chunk_path"]).collect()} == {"1", "4"}
+    # a document that has become empty loses its chunks, whatever else lies in its folder
+    ingest.ingest_batch(frame([("1", "a.docx", docx()), ("4", "d.docx", docx())]), make_embedder=lambda: HashingEmbedder(8), **options)
+    assert tables.read_chunks(spark, options["chunk_path"]).count() == 0
+
+
+def test_storing_fails_for_the_batch(spark, tmp_path, monkeypatch):
+    calls, real = [], ingest.write_chunks
+
+    def write(*args, **kwargs):
+        calls.append(1)
+        if len(calls) == 1:
+            raise OSError("disk full")
+        real(*args, **kwargs)
+
+    monkeypatch.setattr(ingest, "write_chunks", write)
+    files = spark.createDataFrame([("1", "a.docx", bytearray(docx("good words"))), ("2", "b.pdf", bytearray(b"junk"))], "id string, file_name string, content binary")
+    options = {"settings": Settings(retry_seconds=0), "log_path": f"file://{tmp_path}/log", "chunk_path": f"file://{tmp_path}/chunks", "make_embedder": lambda: HashingEmbedder(8), "width": 8}
+    ingest.ingest_batch(files, **options)
+    log = spark.read.schema(STATUS_LOG).parquet(options["log_path"])
+    assert [(r["status"], r["error_msg"]) for r in log.filter("document_id = '1'").orderBy("seq").collect()] == [("processing", None), ("failed", "disk full"), ("processing", None), ("done", None)]
+    assert {r["document_id"]: r["status"] for r in L.latest(log).collect()} == {"1": "done", "2": "failed"}
+
+
+def test_service_picks_up_and_cleans_up(spark, tmp_path, monkeypatch):
+    service = DocumentService(spark, f"file://{tmp_path}/app", lambda: HashingEmbedder(8), 8, Settings(retry_seconds=0))
+    cut_off = service.upload("a.docx", "image/png", docx("left in processing"))
+    spark.createDataFrame([(cut_off["id"], 7, "processing", None)], STATUS_LOG).write.mode("append").parquet(service.log_path)
+    service.ingest_pending()
+    assert [r["id"] for r in service.ready().collect()] == [cut_off["id"]]
+    before = set((tmp_path / "app" / "files").iterdir())
+
+    def fail(*_):
+        raise OSError("no row")
+
+    monkeypatch.setattr(service, "_add_row", fail)
+    with pytest.raises(OSError, match="no row"):
+        service.upload("b.pdf", "application/pdf", b"x")
+    assert set((tmp_path / "app" / "files").iterdir()) == before and service.documents().count() == 1
+
+
 def test_service(spark, tmp_path):
     service = DocumentService(spark, f"file://{tmp_path}/app", lambda: HashingEmbedder(8), 8, Settings(retry_seconds=0, max_upload_mb=1))
     with pytest.raises(Rejected, match="Unsupported"):
@@ -259,12 +362,13 @@ def test_client_side(spark, tmp_path):
 
 
 def test_fold_stream(spark, tmp_path):
-    rows = [("m", 1, "token", "b"), ("m", 0, "token", "a"), ("m", 2, "done", None), ("m", 3, "token", "late"), ("n", 0, "token", "x")]
-    spark.createDataFrame(rows, "message_id string, seq long, type string, content string").write.parquet(f"file://{tmp_path}/ev")
-    stream = spark.readStream.schema("message_id string, seq long, type string, content string").parquet(f"file://{tmp_path}/ev")
+    rows = [("m", 1, "token", "b", None), ("m", 0, "token", "a", None), ("m", 2, "citations", None, [(4, "é")]), ("m", 3, "done", None, None), ("m", 4, "token", "late", None), ("n", 0, "token", "x", None)]
+    schema = "message_id string, seq long, type string, content string, chunks array<struct<chunk_index: int, content: string>>"
+    spark.createDataFrame(rows, schema).write.parquet(f"file://{tmp_path}/ev")
+    stream = spark.readStream.schema(schema).parquet(f"file://{tmp_path}/ev")
     run = status.fold_stream(stream).writeStream.format("memory").queryName("folded").outputMode("update").trigger(availableNow=True).start()
     run.awaitTermination(120)
-    got = {r["message_id"]: (r["content"], r["streaming"]) for r in spark.sql("select * from folded").collect()}
-    assert got == {"m": ("ab", False), "n": ("x", True)}
+    got = {r["message_id"]: (r["content"], [tuple(c) for c in r["citations"]], r["streaming"]) for r in spark.sql("select * from folded").collect()}
+    assert got == {"m": ("ab", [(4, "é")], False), "n": ("x", [], True)}
     lines = spark.createDataFrame([('data: {"type": "done"}',), ("data: {bad",), (": x",)], "value string")
     assert status.typed_events(lines).count() == 1
