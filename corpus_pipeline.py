@@ -4,6 +4,11 @@ Each stage takes (spark, docs, sf_dir) and works on all that the one before kept
 return the columns of ``documents``.  ``run`` writes every stage's result to the shared folder and
 reads it again, so a lost executor repeats part of one stage at most.
 
+Nulls, empty and very long texts, repeated rows, empty tables and extra columns are treated as the
+operator of the stage says: quality judges null text as empty; of near copies (null, empty and
+wordless texts among them) the smallest id stays, rows without an id all stay; pseudonyms leave null
+text null; the mixture takes repeated rows alike; packing gives null text its end id.
+
 SQL can express none of these stages (trained models, XXH64 fingerprints, a Feistel network on
 personal data, a tokenizer's vocabulary), so ORACLE_SQL is None and tests hold the stages against
 brute force.
@@ -17,7 +22,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from fathomline.llm.alike import one_of_each
-from fathomline.llm.common import materialise, read_table, work_dir
+from fathomline.llm.common import delete_folder, materialise, read_table, scratch, work_dir
 from fathomline.llm.mixing import take_mixture
 from fathomline.llm.packing import pack_documents
 from fathomline.llm.pii import pseudonymise
@@ -65,9 +70,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    docs = read_table(spark, sf_dir, "documents")
-    folder = work_dir(spark, "pipeline")
+    """All stages over ``documents``; what a stage has written is deleted once the next one has its result."""
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"{folder}/{name}")
+        folder = work_dir(spark, name)
+        with scratch(spark, f"{name}-scratch"):
+            docs = materialise(stage(spark, docs, sf_dir), folder)
+        if before:
+            delete_folder(spark, before)
+        before = folder
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import os
-import re
-import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +13,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship_package
+from ..session import shared_folder, ship_package
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,30 +21,43 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Session setting: the folder below which work folders lie while a ``scratch`` is open.
+_SCOPE = "fathomline.work.scope"
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share: below spark.checkpoint.dir.
+    """A new folder that driver and executors share: below spark.checkpoint.dir, in a folder of the application.
 
-    Only where that setting is absent and all runs in one local process (tests) a local folder is
-    chosen and set; on a cluster without the setting this is an error.  ``remove_work`` deletes what
-    an application's operators have written.
+    On a cluster without that setting this is an error; in one local process (tests) a local folder is
+    chosen.  ``scratch`` and ``remove_work`` delete what operators have written.
     """
     ship_package(spark)
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("fathomline.work.dir", None)
-    if not root:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="fathomline-")
-        spark.sparkContext.setCheckpointDir(root)
-        spark.conf.set("fathomline.work.dir", root)
-    if "://" not in root and not root.startswith("file:"):
-        root = "file://" + os.path.abspath(root)
-    return f"{root.rstrip('/')}/fathomline/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    return f"{spark.conf.get(_SCOPE, None) or shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession, name: str) -> Iterator[None]:
+    """Work folders that are made inside are deleted at the end; what must stay has to be written elsewhere by then."""
+    folder, before = work_dir(spark, name), spark.conf.get(_SCOPE, None)
+    spark.conf.set(_SCOPE, folder)
+    try:
+        yield
+    finally:
+        if before:
+            spark.conf.set(_SCOPE, before)
+        else:
+            spark.conf.unset(_SCOPE)
+        delete_folder(spark, folder)
 
 
 def remove_work(spark: SparkSession) -> None:
     """Delete this application's work folders; results that weren't stored elsewhere can't be read any more."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(work_dir(spark, "none").rpartition("/")[0])
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    delete_folder(spark, shared_folder(spark))
 
 
 def free_name(base: str, *taken: str) -> str:
@@ -97,7 +108,7 @@ def slices(batches: Iterator[pa.RecordBatch], max_rows: int = 512) -> Iterator[p
             yield batch.slice(at, max_rows)
 
 
-def portions(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 << 20, max_rows: int = 4096) -> Iterator[pa.RecordBatch]:
+def portions(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 2 << 20, max_rows: int = 2048) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that a text column has about ``max_bytes`` in each (a longer text is alone)."""
     for batch in batches:
         ends = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False))

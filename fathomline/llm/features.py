@@ -26,7 +26,7 @@ def _slot(name: str, bits: int) -> int:
 class WordSlots(dict):
     """Word to its two feature slots, the lower-cased word and its shape; bounded, starts anew when full."""
 
-    def __init__(self, limit: int = 200_000):
+    def __init__(self, limit: int = 100_000):
         super().__init__()
         self.limit = limit
 
@@ -40,7 +40,7 @@ class WordSlots(dict):
         return slots
 
 
-@lru_cache(maxsize=100_000)
+@lru_cache(maxsize=20_000)
 def _shape_slot(kinds: str) -> int:
     """The slot of a word's shape: its kinds of characters, runs taken together."""
     return _slot("s" + "".join(c for i, c in enumerate(kinds) if i == 0 or c != kinds[i - 1]), TEXT_BITS)

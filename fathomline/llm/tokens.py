@@ -74,7 +74,7 @@ class PieceEncoder:
     ``limit`` bounds the tables of pieces and of words (about 200 bytes an entry; each has an older table of that size).
     """
 
-    def __init__(self, path: str, limit: int = 300_000, *, added: bool = False):
+    def __init__(self, path: str, limit: int = 150_000, *, added: bool = False):
         self.tokenizer = Tokenizer.from_file(path)
         tokens = {t.content: (i, t) for i, t in self.tokenizer.get_added_tokens_decoder().items()} if added else {}
         if any(t.normalized or t.lstrip or t.rstrip or t.single_word for _, t in tokens.values()):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline as C
 from fathomline.llm.common import materialise, work_dir
 from fathomline.llm.queries import ORACLES, QUERIES
+from fathomline.session import shared_folder
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -69,13 +70,43 @@ def test_stages_take_effect(spark, corpus):
 
 
 def test_run_and_registration(spark, corpus):
+    import os
+
+    def folders():
+        root = shared_folder(spark).removeprefix("file://")
+        return {f for f in os.listdir(root) if re.match("quality|near_dup|personal|mixture", f)} if os.path.isdir(root) else set()
+
+    before = folders()
     rows = C.run(spark, corpus[0])
+    assert [f.split("-")[0] for f in folders() - before] == ["mixture"]
     assert rows.count() > 500 and C.ORACLE_SQL is None
     assert [n for n, _ in C.STAGES] == ["quality", "near_duplicates", "personal_data", "mixture", "packing"]
     assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in QUERIES) == list(range(1, 11))
     assert set(ORACLES) <= set(QUERIES)
 
 
+def test_clashing_names_and_odd_rows(spark, corpus, tmp_path):
+    """Stages keep extra columns whatever their names, and take nulls, repeated rows and long texts."""
+    names = ["label", "dropped id", "fathomline pii hits", "pii hits", "copy", "row", "goes", "domain", "rate", "copies", "p", "node", "fp"]
+    rows = [(1, "one good text " * 40, "en", "s", 1), (1, "one good text " * 40, "en", "s", 1), (None, None, None, None, None), (3, "word " * 40_000, "en", "s", 1), (4, "", "en", "s", 0), (5, "call 415-555-0199 now please my friend", "en", "s", 1)]
+    docs = spark.createDataFrame([(*r, *["own"] * len(names)) for r in rows], DOCS + ", " + ", ".join(f"`{n}` string" for n in names))
+    for name, stage in C.STAGES[:-1]:
+        got = stage(spark, docs, corpus[0])
+        assert got.columns == docs.columns, name
+        assert all(set(r[5:]) == {"own"} for r in got.collect()), name
+    assert C.STAGES[-1][1](spark, docs, corpus[0]).count() >= 6
+
+
+def test_work_needs_a_shared_folder_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace
+
+    from fathomline.session import shared_folder as shared
+
+    fake = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared(fake)
+
+
 def test_empty_corpus(spark, corpus, tmp_path):
     spark.createDataFrame([], DOCS).write.parquet(f"file://{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"file://{tmp_path}/labels.parquet")
