@@ -148,8 +148,11 @@ class Model:
         return softmax(self.logits(rows)) if rows else np.zeros((0, self.weights.shape[1]))
 
 
-def train(rows: list[np.ndarray], target: np.ndarray, size: int, *, keep: int = 3000, ridge: float = 1e-3, steps: int = 150, rate: float = 0.2) -> Model:
-    """Softmax regression on target probabilities (rows, classes), by Adam on the whole set; the constant isn't shrunk."""
+def train(rows: list[np.ndarray], target: np.ndarray, size: int, *, keep: int = 3000, ridge: float = 1e-3, steps: int = 150, rate: float = 0.2, offset: np.ndarray | None = None) -> Model:
+    """Softmax regression on target probabilities (rows, classes), by Adam on the whole set; the constant isn't shrunk.
+
+    ``offset`` (rows, classes) is added to the logits: what is known already, which the weights then correct.
+    """
     classes = target.shape[1]
     slots = telling_slots(rows, target, size, keep)
     at = np.searchsorted(slots, np.concatenate(rows))
@@ -162,6 +165,8 @@ def train(rows: list[np.ndarray], target: np.ndarray, size: int, *, keep: int =
     shrink[-1] = 0
     for step in range(1, steps + 1):
         z = np.stack([np.bincount(owner, c[at], n) for c in w.T], axis=1)
+        if offset is not None:
+            z += offset
         error = (softmax(z) - target) / n
         grad = np.stack([np.bincount(at, e[owner], len(slots)) for e in error.T], axis=1) + shrink * w
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad

@@ -1,11 +1,11 @@
 """Quality by co-training: a text-content view and a page-metadata view teach each other.
 
-A view is two linear classifiers over the same slots: a softmax regression fitted on labelled rows, and
-log-ratios of how often a slot occurs in good and in bad documents.  In each round both views judge
-every unlabelled document, in the tasks that hold it, and those of which one is sure (and the other
-isn't as sure of the contrary) are counted, slot by slot, for the *other* view under the label it
-gives.  Both parts of a view, and at the end both views, are weighed and calibrated on labelled rows
-that neither part was fitted on.
+In each round both views judge every unlabelled document, in the tasks that hold it, and those of which one
+is sure (and the other isn't as sure of the contrary) are counted, slot by slot, for the *other* view under
+the label it gives.  From these counts a view gets log-ratios of how often a slot occurs in good and in
+bad documents; then its softmax regression is fitted anew on the labelled rows, as a correction of what
+the ratios say.  Views, and at the end both together, are calibrated on labelled rows that no regression
+was fitted on.
 
 The regression is fitted on the driver on at most ``labelled`` rows, chosen by the hash of doc_id.
 What the unlabelled documents teach comes from all of them: only counts for each slot (2^18 at most) leave the
@@ -15,7 +15,7 @@ tasks, however many documents there are.  Every document is scored without a shu
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -37,20 +37,36 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 def _calibrate(z: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Platt's calibration of one or more columns of log-odds: sigmoid(z w + b), with his softened targets, by Newton steps.
+    """Platt's calibration of one or more columns: sigmoid(z w + b), with his softened targets, by Newton steps that never raise the loss.
 
-    Weights are drawn to 1 over the number of columns, so that few rows change little.
+    Columns are taken in units of their spread, and weights there drawn to 1 over the number of columns,
+    so that few rows change little.  A column whose weight would be negative gets none.
     """
     target = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
-    x = np.column_stack([z, np.ones(len(z))])
-    start = np.append(np.full(x.shape[1] - 1, 1 / (x.shape[1] - 1)), 0.0)
-    w = start.copy()
-    for _ in range(50):
-        p = _sigmoid(x @ w)
-        h = (x * (p * (1 - p) + 1e-9)[:, None]).T @ x + 0.1 * np.eye(len(w))
-        step = np.linalg.solve(h, x.T @ (p - target) + 0.1 * (w - start))
-        w -= np.clip(step, -2, 2)
-    return np.append(np.maximum(w[:-1], 0.0), w[-1])
+    spread = z.std(axis=0)
+    spread[spread < 1e-9] = 1.0
+    out, used = np.zeros(z.shape[1] + 1), np.ones(z.shape[1], bool)
+    while used.any():
+        x = np.column_stack([(z / spread)[:, used], np.ones(len(z))])
+        start = np.append(np.full(used.sum(), 1 / z.shape[1]), 0.0)
+        loss = lambda w, x=x, start=start: (np.logaddexp(0, x @ w) - target * (x @ w)).sum() + 0.05 * ((w - start) ** 2).sum()
+        w = start.copy()
+        for _ in range(100):
+            p = _sigmoid(x @ w)
+            slope = x.T @ (p - target) + 0.1 * (w - start)
+            step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(len(w)), slope)
+            size, now = 1.0, loss(w)
+            while size > 1e-9 and loss(w - size * step) > now - 1e-4 * size * (slope @ step):
+                size /= 2
+            w = w - size * step
+            if np.abs(size * step).max() < 1e-9:
+                break
+        if (w[:-1] >= 0).all():
+            out[:-1][used], out[-1] = w[:-1] / spread[used], w[-1]
+            return out
+        used[np.flatnonzero(used)[w[:-1] < 0]] = False
+    out[-1] = np.log(target.mean() / (1 - target.mean()))
+    return out
 
 
 @dataclass
@@ -93,17 +109,21 @@ def log_ratios(seen: np.ndarray, documents: np.ndarray) -> np.ndarray:
 
 @dataclass
 class View:
-    """Both parts' weights of one view, and their calibration: a weight each and a constant."""
+    """One view: log-ratios taught by the other (a weight for their scaled sum, and a constant), the regression that corrects them, and its calibration."""
 
-    regression: np.ndarray
     ratios: np.ndarray
-    line: np.ndarray = field(default_factory=lambda: np.array([0.5, 0.5, 0.0]))
+    mix: np.ndarray
+    regression: np.ndarray
+    line: np.ndarray
 
-    def parts(self, rows: Rows) -> np.ndarray:
-        return np.column_stack([rows.sums(self.regression), rows.sums(self.ratios) / np.sqrt(rows.sizes())])
+    def taught(self, rows: Rows) -> np.ndarray:
+        return rows.sums(self.ratios) / np.sqrt(rows.sizes()) * self.mix[0] + self.mix[1]
+
+    def raw(self, rows: Rows) -> np.ndarray:
+        return self.taught(rows) + rows.sums(self.regression)
 
     def odds(self, rows: Rows) -> np.ndarray:
-        return self.parts(rows) @ self.line[:-1] + self.line[-1]
+        return self.raw(rows) * self.line[0] + self.line[1]
 
 
 @dataclass
@@ -142,7 +162,7 @@ def count_sure(model: QualityModel, rows: tuple[Rows, Rows], sure: float) -> Cou
     return [(np.stack([rows[v].counts(picked[1 - v][label], SIZES[v]) for label in (0, 1)]), np.array([picked[1 - v][label].sum() for label in (0, 1)])) for v in (0, 1)]
 
 
-def co_train(rows: tuple[list[np.ndarray], list[np.ndarray]], labels: np.ndarray, teach, *, rounds: int = 3) -> QualityModel:
+def co_train(rows: tuple[list[np.ndarray], list[np.ndarray]], labels: np.ndarray, teach, *, rounds: int = 2) -> QualityModel:
     """Fit from slots of labelled rows (text, metadata) and from ``teach(model)``, the counts over all unlabelled documents.
 
     Every fifth labelled row is kept for calibration.  Rounds end early when nothing new is taught.
@@ -153,22 +173,22 @@ def co_train(rows: tuple[list[np.ndarray], list[np.ndarray]], labels: np.ndarray
     if min((labels[~held] == 1).sum(), (labels[~held] == 0).sum()) < 2:
         return QualityModel(1.0 if not len(labels) or good else 0.0)
     fitted, truth = labels[~held], labels[held].astype(float)
-    views, own, apart = [], [], []
-    for view, size in enumerate(SIZES):
-        mine = [r for r, out in zip(rows[view], held, strict=True) if not out]
-        model = train(mine, one_hot(fitted, 2), size)
-        weights = np.zeros(size)
-        weights[model.slots] = model.weights[:, 1] - model.weights[:, 0]
-        flat = Rows.of(mine)
-        own.append((np.stack([flat.counts(fitted == label, size) for label in (0, 1)]), np.bincount(fitted, minlength=2)))
-        apart.append(Rows.of([r for r, out in zip(rows[view], held, strict=True) if out]))
-        views.append(View(weights, np.zeros(size)))
+    mine = [[r for r, out in zip(own, held, strict=True) if not out] for own in rows]
+    flat = [Rows.of(own) for own in mine]
+    apart = [Rows.of([r for r, out in zip(own, held, strict=True) if out]) for own in rows]
 
     def refit(taught: Counts | None) -> QualityModel:
-        for k, view in enumerate(views):
-            seen, documents = own[k] if taught is None else tuple(a + b for a, b in zip(own[k], taught[k], strict=True))
-            view.ratios = log_ratios(seen, documents)
-            view.line = _calibrate(view.parts(apart[k]), truth)
+        views = []
+        for k, size in enumerate(SIZES):
+            view = View(np.zeros(size), np.zeros(2), np.zeros(size), np.array([1.0, 0.0]))
+            if taught is not None:
+                view.ratios = log_ratios(*taught[k])
+                view.mix = _calibrate((apart[k].sums(view.ratios) / np.sqrt(apart[k].sizes()))[:, None], truth)
+            known = view.taught(flat[k])[:, None] * np.array([-0.5, 0.5])
+            model = train(mine[k], one_hot(fitted, 2), size, offset=known)
+            view.regression[model.slots] = model.weights[:, 1] - model.weights[:, 0]
+            view.line = _calibrate(view.raw(apart[k])[:, None], truth)
+            views.append(view)
         odds = [view.odds(r) for view, r in zip(views, apart, strict=True)]
         return QualityModel(prior, tuple(views), _calibrate(np.column_stack(odds), truth))
 
@@ -195,7 +215,7 @@ def feature_table(docs: DataFrame, labels: DataFrame, *, label: str, labelled: i
     ``label`` is the rounded mean of a document's labels, for at most ``labelled`` documents, chosen by
     hash over all labelled ids; others have null and count as unlabelled.  Null ids and labels teach nothing.
     """
-    meta = [c for c in META_COLUMNS if c in docs.columns]
+    folder, meta = work_dir(docs.sparkSession, "quality"), [c for c in META_COLUMNS if c in docs.columns]
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -208,7 +228,7 @@ def feature_table(docs: DataFrame, labels: DataFrame, *, label: str, labelled: i
     # at most ``labelled`` pairs of numbers are broadcast
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *meta).join(F.broadcast(chosen), "doc_id", "left")
     rows = rows.select("doc_id", "label", "text", *meta).mapInArrow(features, "doc_id long, label int, text_slots array<int>, meta_slots array<int>")
-    return materialise(rows, work_dir(docs.sparkSession, "quality"))
+    return materialise(rows, folder)
 
 
 def taught_by(table: DataFrame, model: QualityModel, sure: float) -> Counts:
@@ -239,7 +259,7 @@ def taught_by(table: DataFrame, model: QualityModel, sure: float) -> Counts:
     return out
 
 
-def _fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", labelled: int = 10_000, rounds: int = 3, sure: float = 0.98, id_col: str = "doc_id", text_col: str = "text") -> tuple[QualityModel, DataFrame]:
+def _fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", labelled: int = 10_000, rounds: int = 2, sure: float = 0.98, id_col: str = "doc_id", text_col: str = "text") -> tuple[QualityModel, DataFrame]:
     table = feature_table(docs, labels, label=label, labelled=labelled, id_col=id_col, text_col=text_col)
     # of rows that share an id one is a sample, so that the bound holds
     sample = table.filter("label is not null").groupBy("doc_id").agg(F.min(F.struct("label", "text_slots", "meta_slots")).alias("row")).select("doc_id", "row.*").toArrow()

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship_package
 from .common import slices, text_of
 
 #: The base patterns and their least lengths.
@@ -227,6 +228,8 @@ def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     other columns are ignored, whatever their names.  No shuffle.
     """
 
+    ship_package(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             spans = [[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in find(t)] for t in batch.column(1).to_pylist()]

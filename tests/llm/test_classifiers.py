@@ -54,24 +54,24 @@ def test_quality_on_unlabelled_documents(frames):
 
 def plain_counts(model, rows, labels, sure):
     """What the views teach each other, document by document."""
-    taught = [({}, [0, 0]), ({}, [0, 0])]
+    told = [({}, [0, 0]), ({}, [0, 0])]
     for i in range(len(labels)):
         if labels[i] >= 0:
             continue
         odds = []
         for view, own in zip(model.views, (rows[0][i], rows[1][i]), strict=True):
-            parts = sum(float(view.regression[s]) for s in own), sum(float(view.ratios[s]) for s in own) / len(own) ** 0.5
-            odds.append(parts[0] * view.line[0] + parts[1] * view.line[1] + view.line[2])
+            taught = sum(float(view.ratios[s]) for s in own) / len(own) ** 0.5 * view.mix[0] + view.mix[1]
+            odds.append((taught + sum(float(view.regression[s]) for s in own)) * view.line[0] + view.line[1])
         good = [1 / (1 + math.exp(-z)) for z in odds]
         for v in (0, 1):
             for label in (0, 1):
                 own, other = (g if label else 1 - g for g in (good[v], good[1 - v]))
                 if own >= sure and other >= 1 - sure:
-                    seen, documents = taught[1 - v]
+                    seen, documents = told[1 - v]
                     documents[label] += 1
                     for s in rows[1 - v][i]:
                         seen.setdefault(int(s), [0, 0])[label] += 1
-    return taught
+    return told
 
 
 def as_arrays(taught):
