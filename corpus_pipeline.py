@@ -27,7 +27,7 @@ from fathomline.llm.mixing import take_mixture
 from fathomline.llm.packing import pack_documents
 from fathomline.llm.pii import pseudonymise
 from fathomline.llm.quality import fit_quality, keep_good
-from fathomline.llm.queries import PSEUDONYM_KEY
+from fathomline.llm.queries import pseudonym_key
 
 #: Shares of the mixture; clean documents are used whole, and junk has gone before.
 MIXTURE = {"clean": 0.97, "toxic": 0.03}
@@ -45,7 +45,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace personal data by pseudonyms of the same format."""
-    return pseudonymise(docs, PSEUDONYM_KEY)
+    return pseudonymise(docs, pseudonym_key(spark))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

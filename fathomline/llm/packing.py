@@ -128,7 +128,7 @@ def pack(pieces: DataFrame, *, window: int = 2048, group_items: int = 20_000) ->
 def pack_documents(docs: DataFrame, tokenizer_path: str, *, window: int = 2048, end_id: int = 1, group_items: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pack all documents; one row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    Null and empty texts are the end id alone; a null doc_id is an id like another; repeated rows are
+    Null and empty texts are the end id alone; texts of any length are packed whole; a null doc_id is an id like another; repeated rows are
     documents of their own; an empty table gives no rows; other columns are ignored, whatever their
     names.  A sequence is ``window`` ids at most, filled from offset 0 without gaps; the rest of it
     is padding.  Pieces are written once to the shared folder, so that counting and packing don't

@@ -20,13 +20,17 @@ from .token_files import encode_to_files
 from .warc import archive_pages
 from .weighted_minhash import fingerprint_edits
 
-#: The key of the queries' pseudonyms; a deployment passes its own.
-PSEUDONYM_KEY = "fathomline public example key"
+#: The setting that holds the key of the queries' pseudonyms, and the key of tests, where it isn't set.
+KEY_SETTING, TEST_KEY = "fathomline.pseudonym.key", "fathomline public example key"
 
 #: Shares of the mixture by domain of the labelled table.
 MIXTURE = {"clean": 0.9, "toxic": 0.02, "junk": 0.08}
 
 
+def pseudonym_key(spark: SparkSession) -> str:
+    return spark.conf.get(KEY_SETTING, None) or TEST_KEY
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -60,7 +64,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymise(read_table(spark, sf_dir, "documents"), PSEUDONYM_KEY, count_col="n_pii")
+    return pseudonymise(read_table(spark, sf_dir, "documents"), pseudonym_key(spark), count_col="n_pii")
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

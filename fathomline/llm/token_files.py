@@ -206,5 +206,10 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def encode_to_files(docs: DataFrame, tokenizer_path: str, *, end_id: int = 1) -> DataFrame:
-    """Write the token files of ``docs`` into the shared folder, then read them back."""
+    """Write the token files of ``docs`` into the shared folder, then read them back, boundaries through select.
+
+    A row a document: doc_id, start, n_tokens, ids_crc32.  Null and empty texts are the end id alone; texts
+    of any length are encoded whole; null doc_ids come first, and rows that share an id are documents
+    of their own, by text; an empty table gives no rows; other columns are ignored, whatever their names.
+    """
     return read_token_files(write_token_files(docs, tokenizer_path, work_dir(docs.sparkSession, "tokens"), end_id=end_id))

@@ -20,6 +20,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship_package
 from .common import fan_out, slices, text_of
 
 SLOTS, WORDS = 64, 5
@@ -127,7 +128,11 @@ def likeness(a: np.ndarray, b: np.ndarray, a_empty: bool = False, b_empty: bool
 
 
 def fingerprint_documents(docs: DataFrame, *, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and fingerprint (64 slots of four hex digits) of every document; no shuffle."""
+    """doc_id and fingerprint (64 slots of four hex digits) of every document; no shuffle.
+
+    Odd rows are treated as in ``fingerprint_edits``.
+    """
+    ship_package(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -174,9 +179,10 @@ def fingerprint_edits(docs: DataFrame, *, words: int = WORDS, shards: int | None
     The next document is the one with the next smaller doc_id; after the smallest comes the
     largest.  Null texts are empty.  A null doc_id counts as smaller than all; equal doc_ids stand
     in order of their texts, so repeated rows have one another as next.  A single document is its
-    own next.  Texts without words have a fingerprint of zeros, alike to each other only.  An empty
-    table gives no rows; other columns are ignored.
+    own next.  Texts without words have a fingerprint of zeros, alike to each other only; texts of any
+    length count whole.  An empty table gives no rows; other columns are ignored, whatever their names.
     """
+    ship_package(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib

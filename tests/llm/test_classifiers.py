@@ -193,8 +193,9 @@ def test_rates_depend_on_chances_alone(spark):
 def test_mixture_of_odd_tables(spark, frames):
     docs = spark.createDataFrame([(1, None, "a"), (2, "", "b"), (None, "some words", "c"), (3, "more words here", "d"), (3, "more words here", "d")], "doc_id long, text string, rate string")
     none = spark.createDataFrame([], LABELS)
+    docs = docs.unionAll(spark.createDataFrame([(9, "very long " * 100_000, "e")], docs.schema))
     got = X.mix(docs, none, weights={"clean": 1.0}).collect()
-    assert len(got) == 5 and all(r["p_clean"] == 1 for r in got)
+    assert len(got) == 6 and all(r["p_clean"] == 1 for r in got) and max(r["n_tokens"] for r in got) == 200_000
     thirds = X.mix(docs, none, weights={"clean": 1.0, "toxic": 1.0, "junk": 1.0}).collect()
     assert all(abs(r["p_junk"] - 1 / 3) < 1e-12 for r in thirds)
     assert X.mix(docs.limit(0), none, weights={"clean": 1.0}).count() == 0
