@@ -21,18 +21,20 @@ from pyspark.sql import functions as F
 
 from .common import materialise, quoted, slices, text_of, work_dir
 from .components import components
-from .simhash import links, shingle_hashes, simhash
+from .simhash import CHECKED, links, shingle_hashes, simhash
 
 WORDS, LIKENESS = 5, 0.8
 #: Three blocks meet all pairs within 4 bits, six tenths of those at 5 and fewer beyond; what meets counts up to RADIUS.
 BLOCKS, RADIUS = 3, 8
-#: Sets at 0.8 differ in 9.7 +- 2.9 bits of their fingerprints, unrelated ones in 32 +- 4.
-CHECK_RADIUS = 17
+#: Sets at 0.8 differ in 19.4 +- 4.1 of the 128 bits of their fingerprints, unrelated ones in 64 +- 5.7.
+CHECK_RADIUS = 31
 #: Shingles of a loose group that one task holds; larger groups are cut into blocks of half of it.
 GROUP_SHINGLES = 4_000_000
 
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 _MARKS = re.compile(r"[^\w\s]+")
 
+
 def shingle_set(text: str) -> np.ndarray:
     """The distinct shingle hashes of a text, ascending."""
     return np.unique(shingle_hashes(text, WORDS))
@@ -43,6 +45,12 @@ def node_of(shingles: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes(), 5)).astype(np.int64))
 
 
+def mixed(hashes: np.ndarray) -> np.ndarray:
+    """Other hashes of the same shingles."""
+    again = hashes * _ODD
+    return (again ^ again >> np.uint64(29)) * _ODD
+
+
 def word_print(text: str) -> int:
     """The fingerprint of single words without marks and case; of the raw words where only marks are left."""
     hashes = shingle_hashes(_MARKS.sub("", text).lower(), 1)
@@ -50,7 +58,7 @@ def word_print(text: str) -> int:
 
 
 def prints(docs: DataFrame) -> DataFrame:
-    """Of (doc_id, copy, text): doc_id, copy, node, and the fingerprints of words (fp) and shingles (check), null for texts without words."""
+    """Of (doc_id, copy, text): doc_id, copy, node, and the fingerprints of words (fp) and shingles (check, check2), null for texts without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -58,9 +66,9 @@ def prints(docs: DataFrame) -> DataFrame:
             sets = [shingle_set(t) for t in texts]
             none = pa.array([not len(s) for s in sets])
             signed = lambda values: pa.array(np.array(values, np.uint64).view(np.int64), mask=none.to_numpy(zero_copy_only=False))  # noqa: E731, B023
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("copy"), pa.array(map(node_of, sets), pa.int64()), signed(list(map(word_print, texts))), signed(list(map(simhash, sets)))], ["doc_id", "copy", "node", "fp", "check"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("copy"), pa.array(map(node_of, sets), pa.int64()), *(signed(v) for v in (list(map(word_print, texts)), list(map(simhash, sets)), [simhash(mixed(s)) for s in sets]))], ["doc_id", "copy", "node", *CHECKED])
 
-    return docs.mapInArrow(run, "doc_id long, copy long, node long, fp long, check long")
+    return docs.mapInArrow(run, "doc_id long, copy long, node long, fp long, check long, check2 long")
 
 
 def forest(n: int, near) -> tuple[list[int], list[int]]:
@@ -83,8 +91,8 @@ def forest(n: int, near) -> tuple[list[int], list[int]]:
 
 
 def loose_links(nodes: DataFrame, folder: str) -> DataFrame:
-    """From (node, fp, check): (a, b), nodes with equal fingerprints or with near ones, or chains of that."""
-    pair = ["fp", "check"]
+    """From (node, fp, check, check2): (a, b), nodes with equal fingerprints or with near ones, or chains of that."""
+    pair = list(CHECKED)
     owners = materialise(nodes.groupBy(*pair).agg(F.min("node").alias("owner"), F.count(F.lit(1)).alias("n")), f"{folder}/owners")
     near = materialise(links(owners, blocks=BLOCKS, radius=RADIUS, check_radius=CHECK_RADIUS), f"{folder}/near")
     shared = nodes.join(owners.filter("n > 1"), pair).select(F.col("node").alias("a"), F.col("owner").alias("b"))
@@ -154,9 +162,9 @@ def groups(docs: DataFrame, *, likeness: float = LIKENESS, group_shingles: int |
     """
     folder = work_dir(docs.sparkSession, "alike")
     rows = materialise(prints(docs), f"{folder}/prints")
-    nodes = rows.groupBy("node").agg(F.min(F.struct("doc_id", "copy")).alias("first"), F.min("fp").alias("fp"), F.min("check").alias("check"))
+    nodes = rows.groupBy("node").agg(F.min(F.struct("doc_id", "copy")).alias("first"), *[F.min(c).alias(c) for c in CHECKED])
     nodes = materialise(nodes, f"{folder}/nodes")
-    loose = components(loose_links(nodes.filter("fp is not null").select("node", "fp", "check"), folder), name="alike-loose")
+    loose = components(loose_links(nodes.filter("fp is not null").select("node", *CHECKED), folder), name="alike-loose")
     loose = materialise(nodes.select("node", "first.*").join(loose, "node"), f"{folder}/loose")
     members = docs.join(loose, ["doc_id", "copy"])
     roots = components(verified(members, likeness=likeness, group_shingles=group_shingles), name="alike")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -101,11 +102,19 @@ def text_of(column: str | Column = "text") -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
 
+def give_back() -> None:
+    """Return what a finished task has freed to the system: workers live on, and allocators keep their peak."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], max_rows: int = 512) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches into smaller ones, so that Python objects of few rows live at a time."""
     for batch in batches:
         for at in range(0, batch.num_rows, max_rows):
             yield batch.slice(at, max_rows)
+    give_back()
 
 
 def portions(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 2 << 20, max_rows: int = 2048) -> Iterator[pa.RecordBatch]:
@@ -118,6 +127,7 @@ def portions(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 2
             n = min(max_rows, max(1, int(np.searchsorted(ends, before + max_bytes, "right")) - at))
             yield batch.slice(at, n)
             at += n
+    give_back()
 
 
 def fan_out(spark: SparkSession) -> int:

@@ -129,15 +129,19 @@ def _spread(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
+#: A fingerprint and the two halves of its check.
+CHECKED = ("fp", "check", "check2")
+
+
 class Near:
     """When two fingerprints link: in ``radius`` bits, and their checks, if there are any, in ``check_radius``."""
 
-    def __init__(self, radius: int = RADIUS, check_radius: int = 64):
+    def __init__(self, radius: int = RADIUS, check_radius: int = 128):
         self.radius, self.check_radius = radius, check_radius
 
     def __call__(self, p: np.ndarray, q: np.ndarray, c: np.ndarray | None, d: np.ndarray | None) -> np.ndarray:
         near = np.bitwise_count(p ^ q) <= self.radius
-        return near if c is None else near & (np.bitwise_count(c ^ d) <= self.check_radius)
+        return near if c is None else near & (np.bitwise_count(c ^ d).sum(axis=-1, dtype=np.int64) <= self.check_radius)
 
 
 def local_roots(prints: np.ndarray, checks: np.ndarray | None, near: Near) -> np.ndarray:
@@ -182,11 +186,11 @@ def local_roots(prints: np.ndarray, checks: np.ndarray | None, near: Near) -> np
 
 
 def _nodes(prints: np.ndarray, checks: np.ndarray | None) -> np.ndarray:
-    """Fingerprints with their checks as values that compare and sort."""
+    """Fingerprints with their checks (two columns) as values that compare and sort."""
     if checks is None:
         return prints
-    out = np.empty(len(prints), [("fp", "<u8"), ("check", "<u8")])
-    out["fp"], out["check"] = prints, checks
+    out = np.empty(len(prints), [(c, "<u8") for c in CHECKED])
+    out["fp"], out["check"], out["check2"] = prints, checks[:, 0], checks[:, 1]
     return out
 
 
@@ -207,7 +211,7 @@ def bucket_links(keys: np.ndarray, prints: np.ndarray, checks: np.ndarray | None
     if not len(keys):
         return nodes, nodes
     every, at = np.unique(nodes, return_inverse=True)
-    split = lambda x: (x, None) if checks is None else (x["fp"], x["check"])
+    split = lambda x: (x, None) if checks is None else (x["fp"], np.stack([x["check"], x["check2"]], axis=1))
     p, c = split(nodes)
     ends = []
     starts, sizes = _groups(keys)
@@ -229,16 +233,16 @@ def bucket_links(keys: np.ndarray, prints: np.ndarray, checks: np.ndarray | None
     return every[child], every[label[child]]
 
 
-def links(prints: DataFrame, *, blocks: int = 4, radius: int = RADIUS, check_radius: int = 64) -> DataFrame:
-    """From distinct rows (fp) or (fp, check): (a, b), which link exactly what lies within the radius, or in chains of it.
+def links(prints: DataFrame, *, blocks: int = 4, radius: int = RADIUS, check_radius: int = 128) -> DataFrame:
+    """From distinct rows (fp) or (fp, check, check2): (a, b), which link exactly what lies within the radius, or in chains of it.
 
-    Ends are fingerprints, or structs of fingerprint and check; checks must lie within their own radius.
+    Ends are fingerprints, or structs of a fingerprint and its 128 bits of check, which must lie within their own radius.
     Four blocks are exact for a radius of 3, three for one of 4; fewer blocks emit less and meet more
     often by chance.  Beyond the exact radius some links are missed, never added.
     """
     checked, near = "check" in prints.columns, Near(radius, check_radius)
-    columns = ["fp", "check"] if checked else ["fp"]
-    sent = ["key", "trace", "check"] if checked else ["key", "trace"]
+    columns = list(CHECKED) if checked else ["fp"]
+    sent = ["key", "trace", *CHECKED[1:]] if checked else ["key", "trace"]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 4096):
@@ -255,7 +259,7 @@ def links(prints: DataFrame, *, blocks: int = 4, radius: int = RADIUS, check_rad
             starts, sizes = _groups(rows[0])
             some = np.repeat(sizes > 1, sizes)
             keys, trace, *check = (x[some] for x in rows)
-            return _links(*bucket_links(keys, restored(keys, trace, blocks), check[0] if checked else None, near))
+            return _links(*bucket_links(keys, restored(keys, trace, blocks), np.stack(check, axis=1) if checked else None, near))
 
         for batch in batches:
             if not batch.num_rows:
@@ -273,13 +277,13 @@ def links(prints: DataFrame, *, blocks: int = 4, radius: int = RADIUS, check_rad
     # few distinct fingerprints become many variants: deal them out first
     n = fan_out(prints.sparkSession)
     emitted = prints.select(*columns).repartition(n).mapInArrow(emit, ", ".join(f"{c} long" for c in sent))
-    end = "struct<fp: long, check: long>" if checked else "long"
+    end = "struct<fp: long, check: long, check2: long>" if checked else "long"
     return emitted.repartition(n, "key").sortWithinPartitions("key").mapInArrow(meet, f"a {end}, b {end}").distinct()
 
 
 def _links(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     signed = lambda x: pa.array(np.ascontiguousarray(x).view(np.int64))
-    ends = [signed(x) if x.dtype.names is None else pa.StructArray.from_arrays([signed(x["fp"]), signed(x["check"])], ["fp", "check"]) for x in (a, b)]
+    ends = [signed(x) if x.dtype.names is None else pa.StructArray.from_arrays([signed(x[c]) for c in CHECKED], list(CHECKED)) for x in (a, b)]
     return pa.RecordBatch.from_arrays(ends, ["a", "b"])
 
 
