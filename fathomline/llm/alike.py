@@ -15,11 +15,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import xxhash
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, quoted, slices, text_of, work_dir
+from .common import fan_out, file_system, materialise, quoted, slices, text_of, work_dir
 from .components import components
 from .simhash import CHECKED, links, shingle_hashes, simhash
 
@@ -146,13 +148,32 @@ def verified(members: DataFrame, *, likeness: float, group_shingles: int | None
     sets = materialise(members.select("text", "node", "root").mapInArrow(read, "root long, node long, shingles binary"), f"{folder}/sets")
     blocks = F.ceil(F.sum(F.length("shingles")) / F.lit(4 * group_shingles)).cast("int").alias("blocks")
     large = sets.groupBy("root").agg(F.sum(F.length("shingles")).alias("bytes"), blocks).filter(F.col("bytes") > 8 * group_shingles).drop("bytes")
-    sets = sets.join(materialise(large, f"{folder}/large"), "root", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    own = F.expr("cast(pmod(xxhash64(node), blocks) as int)")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    # blocks meet in pairs; one block alone is the pair with itself, which every pair with it covers
-    dealt = sets.select("root", "node", "shingles", "blocks", own.alias("own"), other).filter("own <> other or blocks = 1")
-    dealt = dealt.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "shingles")
-    return dealt.groupBy("root", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+    large = materialise(large, f"{folder}/large")
+    schema = "a long, b long"
+    found = sets.join(large, "root", "left_anti").groupBy("root").applyInArrow(compare, schema)
+    if large.isEmpty():
+        return found.distinct()
+    # blocks of a large group are written once; a task reads two of them, so that no set travels once more for each pair
+    own = F.expr("cast(pmod(xxhash64(node), blocks) as int)").alias("own")
+    blocks = sets.join(large, "root").select("node", "shingles", "root", own)
+    blocks.repartition("root", "own").write.partitionBy("root", "own").parquet(f"{folder}/blocks")
+    pairs = large.select("root", "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"))
+    # every two nodes of a block are compared with any other block beside them
+    pairs = pairs.select("root", "i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j")).filter("i < j")
+
+    def block(root: int, k: int) -> list[pa.Table]:
+        fs, path = file_system(f"{folder}/blocks/root={root}/own={k}")
+        files = sorted(f.path for f in fs.get_file_info(pafs.FileSelector(path, allow_not_found=True)) if f.path.endswith(".parquet"))
+        return [pq.ParquetFile(fs.open_input_file(f)).read(["node", "shingles"]) for f in files]
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for root, i, j in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held := block(root, i) + block(root, j):
+                    yield from compare(pa.concat_tables(held)).to_batches()
+
+    dealt = pairs.repartition(fan_out(members.sparkSession), "root", "i", "j").mapInArrow(meet, schema)
+    return found.unionAll(dealt).distinct()
 
 
 def groups(docs: DataFrame, *, likeness: float = LIKENESS, group_shingles: int | None = None) -> tuple[DataFrame, DataFrame]:
