@@ -187,7 +187,8 @@ def groups(docs: DataFrame, *, likeness: float = LIKENESS, group_shingles: int |
     nodes = materialise(nodes, f"{folder}/nodes")
     loose = components(loose_links(nodes.filter("fp is not null").select("node", *CHECKED), folder), name="alike-loose")
     loose = materialise(nodes.select("node", "first.*").join(loose, "node"), f"{folder}/loose")
-    members = docs.join(loose, ["doc_id", "copy"])
+    # the same plan at every size: what is joined to the texts grows with them
+    members = docs.hint("merge").join(loose, ["doc_id", "copy"])
     roots = components(verified(members, likeness=likeness, group_shingles=group_shingles), name="alike")
     return rows.select("doc_id", "copy", "node"), nodes.select("node", "first").join(roots, "node", "left")
 
@@ -214,7 +215,7 @@ def one_of_each(docs: DataFrame, *, likeness: float = LIKENESS, group_shingles:
     told = rows.groupBy("doc_id", "copy", "node").agg(F.count(F.lit(1)).alias("n"))
     told = told.join(kept, "node").select("doc_id", "copy", (F.struct("doc_id", "copy") != F.col("kept")).alias("goes"), "n").filter("goes or n > 1")
     told = materialise(told.groupBy("doc_id", "copy").agg(F.max("goes").alias("goes"), F.sum("n").alias("n")), f"{folder}/told")
-    left = named.filter("doc_id is not null").join(told, ["doc_id", "copy"], "left").filter("not coalesce(goes, false)")
+    left = named.filter("doc_id is not null").hint("merge").join(told, ["doc_id", "copy"], "left").filter("not coalesce(goes, false)")
     out = left.filter("n is null").select("row").unionAll(named.filter("doc_id is null").select("row"))
     if not told.filter("not goes").isEmpty():
         again = left.filter("n > 1").groupBy("doc_id", "copy").agg(F.min_by("row", F.to_json("row")).alias("row"))
