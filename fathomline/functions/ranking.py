@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from itertools import combinations
+from functools import lru_cache
 
 import numpy as np
 
@@ -14,6 +14,16 @@ def _nearness(distance: np.ndarray) -> np.ndarray:
     return np.where(distance > 100, FAR, 1.0 / (1.005 + 0.05 * np.exp(np.minimum(distance, 101) / 1.5 - 2.0)))
 
 
+#: 1 less what a pair counts, for differences of -101 to 101; one place isn't a pair.
+_FACTORS = 1.0 - np.sqrt(WEIGHT * WEIGHT * _nearness(np.abs(np.arange(-101, 102))))
+_FACTORS[101] = 1.0
+
+
+@lru_cache(maxsize=256)
+def _alone(n: int) -> float:
+    return float((WEIGHT / np.arange(1, n + 1) ** 2).sum()) / ALL_SQUARES
+
+
 def rank(places: dict[str, list[int]], query: list[str]) -> float:
     """0 without a match; one lexeme counts by its occurrences, several by all pairs of their positions.
 
@@ -23,11 +33,10 @@ def rank(places: dict[str, list[int]], query: list[str]) -> float:
     if not query or not all(found):
         return 0.0
     if len(query) == 1:
-        return float((WEIGHT / np.arange(1, len(found[0]) + 1) ** 2).sum()) / ALL_SQUARES
-    apart, pairs = 1.0, 0
-    for a, b in combinations(found, 2):
-        distance = np.abs(np.subtract.outer(np.array(a), np.array(b)))
-        distance = distance[distance > 0]
-        pairs += len(distance)
-        apart *= float(np.prod(1.0 - np.sqrt(WEIGHT * WEIGHT * _nearness(distance))))
-    return 1.0 - apart if pairs else 0.0
+        return _alone(len(found[0]))
+    apart, rest = 1.0, np.array([at for f in found for at in f])
+    for one in found[:-1]:
+        # a lexeme's positions against those of all lexemes after it
+        own, rest = rest[: len(one)], rest[len(one) :]
+        apart *= float(_FACTORS.take(np.subtract.outer(own + 101, rest), mode="clip").prod())
+    return 1.0 - apart

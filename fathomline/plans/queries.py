@@ -123,7 +123,7 @@ _RANK_SQL = r"""
 
 @query(f"WITH {_WORDS_SQL}, {_RANK_SQL} SELECT query_id, document_id, chunk_index, round(score, 9) AS score, CAST(rank AS INTEGER) AS rank FROM ranked")
 def fts_ranked_simple(spark: SparkSession, d: str) -> DataFrame:
-    hits = S.fts_topk_ranked(_texts(spark, d), _word_queries(spark, d), analyzer="simple")
+    hits = S.fts_topk_ranked(_texts(spark, d).filter("chunk_index IS NOT NULL"), _word_queries(spark, d), analyzer="simple")
     return hits.withColumn("score", F.round("score", 9))
 
 

@@ -100,6 +100,53 @@ def test_ranked_search_matches_a_plain_one(spark):
     assert {r["query_id"] for r in S.fts_topk_ranked(chunks, home, by_document=True).collect()} == {2}
 
 
+def test_ranked_search_shuffles_scores_alone(spark):
+    # 300 texts that hold nearly all lexemes of 40 queries: places of texts that don't match must not travel
+    words = [f"w{i}" for i in range(41)]
+    texts = [" ".join(w for w in words if w != words[i % 41]) for i in range(300)]
+    chunks = spark.createDataFrame([("d", i, t, None) for i, t in enumerate(texts)], CHUNK)
+    queries = spark.createDataFrame([(i, " ".join(words[: i + 2])) for i in range(40)], "query_id int, query string")
+    found = S.fts_topk_ranked(chunks, queries, analyzer="simple")
+    plan = found._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0]
+    assert plan.count("Exchange ") == 1 and "Join" not in plan
+    assert plan.index("Exchange ") < plan.index("WindowGroupLimit", plan.index("Exchange "))
+    got = found.collect()
+    assert {r["query_id"] for r in got} == set(range(39))
+    assert all(r["chunk_index"] % 41 > r["query_id"] + 1 for r in got)
+
+
+def test_ranked_search_like_sql_on_odd_rows(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    from fathomline.plans import queries as P
+
+    long = "x " * 16_390 + "alpha beta"
+    texts = [(1, "a", long), (2, "a", "beta " + long), (None, "a", "alpha beta"), (3, None, "alpha, beta alpha"), (4, "b", None), (5, "b", "")]
+    spark.createDataFrame(texts, "doc_id long, source string, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, "alpha beta. alpha\nbeta. !"), (1, None), (2, "x beta")], "item_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = sorted(map(tuple, P.fts_ranked_simple(spark, str(tmp_path)).collect()), key=str)
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    assert got == sorted(con.execute(P.ORACLES["fts_ranked_simple"]).fetchall(), key=str) and len(got) == 10
+
+
+@pytest.mark.parametrize("block", [1, 2, 20_000])
+def test_ranked_search_by_blocks_of_queries(spark, monkeypatch, block):
+    rows = [("d", 0, "alpha beta", None), ("d", 1, "beta alpha alpha", None), ("e", 0, "alpha", None), (None, 3, "alpha beta", None), ("e", None, "alpha", None)]
+    chunks = spark.createDataFrame(rows, CHUNK)
+    queries = [(1, "d", "alpha beta"), (2, "e", "alpha"), (3, "d", "absent"), (4, None, "alpha"), (5, "e", None), (None, "d", "alpha"), (6, "d", "alpha")]
+    asked = spark.createDataFrame(queries, "query_id int, document_id string, query string")
+    monkeypatch.setattr(S, "QUERY_BLOCK", block)
+
+    def got(k=8, **options):
+        return {(r["query_id"], r["rank"]): (r["document_id"], r["chunk_index"]) for r in S.fts_topk_ranked(chunks, asked, k, analyzer="simple", **options).collect()}
+
+    assert got(by_document=True) == {(1, 1): ("d", 1), (1, 2): ("d", 0), (2, 1): ("e", 0), (2, 2): ("e", None), (6, 1): ("d", 1), (6, 2): ("d", 0)}
+    alpha = [("d", 1), ("d", 0), ("e", 0), ("e", None), (None, 3)]
+    assert got() == {(1, 1): ("d", 1), (1, 2): ("d", 0), (1, 3): (None, 3)} | {(q, k): v for q in (2, 4, 6) for k, v in enumerate(alpha, 1)}
+    assert got(k=1)[6, 1] == ("d", 1) and S.fts_topk_ranked(chunks, asked.limit(0)).count() == 0
+
+
 def test_context_and_citations(spark):
     hits = spark.createDataFrame([(1, 0, 5, "x" * 500), (1, 1, 3, "b"), (1, 2, 5, "again"), (2, 0, 0, "")], "q int, rank int, chunk_index int, content string")
     got = {r["q"]: r["context"] for r in S.context(hits, ["q"], "rank").collect()}
