@@ -3,9 +3,12 @@
 import io
 import random
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -13,6 +16,7 @@ from tokenizers import Tokenizer
 
 from fathomline.llm import packing as P
 from fathomline.llm import token_files as F
+from fathomline.llm import tokens
 from fathomline.llm.tokens import PieceEncoder
 
 WORDS, BYTES = (public_tokenizers.path(n) for n in ("word_bpe_49k.json", "byte_bpe_50k.json"))
@@ -42,6 +46,31 @@ def test_special_names_and_long_texts(pair):
         assert fast.encode(text) == ids(library, text)
 
 
+class Split:
+    """A split column whose distinct pieces can't be taken out by ``to_pylist``, which is slow."""
+
+    def __init__(self, lists):
+        self.offsets, self.coded = lists.offsets, lists.flatten().dictionary_encode()
+        self.indices, self.dictionary = self.coded.indices, self
+
+    def flatten(self):
+        return self
+
+    dictionary_encode = flatten
+
+    def to_numpy(self, **options):
+        return self.coded.dictionary.to_numpy(**options)
+
+
+def test_many_texts_leave_arrow_at_once(pair, monkeypatch):
+    fast, library = pair
+    split = pc.split_pattern
+    monkeypatch.setattr(tokens, "pc", SimpleNamespace(split_pattern=lambda a, by: split(a, by) if by == "\n" else Split(split(a, by)), replace_substring=pc.replace_substring, match_substring=pc.match_substring))
+    texts = ["", "a b\nc a", "naïve  café 日", "\n", "x" * 100 + " b."]
+    assert [i.tobytes() for i in fast.encode_many(pa.array(texts))] == [ids(library, t) for t in texts]
+    assert fast.encode_many(pa.array([], pa.string())) == []
+
+
 @given(st.lists(st.integers(0, 2**40), max_size=700))
 @settings(max_examples=60, deadline=None)
 def test_elias_fano(values):
